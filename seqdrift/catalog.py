@@ -11,9 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.arrays import render
+from .operators import sampling as C
 from .operators import sessions as S
-from .plans.baseline import split_topk_accuracy
-from .schema import EVENT_ID, ITEM, SESSION
+from .operators import slices as B
+from .operators import transitions as J
+from .operators import vocab as D
+from .plans.baseline import split_parts, split_topk_accuracy
+from .schema import EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
 from .sources import adapters as A
 from .sources.sinks import ingest_stats
 
@@ -77,3 +81,190 @@ def q_history_windows(spark, d):
 @register("topk_accuracy")
 def q_topk_accuracy(spark, d):
     return split_topk_accuracy(clicks(spark, d), frac=0.8, fill=True, tie="idx")
+
+
+# ---------------------------------------------------------------- D: vocabularies
+@register("vocab_items")
+def q_vocab_items(spark, d):
+    return D.fit_vocab(clicks(spark, d), ITEM)
+
+
+@register("vocab_users")
+def q_vocab_users(spark, d):
+    return D.fit_vocab(clicks(spark, d), USER)
+
+
+@register("vocab_sessions")
+def q_vocab_sessions(spark, d):
+    return D.fit_vocab(clicks(spark, d), SESSION)
+
+
+@register("popularity")
+def q_popularity(spark, d):
+    return D.popularity(clicks(spark, d), ITEM)
+
+
+def _train_vocabs(spark, d, adapter="clicks"):
+    ev = C.split_sessions(A.load_events(spark, d, adapter))
+    tr = ev.filter(F.col("is_train"))
+    return ev, D.fit_vocab(tr, ITEM), D.fit_vocab(tr, USER)
+
+
+@register("encoded_events")
+def q_encoded_events(spark, d):
+    """Indices from the training vocabularies; unseen → n_labels; raw ids dropped."""
+    ev, vi, vu = _train_vocabs(spark, d)
+    e = D.encode(ev, vi, ITEM, "product_index", unknown="keep")
+    e = D.encode(e.drop("is_unknown"), vu, USER, "user_index", unknown="keep")
+    return e.select(EVENT_ID, EVENT_TIME, "product_index", "user_index")
+
+
+@register("decode_items")
+def q_decode_items(spark, d):
+    """D3: index → id on the baskets log; indices of unseen parts decode to NULL."""
+    ev, vi, _ = _train_vocabs(spark, d, "baskets")
+    e = D.encode(ev, vi, ITEM, "product_index", unknown="keep")
+    e = D.decode(e, vi, "product_index", "decoded_item")
+    return e.select(SESSION, EVENT_ID, "product_index", "decoded_item")
+
+
+@register("encode_unknown")
+def q_encode_unknown(spark, d):
+    """Held-out baskets encoded with the training vocabulary, unseen → −1."""
+    ev, vi, _ = _train_vocabs(spark, d, "baskets")
+    e = D.encode(ev.filter(~F.col("is_train")), vi, ITEM, "product_index", unknown="minus_one")
+    return e.select(SESSION, EVENT_ID, "product_index", "is_unknown")
+
+
+@register("vocab_remap")
+def q_vocab_remap(spark, d):
+    """Training-side vs held-out-side part vocabularies aligned by id."""
+    ev = C.split_sessions(A.baskets(spark, d))
+    old = D.fit_vocab(ev.filter(F.col("is_train")), ITEM)
+    new = D.fit_vocab(ev.filter(~F.col("is_train")), ITEM)
+    return D.remap(old, new)
+
+
+# ---------------------------------------------------------------- C/E: splits and samples
+@register("split_sessions")
+def q_split_sessions(spark, d):
+    return C.split_sessions(clicks(spark, d)).select(SESSION, "is_train").distinct()
+
+
+@register("split_semi")
+def q_split_semi(spark, d):
+    ev = clicks(spark, d)
+    return C.semi(ev, C.session_list(ev, train=True)).select(EVENT_ID, SESSION)
+
+
+@register("split_anti")
+def q_split_anti(spark, d):
+    ev = clicks(spark, d)
+    return C.anti(ev, C.session_list(ev, train=True)).select(EVENT_ID, SESSION)
+
+
+@register("replay_sample")
+def q_replay_sample(spark, d):
+    """Exactly floor(5% of N) events, the bottom-n by md5('replay' || event_id)."""
+    ev = clicks(spark, d)
+    n = ev.agg((F.count(F.lit(1)) * 5 / 100).cast("bigint").alias("n"))
+    return C.exact_sample(ev, n, seed="replay").select(EVENT_ID, SESSION)
+
+
+@register("validation_tail")
+def q_validation_tail(spark, d):
+    """C4: last 20% of the training pairs in (time, id) order."""
+    _, train_pairs, _, _ = split_parts(clicks(spark, d))
+    v = C.validation_tail(train_pairs)
+    return v.select(SESSION, "row_num", "pair_pos", "is_validation")
+
+
+# ---------------------------------------------------------------- B/G4/H6: slices and positions
+def _positioned(spark, d):
+    ev = B.event_positions(clicks(spark, d))
+    n = ev.agg(F.count(F.lit(1)).alias("_N"))
+    return ev.crossJoin(F.broadcast(n))
+
+
+@register("event_positions")
+def q_event_positions(spark, d):
+    return B.event_positions(clicks(spark, d)).select(EVENT_ID, "pos")
+
+
+@register("position_slice")
+def q_position_slice(spark, d):
+    """The first sliding training window, positions [15% N, 55% N)."""
+    p = _positioned(spark, d)
+    p = p.withColumn("_a", (F.col("_N") * 15 / 100).cast("bigint")).withColumn("_b", (F.col("_N") * 55 / 100).cast("bigint"))
+    return B.position_slice(p, "_a", "_b").select(EVENT_ID, "pos")
+
+
+@register("slice_except_compat")
+def q_slice_except_compat(spark, d):
+    """H6: the same window as prefix EXCEPT DISTINCT prefix, on the log's own columns."""
+    p = _positioned(spark, d)
+    p = p.withColumn("_a", (F.col("_N") * 15 / 100).cast("bigint")).withColumn("_b", (F.col("_N") * 55 / 100).cast("bigint"))
+    return B.slice_except_compat(p, "_a", "_b")
+
+
+@register("cutoff_split")
+def q_cutoff_split(spark, d):
+    """Events at or before midnight of (max time − 14 days)."""
+    ev = clicks(spark, d)
+    return B.before_cutoff(ev, B.initial_cutoff(ev, 14)).select(EVENT_ID, EVENT_TIME, SESSION)
+
+
+@register("trailing_window")
+def q_trailing_window(spark, d):
+    """Events within 3 days of the latest event."""
+    return B.trailing_window(clicks(spark, d), 3).select(EVENT_ID, EVENT_TIME)
+
+
+# ---------------------------------------------------------------- F/J: statistics and models
+def _pairs(spark, d):
+    return S.session_pairs(clicks(spark, d))
+
+
+@register("follow_stats")
+def q_follow_stats(spark, d):
+    return J.follow_stats(_pairs(spark, d), top_k=5, min_support=5)
+
+
+@register("follow_stats_temporal")
+def q_follow_stats_temporal(spark, d):
+    return J.follow_stats_temporal(_pairs(spark, d), top_k=5, min_support=1)
+
+
+@register("transition_model")
+def q_transition_model(spark, d):
+    return J.transition_model(_pairs(spark, d))
+
+
+def _train_model(spark, d):
+    ev, train_pairs, test_pairs, vocab = split_parts(clicks(spark, d))
+    return ev, J.transition_model(train_pairs), vocab
+
+
+@register("recommend_topk")
+def q_recommend_topk(spark, d):
+    """Top-10 per prev item from the training sessions, popularity fill."""
+    _, model, vocab = _train_model(spark, d)
+    return J.recommend_topk(model, vocab, k=10, fill=True, tie="idx")
+
+
+@register("recommend_excluding")
+def q_recommend_excluding(spark, d):
+    """The same lists with the two most popular items excluded."""
+    _, model, vocab = _train_model(spark, d)
+    excl = vocab.filter(F.col("idx") < 2).select("item")
+    return J.recommend_topk(model, vocab, k=10, fill=True, tie="idx", exclude=excl)
+
+
+@register("recommend_history")
+def q_recommend_history(spark, d):
+    """For each held-out session, top-10 from its last 10 items (recency-weighted)."""
+    ev, model, vocab = _train_model(spark, d)
+    rows = S.session_rows(ev.filter(~F.col("is_train")), with_size=True)
+    h = S.history_windows(rows, 10, carry=("session_len",))
+    h = h.filter(F.col("row_num") == F.col("session_len"))
+    return J.recommend_history(h, model, length=10, k=10, tie_vocab=vocab)

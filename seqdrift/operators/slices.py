@@ -59,10 +59,13 @@ def position_slice(positioned: DataFrame, a, b, col: str = "pos") -> DataFrame:
 REFERENCE_COLUMNS = [EVENT_TIME, USER, ITEM, SESSION]
 
 
-def slice_except_compat(positioned: DataFrame, a: int, b: int, col: str = "pos") -> DataFrame:
+def slice_except_compat(positioned: DataFrame, a, b, col: str = "pos") -> DataFrame:
     """H6: prefix [0, b) EXCEPT DISTINCT prefix [0, a) on the log's own columns —
-    the reference's slice. Repeated rows collapse; B7 is the sound form."""
+    the reference's slice. Repeated rows collapse; B7 is the sound form.
+    ``a``/``b`` are ints or column names already on ``positioned``."""
+    def c(x):
+        return F.col(x) if isinstance(x, str) else F.lit(x)
     cols = REFERENCE_COLUMNS
-    top = positioned.filter(F.col(col) < b).select(*cols)
-    low = positioned.filter(F.col(col) < a).select(*cols)
+    top = positioned.filter(F.col(col) < c(b)).select(*cols)
+    low = positioned.filter(F.col(col) < c(a)).select(*cols)
     return top.subtract(low)

@@ -177,16 +177,19 @@ def aggregate_tests(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def recommend_history(histories: DataFrame, model: DataFrame, k: int = 10, key: str = "user_session",
-                      tie_vocab: DataFrame | None = None) -> DataFrame:
+def recommend_history(histories: DataFrame, model: DataFrame, length: int = 10, k: int = 10,
+                      key: str = "user_session", tie_vocab: DataFrame | None = None) -> DataFrame:
     """Score next items from a whole history: Σ over history items of
     recency weight (L − distance from the end) × transition count; top-k per key.
 
     histories: (key, history array oldest→newest). All candidates are scored (no cap).
     """
-    h = histories.select(key, F.posexplode("history").alias("_p", "prev_item"),
-                         F.size("history").alias("_L"))
-    h = h.withColumn("_w", (F.col("_p") + 1).cast("bigint"))  # newest gets L, oldest 1
+    n = F.size("history")
+    recent = F.slice("history", F.greatest(n - F.lit(length - 1), F.lit(1)), length)
+    h = histories.select(key, F.posexplode(recent).alias("_p", "prev_item"),
+                         F.least(n, F.lit(length)).alias("_s"))
+    # distance from the newest item d = s − 1 − p; weight L − d (newest L, then L−1, …)
+    h = h.withColumn("_w", (F.lit(length) - (F.col("_s") - 1 - F.col("_p"))).cast("bigint"))
     j = h.join(model, "prev_item", "inner")
     s = j.groupBy(key, F.col("next_item").alias("item")).agg(
         F.sum(F.col("_w") * F.col("cnt")).cast("bigint").alias("score"))

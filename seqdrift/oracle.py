@@ -145,3 +145,161 @@ FROM ranked, """ + KS + " GROUP BY k"
 
 SQL["topk_accuracy"] = with_ctes(CLICKS, SPLIT, rows_on("ev"), PAIRS.replace(
     "SELECT user_session,", "SELECT is_train, user_session,"), VOCAB_TRAIN, SPLIT_MODEL, body=ACC_BODY)
+
+# ---------------------------------------------------------------- D: vocabularies
+
+
+def vocab_sql(src: str, col: str, where: str = "TRUE") -> str:
+    return f"""
+SELECT item, CAST(row_number() OVER (ORDER BY freq DESC, CAST(item AS VARCHAR)) - 1 AS BIGINT) AS idx, freq
+FROM (SELECT {col} AS item, count(*) AS freq FROM {src} WHERE {col} IS NOT NULL AND {where} GROUP BY 1)"""
+
+
+SQL["vocab_items"] = with_ctes(CLICKS, body=vocab_sql("clicks", "product_id"))
+SQL["vocab_users"] = with_ctes(CLICKS, body=vocab_sql("clicks", "user_id"))
+SQL["vocab_sessions"] = with_ctes(CLICKS, body=vocab_sql("clicks", "user_session"))
+SQL["popularity"] = with_ctes(CLICKS, body="SELECT product_id AS item, count(*) AS freq FROM clicks GROUP BY 1")
+
+SPLIT_B = """
+ev AS (SELECT *, substr(md5(user_session), 1, 4) < 'cccc' AS is_train FROM baskets)"""
+
+SQL["encoded_events"] = with_ctes(
+    CLICKS, SPLIT,
+    "vi AS (" + vocab_sql("ev", "product_id", "is_train") + ")",
+    "vu AS (" + vocab_sql("ev", "user_id", "is_train") + ")", body="""
+SELECT e.event_id, e.event_time,
+       coalesce(vi.idx, (SELECT count(*) FROM vi)) AS product_index,
+       coalesce(vu.idx, (SELECT count(*) FROM vu)) AS user_index
+FROM ev e LEFT JOIN vi ON vi.item = e.product_id LEFT JOIN vu ON vu.item = e.user_id""")
+
+SQL["decode_items"] = with_ctes(BASKETS, SPLIT_B, "vi AS (" + vocab_sql("ev", "product_id", "is_train") + ")", body="""
+SELECT e.user_session, e.event_id, coalesce(vi.idx, (SELECT count(*) FROM vi)) AS product_index,
+       vi.item AS decoded_item
+FROM ev e LEFT JOIN vi ON vi.item = e.product_id""")
+
+SQL["encode_unknown"] = with_ctes(BASKETS, SPLIT_B, "vi AS (" + vocab_sql("ev", "product_id", "is_train") + ")", body="""
+SELECT e.user_session, e.event_id, coalesce(vi.idx, -1) AS product_index, vi.idx IS NULL AS is_unknown
+FROM ev e LEFT JOIN vi ON vi.item = e.product_id WHERE NOT e.is_train""")
+
+SQL["vocab_remap"] = with_ctes(
+    BASKETS, SPLIT_B, "o AS (" + vocab_sql("ev", "product_id", "is_train") + ")",
+    "n AS (" + vocab_sql("ev", "product_id", "NOT is_train") + ")", body="""
+SELECT coalesce(o.item, n.item) AS item, o.idx AS old_idx, n.idx AS new_idx,
+       CASE WHEN o.idx IS NULL THEN 'added' WHEN n.idx IS NULL THEN 'retired' ELSE 'kept' END AS status
+FROM o FULL OUTER JOIN n ON o.item = n.item""")
+
+# ---------------------------------------------------------------- C/E: splits and samples
+SQL["split_sessions"] = with_ctes(CLICKS, SPLIT, body="SELECT DISTINCT user_session, is_train FROM ev")
+SQL["split_semi"] = with_ctes(CLICKS, SPLIT, body="""
+SELECT event_id, user_session FROM clicks
+WHERE user_session IN (SELECT user_session FROM ev WHERE is_train)""")
+SQL["split_anti"] = with_ctes(CLICKS, SPLIT, body="""
+SELECT event_id, user_session FROM clicks
+WHERE user_session NOT IN (SELECT user_session FROM ev WHERE is_train)""")
+SQL["replay_sample"] = with_ctes(CLICKS, body="""
+SELECT event_id, user_session FROM (
+  SELECT event_id, user_session, row_number() OVER (ORDER BY md5('replay' || CAST(event_id AS VARCHAR))) AS r
+  FROM clicks)
+WHERE r <= (SELECT count(*) * 5 // 100 FROM clicks)""")
+SQL["validation_tail"] = with_ctes(CLICKS, SPLIT, rows_on("ev"), PAIRS.replace(
+    "SELECT user_session,", "SELECT is_train, user_session,"), body="""
+SELECT user_session, row_num, pair_pos, pair_pos >= (n_pairs * 80) // 100 AS is_validation
+FROM (SELECT user_session, row_num,
+             CAST(row_number() OVER (ORDER BY event_time, event_id) - 1 AS BIGINT) AS pair_pos,
+             count(*) OVER () AS n_pairs
+      FROM pairs WHERE is_train)""")
+
+# ---------------------------------------------------------------- B/G4/H6: slices and positions
+POS = """
+pos_ AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY event_time, event_id) - 1 AS BIGINT) AS pos,
+         count(*) OVER () AS n_all
+  FROM clicks
+)"""
+SQL["event_positions"] = with_ctes(CLICKS, POS, body="SELECT event_id, pos FROM pos_")
+SQL["position_slice"] = with_ctes(CLICKS, POS, body="""
+SELECT event_id, pos FROM pos_ WHERE pos >= n_all * 15 // 100 AND pos < n_all * 55 // 100""")
+SQL["slice_except_compat"] = with_ctes(CLICKS, POS, body="""
+SELECT event_time, user_id, product_id, user_session FROM pos_ WHERE pos < n_all * 55 // 100
+EXCEPT
+SELECT event_time, user_id, product_id, user_session FROM pos_ WHERE pos < n_all * 15 // 100""")
+SQL["cutoff_split"] = with_ctes(CLICKS, body="""
+SELECT event_id, event_time, user_session FROM clicks
+WHERE event_time <= (SELECT CAST(CAST(max(event_time) - INTERVAL 14 DAY AS DATE) AS TIMESTAMP) FROM clicks)""")
+SQL["trailing_window"] = with_ctes(CLICKS, body="""
+SELECT event_id, event_time FROM clicks
+WHERE event_time >= (SELECT max(event_time) - INTERVAL 3 DAY FROM clicks)""")
+
+# ---------------------------------------------------------------- F/J: statistics and models
+FOLLOW = """
+cnts AS (SELECT prev_item, next_item, count(*) AS cnt FROM pairs GROUP BY 1, 2),
+ranked_f AS (
+  SELECT prev_item, next_item, cnt, sum(cnt) OVER (PARTITION BY prev_item) AS tot,
+         row_number() OVER (PARTITION BY prev_item ORDER BY cnt DESC, next_item) AS rank
+  FROM cnts
+)"""
+SQL["follow_stats"] = with_ctes(CLICKS, rows_on("clicks"), PAIRS, FOLLOW, body="""
+SELECT prev_item, next_item AS item, cnt AS support, CAST(cnt AS DOUBLE) / CAST(tot AS DOUBLE) AS confidence,
+       CAST(rank AS BIGINT) AS rank
+FROM ranked_f WHERE rank <= 5 AND cnt >= 5""")
+SQL["follow_stats_temporal"] = with_ctes(CLICKS, rows_on("clicks"), PAIRS, body="""
+SELECT dim, slot, prev_item, next_item AS item, cnt AS support,
+       CAST(cnt AS DOUBLE) / CAST(tot AS DOUBLE) AS confidence, CAST(rank AS BIGINT) AS rank
+FROM (
+  SELECT *, sum(cnt) OVER (PARTITION BY dim, slot, prev_item) AS tot,
+         row_number() OVER (PARTITION BY dim, slot, prev_item ORDER BY cnt DESC, next_item) AS rank
+  FROM (
+    SELECT 'all' AS dim, CAST(-1 AS BIGINT) AS slot, prev_item, next_item, count(*) AS cnt FROM pairs GROUP BY 3, 4
+    UNION ALL
+    SELECT 'hour', CAST(hour(event_time) AS BIGINT), prev_item, next_item, count(*) FROM pairs GROUP BY 2, 3, 4
+    UNION ALL
+    SELECT 'dow', CAST(dayofweek(event_time) + 1 AS BIGINT), prev_item, next_item, count(*) FROM pairs GROUP BY 2, 3, 4
+  ))
+WHERE rank <= 5 AND cnt >= 1""")
+SQL["transition_model"] = with_ctes(CLICKS, rows_on("clicks"), PAIRS, body="""
+SELECT prev_item, next_item, count(*) AS cnt FROM pairs GROUP BY 1, 2""")
+
+TRAIN_PAIRS = [CLICKS, SPLIT, rows_on("ev"), PAIRS.replace("SELECT user_session,", "SELECT is_train, user_session,"),
+               VOCAB_TRAIN, "model AS (SELECT prev_item, next_item, count(*) AS cnt FROM pairs WHERE is_train GROUP BY 1, 2)"]
+
+
+def recommend_sql(k: int, excl: str = "SELECT NULL::BIGINT AS item WHERE FALSE") -> str:
+    return f"""
+excl AS ({excl}),
+fol AS (
+  SELECT m.prev_item, m.next_item AS item, m.cnt AS score,
+         row_number() OVER (PARTITION BY m.prev_item ORDER BY m.cnt DESC, v.idx, m.next_item) AS rank
+  FROM model m LEFT JOIN vocab v ON v.item = m.next_item
+  WHERE m.next_item NOT IN (SELECT item FROM excl)
+),
+nf AS (SELECT prev_item, count(*) AS nf FROM fol GROUP BY 1),
+prevs AS (SELECT DISTINCT prev_item FROM model UNION ALL SELECT NULL::BIGINT),
+fills AS (
+  SELECT p.prev_item, v.item, CAST(0 AS BIGINT) AS score,
+         coalesce(nf.nf, 0) + row_number() OVER (PARTITION BY p.prev_item ORDER BY v.idx) AS rank
+  FROM prevs p CROSS JOIN vocab v LEFT JOIN nf ON nf.prev_item = p.prev_item
+  WHERE v.item NOT IN (SELECT item FROM excl)
+    AND NOT EXISTS (SELECT 1 FROM model m WHERE m.prev_item = p.prev_item AND m.next_item = v.item)
+)
+SELECT prev_item, CAST(rank AS BIGINT) AS rank, item, score FROM fol WHERE rank <= {k}
+UNION ALL
+SELECT prev_item, CAST(rank AS BIGINT) AS rank, item, score FROM fills WHERE rank <= {k}"""
+
+
+SQL["recommend_topk"] = "WITH " + ",".join(TRAIN_PAIRS) + "," + recommend_sql(10)
+SQL["recommend_excluding"] = "WITH " + ",".join(TRAIN_PAIRS) + "," + recommend_sql(
+    10, "SELECT item FROM vocab WHERE idx < 2")
+SQL["recommend_history"] = "WITH " + ",".join(TRAIN_PAIRS) + """,
+last_rows AS (
+  SELECT user_session, product_id AS prev_item, 10 - (session_len - row_num) AS w
+  FROM rows_ WHERE NOT is_train AND row_num > session_len - 10
+),
+scores AS (
+  SELECT l.user_session, m.next_item AS item, CAST(sum(l.w * m.cnt) AS BIGINT) AS score
+  FROM last_rows l JOIN model m ON m.prev_item = l.prev_item GROUP BY 1, 2
+)
+SELECT user_session, rank, item, score FROM (
+  SELECT s.*, CAST(row_number() OVER (PARTITION BY s.user_session ORDER BY s.score DESC, v.idx NULLS LAST, s.item)
+                   AS BIGINT) AS rank
+  FROM scores s LEFT JOIN vocab v ON v.item = s.item)
+WHERE rank <= 10"""
