@@ -268,3 +268,58 @@ def q_recommend_history(spark, d):
     h = S.history_windows(rows, 10, carry=("session_len",))
     h = h.filter(F.col("row_num") == F.col("session_len"))
     return J.recommend_history(h, model, length=10, k=10, tie_vocab=vocab)
+
+
+# ---------------------------------------------------------------- L: sliding window + replay
+def _phases(spark, d, buffer="growing"):
+    from .plans.phases import PhaseProtocol
+    return PhaseProtocol(clicks(spark, d), buffer=buffer)
+
+
+@register("phase_plan")
+def q_phase_plan(spark, d):
+    return _phases(spark, d).plan.select("phase", "train_start", "train_end", "test_start", "test_end")
+
+
+@register("phase_events")
+def q_phase_events(spark, d):
+    return _phases(spark, d).phase_events()
+
+
+@register("replay_buffer")
+def q_replay_buffer(spark, d):
+    return _phases(spark, d).replay_buffer()
+
+
+@register("train_with_replay")
+def q_train_with_replay(spark, d):
+    return _phases(spark, d).train_rows().select("phase", "source", EVENT_ID)
+
+
+@register("train_stats")
+def q_train_stats(spark, d):
+    return _phases(spark, d).train_stats()
+
+
+@register("phase_topk_accuracy")
+def q_phase_topk_accuracy(spark, d):
+    return _phases(spark, d).accuracy(variants=("window", "replay"))
+
+
+@register("phase_topk_accuracy_frozen")
+def q_phase_topk_accuracy_frozen(spark, d):
+    """The reference's effective buffer (seed draw only, never grown)."""
+    return _phases(spark, d, buffer="frozen").accuracy(variants=("replay",))
+
+
+@register("phase_unknown_share")
+def q_phase_unknown_share(spark, d):
+    return _phases(spark, d).unknown_share()
+
+
+@register("degradation_alerts")
+def q_degradation_alerts(spark, d):
+    from .plans.alerts import degradation_alerts
+    acc = _phases(spark, d).accuracy(variants=("window", "replay"))
+    return degradation_alerts(acc, order="phase").select(
+        "variant", "k", "phase", "accuracy", "prev_accuracy", "alert")

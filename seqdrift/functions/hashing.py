@@ -29,14 +29,12 @@ def threshold_literal(fraction: float, width: int = HEX_WIDTH) -> str:
     return "g" * width if v >= 16 ** width else format(v, f"0{width}x")
 
 
-def threshold_column(numerator: Column, denominator: Column, width: int = HEX_WIDTH) -> Column:
-    """Hex threshold for a data-derived fraction ``numerator / denominator`` (integers).
-
-    Fractions of 1 or more map to 'ggg…', above every hex prefix; integer arithmetic
-    only, so both engines agree bit for bit.
+def threshold_column(numerator: str, denominator: str, width: int = HEX_WIDTH) -> Column:
+    """Hex threshold for a data-derived fraction ``numerator / denominator`` — two
+    integer columns, named. Exact integer ``div`` (no float rounding); fractions of 1
+    or more map to 'ggg…', above every hex prefix, so both engines agree bit for bit.
     """
-    v = (numerator.cast("bigint") * F.lit(16 ** width)) / denominator.cast("bigint")
-    v = F.floor(v).cast("bigint")
+    v = F.expr(f"(CAST({numerator} AS BIGINT) * {16 ** width}) div greatest(CAST({denominator} AS BIGINT), 1)")
     return F.when(v >= F.lit(16 ** width), F.lit("g" * width)).otherwise(
         F.lpad(F.lower(F.hex(v)), width, "0"))
 

@@ -303,3 +303,126 @@ SELECT user_session, rank, item, score FROM (
                    AS BIGINT) AS rank
   FROM scores s LEFT JOIN vocab v ON v.item = s.item)
 WHERE rank <= 10"""
+
+# ---------------------------------------------------------------- L: sliding window + replay
+PHASE = """
+pos_ AS (SELECT *, CAST(row_number() OVER (ORDER BY event_time, event_id) - 1 AS BIGINT) AS pos FROM clicks),
+pp0 AS (
+  SELECT user_session, event_id, pos AS prev_pos, product_id AS prev_item,
+         lead(product_id) OVER w AS next_item, lead(pos) OVER w AS next_pos
+  FROM pos_ WINDOW w AS (PARTITION BY user_session ORDER BY event_time, event_id)
+),
+pp AS (SELECT * FROM pp0 WHERE next_item IS NOT NULL),
+sz AS (
+  SELECT n AS N, n * 45 // 100 AS init, n * 40 // 100 AS train, n * 5 // 100 AS test,
+         n * 10 // 100 AS step, n * 5 // 100 AS buffer
+  FROM (SELECT count(*) AS n FROM clicks)
+),
+plan0 AS (
+  SELECT CAST(r.p AS BIGINT) AS phase, sz.*,
+         CASE WHEN r.p = 0 THEN init ELSE N - init + (r.p - 1) * step END AS e
+  FROM sz, range(0, 64) r(p)
+),
+plan AS (
+  SELECT phase, CASE WHEN phase = 0 THEN 0 ELSE e - train END AS train_start, e AS train_end,
+         e AS test_start, e + test AS test_end, N, buffer, step, test
+  FROM plan0 WHERE e + test <= N
+),
+draws0 AS (
+  SELECT CAST(0 AS BIGINT) AS q, step + test AS bound, buffer FROM sz
+  UNION ALL SELECT phase, train_start, buffer FROM plan WHERE phase >= 1
+),
+draws AS (
+  SELECT q, bound,
+         CASE WHEN (buffer * 16777216) // greatest(bound, 1) >= 16777216 THEN 'gggggg'
+              ELSE lpad(lower(hex((buffer * 16777216) // greatest(bound, 1))), 6, '0') END AS thr
+  FROM draws0
+),
+ev_draw AS (
+  SELECT p.*, (SELECT min(d.q) FROM draws d WHERE p.pos < d.bound AND
+                 substr(md5('replay' || CAST(d.q AS VARCHAR) || '|' || p.user_session), 1, 6) < d.thr) AS draw
+  FROM pos_ p
+),
+pp_draw AS (
+  SELECT pp.*, (SELECT min(d.q) FROM draws d WHERE pp.next_pos < d.bound AND
+                  substr(md5('replay' || CAST(d.q AS VARCHAR) || '|' || pp.user_session), 1, 6) < d.thr) AS draw
+  FROM pp
+)"""
+
+SQL["phase_plan"] = with_ctes(CLICKS, PHASE, body="SELECT phase, train_start, train_end, test_start, test_end FROM plan")
+SQL["phase_events"] = with_ctes(CLICKS, PHASE, body="""
+SELECT pl.phase, 'train' AS role, e.event_id FROM pos_ e JOIN plan pl ON e.pos >= pl.train_start AND e.pos < pl.train_end
+UNION ALL
+SELECT pl.phase, 'test', e.event_id FROM pos_ e JOIN plan pl ON e.pos >= pl.test_start AND e.pos < pl.test_end""")
+SQL["replay_buffer"] = with_ctes(CLICKS, PHASE, body="""
+SELECT pl.phase, e.event_id, e.draw AS phase_added
+FROM ev_draw e JOIN plan pl ON pl.phase >= 1 AND e.draw < pl.phase""")
+TRAIN_ROWS = """
+train_rows AS (
+  SELECT pl.phase, 'window' AS source, e.event_id, e.user_session, e.product_id
+  FROM ev_draw e JOIN plan pl ON e.pos >= pl.train_start AND e.pos < pl.train_end
+  UNION ALL
+  SELECT pl.phase, 'replay', e.event_id, e.user_session, e.product_id
+  FROM ev_draw e JOIN plan pl ON pl.phase >= 1 AND e.draw < pl.phase
+)"""
+SQL["train_with_replay"] = with_ctes(CLICKS, PHASE, TRAIN_ROWS, body="SELECT phase, source, event_id FROM train_rows")
+SQL["train_stats"] = with_ctes(CLICKS, PHASE, TRAIN_ROWS, body="""
+SELECT phase, count(*) AS n_rows, count(DISTINCT product_id) AS n_items, count(DISTINCT user_session) AS n_sessions
+FROM train_rows GROUP BY phase""")
+
+
+def phase_acc_sql(variants: tuple[str, ...], frozen: bool = False) -> str:
+    vals = ", ".join(f"('{v}')" for v in variants)
+    draw_filter = "AND pp.draw = 0" if frozen else ""
+    return with_ctes(CLICKS, PHASE, f"""
+vars AS (SELECT * FROM (VALUES {vals}) v(variant)),
+train AS (
+  SELECT pl.phase, v.variant, pp.prev_item, pp.next_item, count(*) AS cnt
+  FROM pp_draw pp, plan pl, vars v
+  WHERE (pp.prev_pos >= pl.train_start AND pp.next_pos < pl.train_end)
+     OR (v.variant = 'replay' AND pl.phase >= 1 AND pp.draw IS NOT NULL AND pp.draw < pl.phase {draw_filter})
+  GROUP BY 1, 2, 3, 4
+),
+tests AS (
+  SELECT pl.phase, pp.prev_item, pp.next_item AS target, count(*) AS n
+  FROM pp, plan pl WHERE pp.prev_pos >= pl.test_start AND pp.next_pos < pl.test_end GROUP BY 1, 2, 3
+),
+fr AS (
+  SELECT phase, variant, prev_item, next_item,
+         row_number() OVER (PARTITION BY phase, variant, prev_item ORDER BY cnt DESC, next_item) AS rank
+  FROM train
+),
+ranked AS (
+  SELECT t.phase, v.variant, t.n, fr.rank
+  FROM tests t CROSS JOIN vars v
+  LEFT JOIN fr ON fr.phase = t.phase AND fr.variant = v.variant AND fr.prev_item = t.prev_item
+              AND fr.next_item = t.target
+),
+acc AS (
+  SELECT phase, variant, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n,
+         CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS BIGINT) AS hits,
+         CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy
+  FROM ranked, {KS} GROUP BY phase, variant, k
+)""", body="SELECT * FROM acc")
+
+
+SQL["phase_topk_accuracy"] = phase_acc_sql(("window", "replay"))
+SQL["phase_topk_accuracy_frozen"] = phase_acc_sql(("replay",), frozen=True)
+SQL["degradation_alerts"] = phase_acc_sql(("window", "replay")).replace("SELECT * FROM acc", """
+SELECT variant, k, phase, accuracy, prev_accuracy,
+       coalesce(accuracy * 100.0 < prev_accuracy * 90.0, FALSE) AS alert
+FROM (SELECT *, lag(accuracy) OVER (PARTITION BY variant, k ORDER BY phase) AS prev_accuracy FROM acc)""")
+SQL["phase_unknown_share"] = with_ctes(CLICKS, PHASE, TRAIN_ROWS, """
+known AS (SELECT DISTINCT phase, product_id AS item FROM train_rows),
+te AS (SELECT pl.phase, e.product_id FROM pos_ e JOIN plan pl ON e.pos >= pl.test_start AND e.pos < pl.test_end),
+ev_share AS (
+  SELECT te.phase, count(*) AS n_test_events,
+         avg(CASE WHEN k.item IS NULL THEN 1.0 ELSE 0.0 END) AS unknown_item_share
+  FROM te LEFT JOIN known k ON k.phase = te.phase AND k.item = te.product_id GROUP BY 1
+),
+tp AS (SELECT pl.phase, pp.next_item FROM pp, plan pl WHERE pp.prev_pos >= pl.test_start AND pp.next_pos < pl.test_end),
+pr_share AS (
+  SELECT tp.phase, count(*) AS n_test_pairs,
+         CAST(count(*) FILTER (WHERE k.item IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS unknown_target_share
+  FROM tp LEFT JOIN known k ON k.phase = tp.phase AND k.item = tp.next_item GROUP BY 1
+)""", body="SELECT e.*, p.n_test_pairs, p.unknown_target_share FROM ev_share e LEFT JOIN pr_share p USING (phase)")
