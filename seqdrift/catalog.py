@@ -323,3 +323,50 @@ def q_degradation_alerts(spark, d):
     acc = _phases(spark, d).accuracy(variants=("window", "replay"))
     return degradation_alerts(acc, order="phase").select(
         "variant", "k", "phase", "accuracy", "prev_accuracy", "alert")
+
+
+# ---------------------------------------------------------------- L: daily protocol
+def _daily(spark, d, cumulative=False):
+    from .plans.daily import DailyProtocol
+    return DailyProtocol(clicks(spark, d), shift_days=14, window_days=3, every_days=3, cumulative=cumulative)
+
+
+@register("test_dates")
+def q_test_dates(spark, d):
+    return _daily(spark, d).test_dates()
+
+
+@register("update_schedule")
+def q_update_schedule(spark, d):
+    return _daily(spark, d).schedule()
+
+
+@register("model_in_force")
+def q_model_in_force(spark, d):
+    return _daily(spark, d).model_in_force()
+
+
+@register("window_refit")
+def q_window_refit(spark, d):
+    return _daily(spark, d).window_rows()
+
+
+@register("initial_model")
+def q_initial_model(spark, d):
+    return _daily(spark, d).initial_model()
+
+
+@register("transition_transfer")
+def q_transition_transfer(spark, d):
+    return _daily(spark, d).transfer_counts()
+
+
+@register("daily_topk_accuracy")
+def q_daily_topk_accuracy(spark, d):
+    return _daily(spark, d).accuracy()
+
+
+@register("daily_topk_accuracy_cumulative")
+def q_daily_topk_accuracy_cumulative(spark, d):
+    """The reference's order: update at d first, then score everything up to d."""
+    return _daily(spark, d, cumulative=True).accuracy(variants=("static", "updated"))

@@ -426,3 +426,149 @@ pr_share AS (
          CAST(count(*) FILTER (WHERE k.item IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS unknown_target_share
   FROM tp LEFT JOIN known k ON k.phase = tp.phase AND k.item = tp.next_item GROUP BY 1
 )""", body="SELECT e.*, p.n_test_pairs, p.unknown_target_share FROM ev_share e LEFT JOIN pr_share p USING (phase)")
+
+# ---------------------------------------------------------------- L: daily protocol
+DAILY = """
+bnd AS (
+  SELECT max(event_time) AS max_time,
+         CAST(CAST(max(event_time) - INTERVAL 14 DAY AS DATE) AS TIMESTAMP) AS cutoff
+  FROM clicks
+),
+dates AS (
+  SELECT cutoff + CAST(r.k AS INTEGER) * INTERVAL 1 DAY AS test_date
+  FROM bnd, range(1, 100000) r(k) WHERE cutoff + CAST(r.k AS INTEGER) * INTERVAL 1 DAY <= max_time
+),
+d_up AS (
+  SELECT test_date, (SELECT max(event_time) FROM clicks c WHERE c.event_time <= test_date) AS upto,
+         row_number() OVER (ORDER BY test_date) AS i
+  FROM dates
+),
+init AS (SELECT (SELECT max(event_time) FROM clicks c WHERE c.event_time <= bnd.cutoff) AS last FROM bnd),
+sched(i, test_date, is_update, last_update) AS (
+  SELECT d.i, d.test_date, date_sub('day', init.last, d.test_date) >= 3,
+         CASE WHEN date_sub('day', init.last, d.test_date) >= 3 THEN d.upto ELSE init.last END
+  FROM d_up d, init WHERE d.i = 1
+  UNION ALL
+  SELECT d.i, d.test_date, date_sub('day', s.last_update, d.test_date) >= 3,
+         CASE WHEN date_sub('day', s.last_update, d.test_date) >= 3 THEN d.upto ELSE s.last_update END
+  FROM sched s JOIN d_up d ON d.i = s.i + 1
+),
+versions AS (
+  SELECT CAST(0 AS BIGINT) AS version, bnd.cutoff AS fit_date, init.last AS fit_time,
+         CAST(NULL AS TIMESTAMP) AS lo, bnd.cutoff AS hi
+  FROM bnd, init
+  UNION ALL
+  SELECT CAST(row_number() OVER (ORDER BY test_date) AS BIGINT), test_date, last_update,
+         last_update - INTERVAL 3 DAY, test_date
+  FROM sched WHERE is_update
+),
+rows_d AS (
+  SELECT *, lead(product_id) OVER w AS next_item, lead(event_time) OVER w AS next_time
+  FROM clicks WINDOW w AS (PARTITION BY user_session ORDER BY event_time, event_id)
+),
+dpairs AS (
+  SELECT product_id AS prev_item, next_item, event_time AS prev_time, next_time FROM rows_d WHERE next_item IS NOT NULL
+),
+wv AS (
+  SELECT v.version, p.prev_item, p.next_item, count(*) AS cnt
+  FROM dpairs p JOIN versions v ON (v.lo IS NULL OR p.prev_time >= v.lo) AND p.next_time <= v.hi
+  GROUP BY 1, 2, 3
+),
+mif AS (
+  SELECT d.test_date,
+         (SELECT v.version FROM versions v WHERE v.fit_date < d.test_date ORDER BY v.fit_date DESC LIMIT 1) AS version
+  FROM dates d
+),
+tkeys AS (SELECT DISTINCT prev_item, next_item FROM wv),
+tgrid AS (
+  SELECT k.prev_item, k.next_item, v.version, coalesce(w.cnt, 0) AS w
+  FROM tkeys k CROSS JOIN versions v
+  LEFT JOIN wv w ON w.prev_item = k.prev_item AND w.next_item = k.next_item AND w.version = v.version
+),
+tlists AS (SELECT prev_item, next_item, list(w ORDER BY version) AS ws FROM tgrid GROUP BY 1, 2),
+transfer AS (
+  SELECT v.version, t.prev_item, t.next_item,
+         CAST(list_reduce(list_slice(t.ws, 1, CAST(v.version AS INTEGER) + 1), lambda a, x: a // 2 + x) AS BIGINT) AS cnt
+  FROM tlists t CROSS JOIN versions v
+)"""
+
+
+def daily_sql(body: str, extra: str = "") -> str:
+    return "WITH RECURSIVE " + ",".join([CLICKS, DAILY] + ([extra] if extra else [])) + "\n" + body
+
+
+def day_key_sql(c: str) -> str:
+    return f"(CAST(CAST({c} - INTERVAL 1 MICROSECOND AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY)"
+
+
+SQL["test_dates"] = daily_sql("SELECT test_date FROM dates")
+SQL["update_schedule"] = daily_sql("SELECT test_date, is_update, last_update FROM sched")
+SQL["model_in_force"] = daily_sql("SELECT test_date, version FROM mif")
+SQL["window_refit"] = daily_sql("""
+SELECT v.version, c.event_id FROM clicks c JOIN versions v
+  ON v.version >= 1 AND c.event_time >= v.lo AND c.event_time <= v.hi""")
+SQL["initial_model"] = daily_sql("SELECT prev_item, next_item, cnt FROM wv WHERE version = 0")
+SQL["transition_transfer"] = daily_sql("SELECT version, prev_item, next_item, cnt FROM transfer WHERE cnt > 0")
+
+DAILY_ACC = """
+models AS (
+  SELECT 'static' AS variant, d.test_date, w.prev_item, w.next_item, w.cnt
+  FROM dates d JOIN wv w ON w.version = 0
+  UNION ALL
+  SELECT 'updated', m.test_date, w.prev_item, w.next_item, w.cnt FROM mif m JOIN wv w ON w.version = m.version
+  UNION ALL
+  SELECT 'transfer', m.test_date, t.prev_item, t.next_item, t.cnt FROM mif m JOIN transfer t
+    ON t.version = m.version AND t.cnt > 0
+),
+fr AS (
+  SELECT *, row_number() OVER (PARTITION BY variant, test_date, prev_item ORDER BY cnt DESC, next_item) AS rank
+  FROM models
+),
+tests AS (
+  SELECT {dk_next} AS test_date, prev_item, next_item AS target, count(*) AS n
+  FROM dpairs WHERE {dk_prev} = {dk_next} AND {dk_next} IN (SELECT test_date FROM dates) GROUP BY 1, 2, 3
+),
+vars AS (SELECT * FROM (VALUES ('static'), ('updated'), ('transfer')) v(variant)),
+ranked AS (
+  SELECT t.test_date, v.variant, t.n, fr.rank
+  FROM tests t CROSS JOIN vars v
+  LEFT JOIN fr ON fr.variant = v.variant AND fr.test_date = t.test_date AND fr.prev_item = t.prev_item
+              AND fr.next_item = t.target
+)""".format(dk_next=day_key_sql("next_time"), dk_prev=day_key_sql("prev_time"))
+
+SQL["daily_topk_accuracy"] = daily_sql("""
+SELECT test_date, variant, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS BIGINT) AS hits,
+       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy
+FROM ranked, """ + KS + " GROUP BY test_date, variant, k", DAILY_ACC)
+
+SQL["daily_topk_accuracy_cumulative"] = daily_sql("""
+SELECT test_date, variant, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS BIGINT) AS hits,
+       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy
+FROM ranked, """ + KS + " GROUP BY test_date, variant, k", """
+mif_c AS (
+  SELECT d.test_date,
+         (SELECT v.version FROM versions v WHERE v.fit_date <= d.test_date ORDER BY v.fit_date DESC LIMIT 1) AS version
+  FROM dates d
+),
+models AS (
+  SELECT 'static' AS variant, d.test_date, w.prev_item, w.next_item, w.cnt FROM dates d JOIN wv w ON w.version = 0
+  UNION ALL
+  SELECT 'updated', m.test_date, w.prev_item, w.next_item, w.cnt FROM mif_c m JOIN wv w ON w.version = m.version
+),
+fr AS (
+  SELECT *, row_number() OVER (PARTITION BY variant, test_date, prev_item ORDER BY cnt DESC, next_item) AS rank
+  FROM models
+),
+tests AS (
+  SELECT d.test_date, p.prev_item, p.next_item AS target, count(*) AS n
+  FROM dpairs p JOIN dates d ON p.next_time <= d.test_date GROUP BY 1, 2, 3
+),
+vars AS (SELECT * FROM (VALUES ('static'), ('updated')) v(variant)),
+ranked AS (
+  SELECT t.test_date, v.variant, t.n, fr.rank
+  FROM tests t CROSS JOIN vars v
+  LEFT JOIN fr ON fr.variant = v.variant AND fr.test_date = t.test_date AND fr.prev_item = t.prev_item
+              AND fr.next_item = t.target
+)""")
