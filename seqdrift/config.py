@@ -64,3 +64,17 @@ def local_path(path: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint root and read it back.
+
+    Used for intermediate tables that several branches of a protocol reuse: the
+    lineage is cut (a lost executor re-reads files instead of recomputing the
+    protocol), and the read-back scan carries real file sizes, so the planner's
+    broadcast decisions rest on a measured size, not a guess.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

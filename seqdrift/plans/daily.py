@@ -22,8 +22,11 @@ scoring. Versions and dates are a few rows each, broadcast with a proven bound.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..config import materialize
 from ..functions.time import day_start, minus_days, whole_days_between
 from ..operators.sessions import session_pairs
 from ..operators.transitions import DEFAULT_KS, target_ranks, topk_accuracy, transition_model
@@ -41,34 +44,60 @@ def day_key(col):
 class DailyProtocol:
     def __init__(self, events: DataFrame, shift_days: int = 14, window_days: int = 3, every_days: int = 3,
                  cumulative: bool = False):
-        self.events = events
+        self.raw_events = events
         self.shift_days = shift_days
         self.window_days = window_days
         self.every_days = every_days
         self.cumulative = cumulative
 
-    # -- calendar ---------------------------------------------------------------------
+    @cached_property
+    def events(self) -> DataFrame:
+        """The event log, computed once (sessionization included) and read by every branch."""
+        return materialize(self.raw_events.select(EVENT_ID, EVENT_TIME, "user_session", ITEM), "daily-events")
+
+    # -- calendar (tiny control tables, built once and materialized) --------------------
     def bounds(self) -> DataFrame:
+        return self._bounds
+
+    def test_dates(self) -> DataFrame:
+        return self._dates
+
+    def latest_upto(self) -> DataFrame:
+        return self._upto
+
+    def schedule(self) -> DataFrame:
+        return self._schedule
+
+    def versions(self) -> DataFrame:
+        return self._versions
+
+    @cached_property
+    def _bounds(self) -> DataFrame:
         """One row: max_time, cutoff, n_dates."""
         m = self.events.agg(F.max(EVENT_TIME).alias("max_time"))
         m = m.withColumn("cutoff", day_start(minus_days("max_time", self.shift_days)))
-        return m.withColumn("n_dates", whole_days_between(F.col("cutoff"), F.col("max_time")))
+        return materialize(m.withColumn("n_dates", whole_days_between(F.col("cutoff"), F.col("max_time"))),
+                           "daily-bounds")
 
-    def test_dates(self) -> DataFrame:
+    @cached_property
+    def _dates(self) -> DataFrame:
         """(test_date) — every midnight after the cutoff up to the max time."""
         b = self.bounds()
         k = F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("n_dates"), F.lit(1)).cast("bigint")))
         d = b.select("cutoff", "n_dates", k.alias("_k")).filter(F.col("_k") <= F.col("n_dates"))
-        return d.select((F.col("cutoff") + F.make_dt_interval(F.col("_k"))).alias("test_date"))
+        return materialize(d.select((F.col("cutoff") + F.make_dt_interval(F.col("_k"))).alias("test_date")),
+                           "daily-dates")
 
-    def latest_upto(self) -> DataFrame:
+    @cached_property
+    def _upto(self) -> DataFrame:
         """(test_date, upto): latest event time ≤ each date (and the cutoff), via per-day maxima."""
         per_day = self.events.groupBy(day_key(EVENT_TIME).alias("_key")).agg(F.max(EVENT_TIME).alias("_mt"))
         dates = self.test_dates().unionByName(self.bounds().select(F.col("cutoff").alias("test_date")))
         j = F.broadcast(dates).join(per_day, F.col("_key") <= F.col("test_date"), "left")
-        return j.groupBy("test_date").agg(F.max("_mt").alias("upto"))
+        return materialize(j.groupBy("test_date").agg(F.max("_mt").alias("upto")), "daily-upto")
 
-    def schedule(self) -> DataFrame:
+    @cached_property
+    def _schedule(self) -> DataFrame:
         """L2/L3/I8: (test_date, is_update, last_update) — the folded update recurrence."""
         up = self.latest_upto()
         b = self.bounds().select("cutoff")
@@ -86,9 +115,10 @@ class DailyProtocol:
 
         start = F.struct(F.col("_init").alias("last"), F.array().cast(f"array<{row_t}>").alias("out"))
         folded = init.crossJoin(arr).select(F.aggregate("_arr", start, step)["out"].alias("_out"))
-        return folded.select(F.explode("_out").alias("_r")).select("_r.*")
+        return materialize(folded.select(F.explode("_out").alias("_r")).select("_r.*"), "daily-schedule")
 
-    def versions(self) -> DataFrame:
+    @cached_property
+    def _versions(self) -> DataFrame:
         """(version, fit_date, fit_time, lo, hi): version 0 = initial fit; then one per update.
         Training events of a version: lo ≤ event_time ≤ hi (lo NULL = unbounded)."""
         up = self.latest_upto()
@@ -102,9 +132,13 @@ class DailyProtocol:
         vs = s.select(F.row_number().over(w).cast("bigint").alias("version"), F.col("test_date").alias("fit_date"),
                       F.col("last_update").alias("fit_time"),
                       minus_days("last_update", self.window_days).alias("lo"), F.col("test_date").alias("hi"))
-        return v0.unionByName(vs)
+        return materialize(v0.unionByName(vs), "daily-versions")
 
     def model_in_force(self) -> DataFrame:
+        return self._mif
+
+    @cached_property
+    def _mif(self) -> DataFrame:
         """(test_date, version) — as-of join of each date to the version valid then.
         Validity [fit_date, next fit_date) is closed on the left for cumulative scoring
         (update before scoring) and shifted by one date for prequential scoring."""
@@ -116,7 +150,7 @@ class DailyProtocol:
             cond = (F.col("test_date") >= F.col("fit_date")) & (F.col("_to").isNull() | (F.col("test_date") < F.col("_to")))
         else:
             cond = (F.col("test_date") > F.col("fit_date")) & (F.col("_to").isNull() | (F.col("test_date") <= F.col("_to")))
-        return d.join(F.broadcast(v), cond).select("test_date", "version")
+        return materialize(d.join(F.broadcast(v), cond).select("test_date", "version"), "daily-model-in-force")
 
     # -- training and test pairs ---------------------------------------------------------
     def pairs(self) -> DataFrame:
@@ -125,10 +159,14 @@ class DailyProtocol:
                         F.col(f"next_{EVENT_TIME}").alias("next_time"))
 
     def _version_keys(self) -> DataFrame:
+        return self._vkeys
+
+    @cached_property
+    def _vkeys(self) -> DataFrame:
         v = self.versions()
         los = v.filter(F.col("lo").isNotNull()).agg(F.array_sort(F.collect_set("lo")).alias("_los"))
         his = v.agg(F.array_sort(F.collect_set("hi")).alias("_his"))
-        return los.crossJoin(his)
+        return materialize(los.crossJoin(his), "daily-version-keys")
 
     @staticmethod
     def _lo_key(c):
@@ -138,20 +176,38 @@ class DailyProtocol:
     def _hi_key(c):
         return F.size(F.filter("_his", lambda b: b < c)).cast("bigint")
 
-    def window_counts(self) -> DataFrame:
-        """W_v: (version, prev_item, next_item, cnt) — pairs with both events in version v's window."""
+    @cached_property
+    def pair_counts(self) -> DataFrame:
+        """Pairs aggregated once by (version-bound keys, day keys, prev, next) and
+        materialized: every model version and every scored day reads this table."""
         keys = F.broadcast(self._version_keys())
         agg = self.pairs().crossJoin(keys).groupBy(
             self._lo_key(F.col("prev_time")).alias("_lk"), self._hi_key(F.col("next_time")).alias("_hk"),
+            day_key("prev_time").alias("_dp"), day_key("next_time").alias("_dn"),
             "prev_item", "next_item").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+        return materialize(agg, "daily-pair-counts")
+
+    def window_counts(self) -> DataFrame:
+        return self._window_counts
+
+    @cached_property
+    def _window_counts(self) -> DataFrame:
+        """W_v: (version, prev_item, next_item, cnt) — pairs with both events in version v's window."""
+        keys = F.broadcast(self._version_keys())
+        agg = self.pair_counts
         v = self.versions().crossJoin(keys)
         v = v.select("version", F.when(F.col("lo").isNull(), F.lit(0).cast("bigint"))
                      .otherwise(self._lo_key(F.col("lo"))).alias("_vl"), self._hi_key(F.col("hi")).alias("_vh"))
         # t ≥ lo ⟺ lo_key(t) ≥ lo_key(lo);  t ≤ hi ⟺ hi_key(t) ≤ hi_key(hi)
         j = agg.join(F.broadcast(v), (F.col("_lk") >= F.col("_vl")) & (F.col("_hk") <= F.col("_vh")))
-        return j.groupBy("version", "prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+        w = j.groupBy("version", "prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+        return materialize(w, "daily-window-counts")
 
     def transfer_counts(self) -> DataFrame:
+        return self._transfer
+
+    @cached_property
+    def _transfer(self) -> DataFrame:
         """K5: C_0 = W_0, C_v = C_{v−1} div 2 + W_v, per (prev, next) aligned by item id.
 
         Each (prev, next) folds over the version list (a one-row array, a handful of
@@ -173,20 +229,20 @@ class DailyProtocol:
         e = c.select("prev_item", "next_item", F.arrays_zip("_vids", "_c").alias("_z")) \
             .select("prev_item", "next_item", F.explode("_z").alias("_e"))
         e = e.select(F.col("_e._vids").alias("version"), "prev_item", "next_item", F.col("_e._c").alias("cnt"))
-        return e.filter(F.col("cnt") > 0)
+        return materialize(e.filter(F.col("cnt") > 0), "daily-transfer-counts")
 
     def test_counts(self) -> DataFrame:
         """(test_date, prev_item, target, n) — the scored pairs of each date."""
-        p = self.pairs()
+        p = self.pair_counts
         dates = F.broadcast(self.test_dates())
         if self.cumulative:
-            a = p.groupBy(day_key("next_time").alias("_key"), "prev_item", F.col("next_item").alias("target")) \
-                .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+            a = p.groupBy(F.col("_dn").alias("_key"), "prev_item", F.col("next_item").alias("target")) \
+                .agg(F.sum("cnt").alias("n"))
             j = a.join(dates, F.col("_key") <= F.col("test_date"))
             return j.groupBy("test_date", "prev_item", "target").agg(F.sum("n").cast("bigint").alias("n"))
-        a = p.filter(day_key("prev_time") == day_key("next_time")).groupBy(
-            day_key("next_time").alias("test_date"), "prev_item", F.col("next_item").alias("target")) \
-            .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+        a = p.filter(F.col("_dp") == F.col("_dn")).groupBy(
+            F.col("_dn").alias("test_date"), "prev_item", F.col("next_item").alias("target")) \
+            .agg(F.sum("cnt").cast("bigint").alias("n"))
         return a.join(dates, "test_date", "left_semi")
 
     def accuracy(self, variants=("static", "updated", "transfer"), ks=DEFAULT_KS) -> DataFrame:

@@ -22,8 +22,11 @@ aggregate meets the plan, so overlapping windows multiply counts, not raw rows.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..config import materialize
 from ..functions.hashing import HEX_WIDTH, threshold_column
 from ..operators.sessions import session_rows
 from ..operators.slices import event_positions
@@ -84,9 +87,9 @@ def _first_draw(pos_col: str):
     return F.array_min(F.transform(F.filter("_draws", admits), lambda d: d["q"]))
 
 
-def positioned_pairs(events: DataFrame) -> DataFrame:
+def positioned_pairs(events: DataFrame, positioned: bool = False) -> DataFrame:
     """Consecutive in-session pairs with both global positions."""
-    ev = event_positions(events)
+    ev = events if positioned else event_positions(events)
     rows = session_rows(ev, next_of=[ITEM, "pos"])
     return rows.filter(F.col(f"next_{ITEM}").isNotNull()).select(
         SESSION, EVENT_ID, F.col(ITEM).alias("prev_item"), F.col(f"next_{ITEM}").alias("next_item"),
@@ -99,27 +102,63 @@ class PhaseProtocol:
     def __init__(self, events: DataFrame, buffer: str = "growing"):
         self.events = events
         self.buffer = buffer
-        self.sz = sizes(events)
-        self.plan = phase_plan(self.sz)
-        self.draws = replay_draws(self.sz, self.plan)
-        if buffer == "frozen":
-            self.draws = self.draws.filter(F.col("q") == 0)
-        self.arrays = _one_row_arrays(self.plan, self.draws)
-
-    # -- plan with segment bounds -------------------------------------------------
+
+    # -- the event log with global positions: computed once, read by every branch ----
+    @cached_property
+    def base(self) -> DataFrame:
+        cols = [EVENT_ID, "event_time", SESSION, ITEM]
+        return materialize(event_positions(self.events.select(*cols)), "phase-base")
+
+    # -- control tables: a few rows each, built once and materialized --------------
+    @cached_property
+    def sz(self) -> DataFrame:
+        return materialize(sizes(self.base), "phase-sizes")
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        return materialize(phase_plan(self.sz), "phase-plan")
+
+    @cached_property
+    def draws(self) -> DataFrame:
+        d = replay_draws(self.sz, self.plan)
+        if self.buffer == "frozen":
+            d = d.filter(F.col("q") == 0)
+        return materialize(d, "phase-draws")
+
+    @cached_property
+    def arrays(self) -> DataFrame:
+        return materialize(_one_row_arrays(self.plan, self.draws), "phase-arrays")
+
     def plan_segs(self) -> DataFrame:
+        return self._plan_segs
+
+    @cached_property
+    def _plan_segs(self) -> DataFrame:
         p = self.plan.crossJoin(F.broadcast(self.arrays.select("_bounds")))
         for c in ("train_start", "train_end", "test_start", "test_end"):
             p = p.withColumn(f"{c}_seg", _seg(c))
-        return p.drop("_bounds")
+        return materialize(p.drop("_bounds"), "phase-plan-segs")
 
     # -- pairs aggregated by segment ----------------------------------------------
     def segment_counts(self) -> DataFrame:
-        pr = positioned_pairs(self.events).crossJoin(F.broadcast(self.arrays))
+        return self._segment_counts
+
+    @cached_property
+    def _segment_counts(self) -> DataFrame:
+        """Pairs → (seg_prev, seg_next, draw, prev, next, cnt), materialized: every phase,
+        variant and test slice reads this aggregate instead of the raw pairs."""
+        pr = positioned_pairs(self.base, positioned=True).crossJoin(F.broadcast(self.arrays))
         pr = pr.select("prev_item", "next_item", _seg("prev_pos").alias("seg_prev"),
                        _seg("next_pos").alias("seg_next"), _first_draw("next_pos").alias("draw"))
-        return pr.groupBy("seg_prev", "seg_next", "draw", "prev_item", "next_item") \
+        agg = pr.groupBy("seg_prev", "seg_next", "draw", "prev_item", "next_item") \
             .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+        return materialize(agg, "phase-segment-counts")
+
+    @cached_property
+    def positioned(self) -> DataFrame:
+        """Events with global position and first replay draw (a projection of ``base``)."""
+        ev = self.base.crossJoin(F.broadcast(self.arrays))
+        return ev.withColumn("draw", _first_draw("pos")).drop("_bounds", "_draws")
 
     def train_counts(self, variant: str = "replay") -> DataFrame:
         """(phase, prev_item, next_item, cnt) — the transition model of every phase."""
@@ -154,12 +193,11 @@ class PhaseProtocol:
 
     # -- row-level views --------------------------------------------------------------
     def positioned_events(self) -> DataFrame:
-        ev = event_positions(self.events).crossJoin(F.broadcast(self.arrays))
-        return ev.withColumn("draw", _first_draw("pos")).drop("_bounds", "_draws")
+        return self.positioned
 
     def phase_events(self) -> DataFrame:
         """(phase, role, event_id) — range join of events with the plan (no replay)."""
-        ev = event_positions(self.events)
+        ev = self.positioned
         p = F.broadcast(self.plan)
         tr = ev.join(p, (F.col("pos") >= F.col("train_start")) & (F.col("pos") < F.col("train_end")))
         te = ev.join(p, (F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end")))
@@ -194,7 +232,7 @@ class PhaseProtocol:
     def unknown_share(self) -> DataFrame:
         """per phase, share of test events / test targets unseen in its training rows."""
         known = self.train_rows().select("phase", F.col(ITEM).alias("_item")).distinct().withColumn("_k", F.lit(1))
-        ev = event_positions(self.events)
+        ev = self.positioned
         te = ev.join(F.broadcast(self.plan), (F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end")))
         te = te.select("phase", F.col(ITEM).alias("_item")).join(known, ["phase", "_item"], "left")
         ev_share = te.groupBy("phase").agg(
