@@ -370,3 +370,30 @@ def q_daily_topk_accuracy(spark, d):
 def q_daily_topk_accuracy_cumulative(spark, d):
     """The reference's order: update at d first, then score everything up to d."""
     return _daily(spark, d, cumulative=True).accuracy(variants=("static", "updated"))
+
+
+# ---------------------------------------------------------------- K: MLlib models (rows-only checks)
+@register("item_embeddings")
+def q_item_embeddings(spark, d):
+    from .operators.mllib import item_embeddings
+    ev = C.split_sessions(clicks(spark, d)).filter(F.col("is_train"))
+    return item_embeddings(ev).select("item", F.size("vector").alias("dim"), "vector")
+
+
+@register("mlp_next_item")
+def q_mlp_next_item(spark, d):
+    from .plans.learned import MlpProtocol
+    p = MlpProtocol(clicks(spark, d))
+    return p.predictions().select(SESSION, "row_num", "target", "label", F.col("prediction").cast("bigint"))
+
+
+@register("mlp_topk_accuracy")
+def q_mlp_topk_accuracy(spark, d):
+    from .plans.learned import MlpProtocol
+    return MlpProtocol(clicks(spark, d)).accuracy()
+
+
+@register("mlp_warm_start")
+def q_mlp_warm_start(spark, d):
+    from .plans.learned import warm_start_accuracy
+    return warm_start_accuracy(clicks(spark, d))
