@@ -397,3 +397,89 @@ def q_mlp_topk_accuracy(spark, d):
 def q_mlp_warm_start(spark, d):
     from .plans.learned import warm_start_accuracy
     return warm_start_accuracy(clicks(spark, d))
+
+
+# ---------------------------------------------------------------- M: streaming (stream = batch)
+def _staged(spark, d, **kw):
+    from .streaming.staging import read_stream, stage_batches
+    folder, fpt = stage_batches(clicks(spark, d), **kw)
+    return read_stream(spark, folder, fpt)
+
+
+@register("stream_events")
+def q_stream_events(spark, d):
+    from .streaming.jobs import events_stream
+    from .streaming.staging import run_to_parquet
+    out = run_to_parquet(events_stream(_staged(spark, d)), "stream-events")
+    return out.select(EVENT_ID, EVENT_TIME, USER, ITEM, SESSION)
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, d):
+    from .streaming.jobs import dedup_stream
+    from .streaming.staging import batch_time, run_to_parquet
+    out = run_to_parquet(dedup_stream(_staged(spark, d, overlap_seconds=6 * 3600)), "stream-dedup")
+    return batch_time(out).select(EVENT_ID, EVENT_TIME, USER, ITEM, SESSION)
+
+
+@register("windowed_popularity")
+def q_windowed_popularity(spark, d):
+    from .streaming.jobs import windowed_popularity
+    return windowed_popularity(clicks(spark, d))
+
+
+@register("stream_popularity")
+def q_stream_popularity(spark, d):
+    from .streaming.jobs import popularity_stream
+    from .streaming.staging import batch_time, run_to_parquet
+    out = run_to_parquet(popularity_stream(_staged(spark, d, sentinel=True)), "stream-popularity")
+    out = batch_time(batch_time(out, "window_start"), "window_end")
+    return out.filter(F.col("item") >= 0)
+
+
+@register("stream_sessions")
+def q_stream_sessions(spark, d):
+    from .streaming.jobs import session_stream
+    from .streaming.staging import batch_time, run_to_parquet
+    out = run_to_parquet(session_stream(_staged(spark, d, sentinel=True)), "stream-sessions")
+    out = batch_time(batch_time(out, "session_start"), "session_end")
+    return out.filter(F.col(USER) >= 0)
+
+
+@register("stream_history")
+def q_stream_history(spark, d):
+    from .streaming.jobs import history_stream
+    from .streaming.staging import run_to_parquet
+    out = run_to_parquet(history_stream(_staged(spark, d, sentinel=True)), "stream-history")
+    last = out.filter(F.col(SESSION) != "-1").groupBy(SESSION).agg(
+        F.max("row_num").alias("n_events"), F.max_by("history", "row_num").alias("history"))
+    return last
+
+
+@register("stream_recommend")
+def q_stream_recommend(spark, d):
+    from .streaming.jobs import recommend_stream
+    from .streaming.staging import run_to_parquet
+    _, model, vocab = _train_model(spark, d)
+    recs = J.recommend_topk(model, vocab, k=10, fill=True, tie="idx").filter(F.col("prev_item").isNotNull())
+    from .config import materialize
+    recs = materialize(recs, "stream-recs")
+    return run_to_parquet(recommend_stream(_staged(spark, d), recs), "stream-recommend")
+
+
+@register("stream_model_refresh")
+def q_stream_model_refresh(spark, d):
+    from .streaming.jobs import ModelRefresh
+    from .streaming.staging import run_foreach_batch
+    m = ModelRefresh(spark)
+    run_foreach_batch(_staged(spark, d), "stream-model", m)
+    return m.model()
+
+
+@register("stream_replay")
+def q_stream_replay(spark, d):
+    from .streaming.jobs import ReplayReservoir
+    from .streaming.staging import run_foreach_batch
+    r = ReplayReservoir(spark, n=500, seed="replay")
+    run_foreach_batch(_staged(spark, d), "stream-replay", r)
+    return r.sample()

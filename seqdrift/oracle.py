@@ -264,6 +264,10 @@ TRAIN_PAIRS = [CLICKS, SPLIT, rows_on("ev"), PAIRS.replace("SELECT user_session,
 
 
 def recommend_sql(k: int, excl: str = "SELECT NULL::BIGINT AS item WHERE FALSE") -> str:
+    return recommend_ctes(k, excl) + "\nSELECT prev_item, rank, item, score FROM recs"
+
+
+def recommend_ctes(k: int, excl: str = "SELECT NULL::BIGINT AS item WHERE FALSE") -> str:
     return f"""
 excl AS ({excl}),
 fol AS (
@@ -280,10 +284,12 @@ fills AS (
   FROM prevs p CROSS JOIN vocab v LEFT JOIN nf ON nf.prev_item = p.prev_item
   WHERE v.item NOT IN (SELECT item FROM excl)
     AND NOT EXISTS (SELECT 1 FROM model m WHERE m.prev_item = p.prev_item AND m.next_item = v.item)
-)
-SELECT prev_item, CAST(rank AS BIGINT) AS rank, item, score FROM fol WHERE rank <= {k}
-UNION ALL
-SELECT prev_item, CAST(rank AS BIGINT) AS rank, item, score FROM fills WHERE rank <= {k}"""
+),
+recs AS (
+  SELECT prev_item, CAST(rank AS BIGINT) AS rank, item, score FROM fol WHERE rank <= {k}
+  UNION ALL
+  SELECT prev_item, CAST(rank AS BIGINT) AS rank, item, score FROM fills WHERE rank <= {k}
+)"""
 
 
 SQL["recommend_topk"] = "WITH " + ",".join(TRAIN_PAIRS) + "," + recommend_sql(10)
@@ -572,3 +578,31 @@ ranked AS (
   LEFT JOIN fr ON fr.variant = v.variant AND fr.test_date = t.test_date AND fr.prev_item = t.prev_item
               AND fr.next_item = t.target
 )""")
+
+# ---------------------------------------------------------------- M: streaming twins (= batch results)
+SQL["stream_events"] = with_ctes(CLICKS, body="SELECT event_id, event_time, user_id, product_id, user_session FROM clicks")
+SQL["stream_dedup"] = SQL["stream_events"]
+SQL["windowed_popularity"] = with_ctes(CLICKS, body="""
+SELECT ws AS window_start, ws + INTERVAL 3 DAY AS window_end, product_id AS item, count(*) AS n
+FROM (SELECT product_id, CAST(CAST(event_time AS DATE) AS TIMESTAMP) - CAST(k.k AS INTEGER) * INTERVAL 1 DAY AS ws
+      FROM clicks, (VALUES (0), (1), (2)) k(k))
+GROUP BY 1, 2, 3""")
+SQL["stream_popularity"] = SQL["windowed_popularity"]
+SQL["stream_sessions"] = with_ctes(CLICKS, body="""
+SELECT user_id, min(event_time) AS session_start, max(event_time) + INTERVAL 1 DAY AS session_end,
+       count(*) AS n_events, arg_min(product_id, (event_time, event_id)) AS first_item,
+       arg_max(product_id, (event_time, event_id)) AS last_item
+FROM clicks GROUP BY user_session, user_id""")
+SQL["stream_history"] = with_ctes(CLICKS, rows_on("clicks"), body="""
+SELECT user_session, max(row_num) AS n_events,
+       array_to_string(list(product_id ORDER BY row_num) FILTER (WHERE row_num > session_len - 10), ',') AS history
+FROM rows_ GROUP BY user_session""")
+SQL["stream_recommend"] = "WITH " + ",".join(TRAIN_PAIRS) + "," + recommend_ctes(10) + """
+SELECT c.event_id, c.product_id, r.rank, r.item, r.score
+FROM clicks c JOIN recs r ON r.prev_item = c.product_id"""
+SQL["stream_model_refresh"] = SQL["transition_model"]
+SQL["stream_replay"] = with_ctes(CLICKS, body="""
+SELECT event_id, user_session FROM (
+  SELECT event_id, user_session, row_number() OVER (ORDER BY md5('replay' || CAST(event_id AS VARCHAR))) AS r
+  FROM clicks)
+WHERE r <= 500""")
