@@ -483,3 +483,23 @@ def q_stream_replay(spark, d):
     r = ReplayReservoir(spark, n=500, seed="replay")
     run_foreach_batch(_staged(spark, d), "stream-replay", r)
     return r.sample()
+
+
+# ---------------------------------------------------------------- I2/I3, C2
+@register("history_padded")
+def q_history_padded(spark, d):
+    """Model input of held-out sessions — training-vocabulary indices (unseen → −1),
+    ids outside [0, n_labels) clamped to 0, left-padded with −1 to length 10."""
+    ev, vi, _ = _train_vocabs(spark, d)
+    test = D.encode(ev.filter(~F.col("is_train")), vi, ITEM, "idx", unknown="minus_one")
+    test = test.drop(ITEM).withColumnRenamed("idx", ITEM)
+    rows = S.session_rows(test, next_of=[ITEM])
+    h = S.history_windows(rows, 10).crossJoin(F.broadcast(D.vocab_size(vi)))
+    x = S.padded("history", 10, pad=-1, n_items=F.col("n_labels"))
+    return h.select(SESSION, "row_num", render(x).alias("padded"), F.col(f"next_{ITEM}").alias("target"))
+
+
+@register("sample_rows")
+def q_sample_rows(spark, d):
+    """Bernoulli 5% row sample (size approximate; rows-only check)."""
+    return C.sample_rows(clicks(spark, d), 0.05, seed=42).select(EVENT_ID, SESSION)

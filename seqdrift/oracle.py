@@ -606,3 +606,18 @@ SELECT event_id, user_session FROM (
   SELECT event_id, user_session, row_number() OVER (ORDER BY md5('replay' || CAST(event_id AS VARCHAR))) AS r
   FROM clicks)
 WHERE r <= 500""")
+
+# ---------------------------------------------------------------- I2/I3
+SQL["history_padded"] = with_ctes(CLICKS, SPLIT, "vi AS (" + vocab_sql("ev", "product_id", "is_train") + ")", """
+enc AS (
+  SELECT e.event_id, e.event_time, e.user_session, coalesce(vi.idx, -1) AS product_id
+  FROM ev e LEFT JOIN vi ON vi.item = e.product_id WHERE NOT e.is_train
+)""", rows_on("enc"), body="""
+SELECT user_session, row_num,
+       array_to_string(list_concat(list_transform(range(10 - len(h)), lambda x: -1),
+                                   list_transform(h, lambda x: CASE WHEN x >= 0 AND x < nl
+                                                                    THEN x ELSE 0 END)), ',') AS padded,
+       next_item AS target
+FROM (SELECT *, list(product_id) OVER (PARTITION BY user_session ORDER BY row_num
+                                       ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h FROM rows_),
+     (SELECT count(*) AS nl FROM vi)""")

@@ -93,3 +93,16 @@ def test_entry_smoke(spark):
     assert df.columns == ["k", "n", "hits", "accuracy"] and df.count() == 5
     assert set(E.oracle_sql()) <= set(E.queries())
     assert os.path.isdir(SF001)
+
+
+def test_event_log_partition_pruning(spark, tmp_path):
+    from seqdrift.sources.adapters import clicks
+    from seqdrift.sources.sinks import read_event_log, write_event_log
+    ev = clicks(spark, SF001)
+    out = str(tmp_path / "log")
+    write_event_log(ev, out, files=3)
+    r = read_event_log(spark, out, until=dt.datetime(2024, 1, 10, 12, 0))
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters" in plan
+    want = ev.filter(F.col("event_time") <= F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")).count()
+    assert r.count() == want
