@@ -33,13 +33,25 @@ def register(name: str):
 
 
 def clicks(spark, sf_dir):
+    """The sessionized ``clicks`` log, written once to the shared folder.
+
+    Gap sessionization and every ordered operator downstream are two-pass (a block
+    summary, then a join back), so a lazily recomputed input would be rebuilt once
+    per pass and per nesting level. Queries with several branches read this table.
+    """
+    from .config import materialize
+    return materialize(A.clicks(spark, sf_dir), "clicks")
+
+
+def raw_clicks(spark, sf_dir):
+    """The lazy adapter, for single-pass queries (a write would be pure overhead)."""
     return A.clicks(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- A: sources
 register("clicks")(lambda spark, d: A.clicks(spark, d))
 register("baskets")(lambda spark, d: A.baskets(spark, d))
-register("ingest_stats")(lambda spark, d: ingest_stats(A.clicks(spark, d)))
+register("ingest_stats")(lambda spark, d: ingest_stats(raw_clicks(spark, d)))
 
 
 # ---------------------------------------------------------------- sessions
@@ -101,7 +113,7 @@ def q_vocab_sessions(spark, d):
 
 @register("popularity")
 def q_popularity(spark, d):
-    return D.popularity(clicks(spark, d), ITEM)
+    return D.popularity(raw_clicks(spark, d), ITEM)
 
 
 def _train_vocabs(spark, d, adapter="clicks"):
@@ -148,7 +160,7 @@ def q_vocab_remap(spark, d):
 # ---------------------------------------------------------------- C/E: splits and samples
 @register("split_sessions")
 def q_split_sessions(spark, d):
-    return C.split_sessions(clicks(spark, d)).select(SESSION, "is_train").distinct()
+    return C.split_sessions(raw_clicks(spark, d)).select(SESSION, "is_train").distinct()
 
 
 @register("split_semi")
@@ -241,8 +253,9 @@ def q_transition_model(spark, d):
 
 
 def _train_model(spark, d):
-    ev, train_pairs, test_pairs, vocab = split_parts(clicks(spark, d))
-    return ev, J.transition_model(train_pairs), vocab
+    from .plans.baseline import SplitProtocol
+    sp = SplitProtocol(clicks(spark, d))
+    return sp.events, sp.model, sp.vocab
 
 
 @register("recommend_topk")
@@ -425,7 +438,7 @@ def q_stream_dedup(spark, d):
 @register("windowed_popularity")
 def q_windowed_popularity(spark, d):
     from .streaming.jobs import windowed_popularity
-    return windowed_popularity(clicks(spark, d))
+    return windowed_popularity(raw_clicks(spark, d))
 
 
 @register("stream_popularity")

@@ -3,20 +3,29 @@
 Split by session (C1, an md5 test per row: no shuffle) → session pairs (one pass for
 both sides, pairs never cross sessions) → vocabulary and transition model from the
 training side → Top-K accuracy of the test side, all k at once.
+
+The split log, the vocabulary and one pair aggregate ``(is_train, prev, next) → cnt``
+are written once (shared folder) and every branch — model, follower ranks, fill
+candidates, test pairs — reads them: the sessionized log is computed once per run
+instead of once per branch.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..config import materialize
 from ..operators.sampling import split_sessions
 from ..operators.sessions import session_pairs
-from ..operators.transitions import DEFAULT_KS, aggregate_tests, target_ranks, topk_accuracy, transition_model
+from ..operators.transitions import DEFAULT_KS, target_ranks, topk_accuracy
 from ..operators.vocab import fit_vocab
-from ..schema import ITEM
+from ..schema import EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
 
 
 def split_parts(events: DataFrame, frac: float = 0.8, seed: str = ""):
+    """Lazy (events with is_train, train pairs, test pairs, training vocabulary)."""
     ev = split_sessions(events, frac, seed)
     pairs = session_pairs(ev)
     train_pairs = pairs.filter(F.col("is_train"))
@@ -25,10 +34,43 @@ def split_parts(events: DataFrame, frac: float = 0.8, seed: str = ""):
     return ev, train_pairs, test_pairs, vocab
 
 
+class SplitProtocol:
+    def __init__(self, events: DataFrame, frac: float = 0.8, seed: str = ""):
+        self.raw = events
+        self.frac = frac
+        self.seed = seed
+
+    @cached_property
+    def events(self) -> DataFrame:
+        ev = split_sessions(self.raw, self.frac, self.seed).select(EVENT_ID, EVENT_TIME, USER, ITEM, SESSION,
+                                                                    "is_train")
+        return materialize(ev, "split-events")
+
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return materialize(fit_vocab(self.events.filter(F.col("is_train")), ITEM), "split-vocab")
+
+    @cached_property
+    def pair_counts(self) -> DataFrame:
+        p = session_pairs(self.events).groupBy("is_train", "prev_item", "next_item") \
+            .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+        return materialize(p, "split-pair-counts")
+
+    @property
+    def model(self) -> DataFrame:
+        return self.pair_counts.filter(F.col("is_train")).select("prev_item", "next_item", "cnt")
+
+    @property
+    def tests(self) -> DataFrame:
+        return self.pair_counts.filter(~F.col("is_train")).select(
+            "prev_item", F.col("next_item").alias("target"), F.col("cnt").alias("n"))
+
+    def accuracy(self, ks=DEFAULT_KS, fill: bool = True, tie: str = "idx") -> DataFrame:
+        ranked = target_ranks(self.tests, self.model, self.vocab, max(ks), fill=fill, tie=tie)
+        return topk_accuracy(ranked, ks)
+
+
 def split_topk_accuracy(events: DataFrame, frac: float = 0.8, seed: str = "", ks=DEFAULT_KS,
                         fill: bool = True, tie: str = "idx") -> DataFrame:
     """(k, n, hits, accuracy) of the transition model on held-out sessions."""
-    _, train_pairs, test_pairs, vocab = split_parts(events, frac, seed)
-    model = transition_model(train_pairs)
-    ranked = target_ranks(aggregate_tests(test_pairs), model, vocab, max(ks), fill=fill, tie=tie)
-    return topk_accuracy(ranked, ks)
+    return SplitProtocol(events, frac, seed).accuracy(ks, fill, tie)

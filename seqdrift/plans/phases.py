@@ -114,20 +114,22 @@ class PhaseProtocol:
     def sz(self) -> DataFrame:
         return materialize(sizes(self.base), "phase-sizes")
 
+    # plan, draws and arrays are projections of the one-row ``sz`` table: cheap to
+    # derive wherever they are used, so they stay lazy.
     @cached_property
     def plan(self) -> DataFrame:
-        return materialize(phase_plan(self.sz), "phase-plan")
+        return phase_plan(self.sz)
 
     @cached_property
     def draws(self) -> DataFrame:
         d = replay_draws(self.sz, self.plan)
         if self.buffer == "frozen":
             d = d.filter(F.col("q") == 0)
-        return materialize(d, "phase-draws")
+        return d
 
     @cached_property
     def arrays(self) -> DataFrame:
-        return materialize(_one_row_arrays(self.plan, self.draws), "phase-arrays")
+        return _one_row_arrays(self.plan, self.draws)
 
     def plan_segs(self) -> DataFrame:
         return self._plan_segs
@@ -137,7 +139,7 @@ class PhaseProtocol:
         p = self.plan.crossJoin(F.broadcast(self.arrays.select("_bounds")))
         for c in ("train_start", "train_end", "test_start", "test_end"):
             p = p.withColumn(f"{c}_seg", _seg(c))
-        return materialize(p.drop("_bounds"), "phase-plan-segs")
+        return p.drop("_bounds")
 
     # -- pairs aggregated by segment ----------------------------------------------
     def segment_counts(self) -> DataFrame:
