@@ -516,3 +516,9 @@ def q_history_padded(spark, d):
 def q_sample_rows(spark, d):
     """Bernoulli 5% row sample (size approximate; rows-only check)."""
     return C.sample_rows(clicks(spark, d), 0.05, seed=42).select(EVENT_ID, SESSION)
+
+
+@register("phase_topk_accuracy_rows")
+def q_phase_topk_accuracy_rows(spark, d):
+    """The reference's replay: exact-size row draws, pairs rebuilt after the union."""
+    return _phases(spark, d).accuracy(variants=("replay_rows",))

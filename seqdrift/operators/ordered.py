@@ -50,6 +50,8 @@ def ordered_index(
     """
     keys = list(keys)
     bnames = [b for b, _ in buckets]
+    if name in ("_r", "_n", "_off") or name in bnames:
+        raise ValueError(f"output name {name!r} collides with an internal column")
     order_cols = _cols(order)
     blk = keys + bnames
 

@@ -621,3 +621,42 @@ SELECT user_session, row_num,
 FROM (SELECT *, list(product_id) OVER (PARTITION BY user_session ORDER BY row_num
                                        ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h FROM rows_),
      (SELECT count(*) AS nl FROM vi)""")
+
+SQL["phase_topk_accuracy_rows"] = with_ctes(CLICKS, PHASE, f"""
+rdraw AS (
+  SELECT d.q, p.event_id,
+         row_number() OVER (PARTITION BY d.q ORDER BY
+           md5('replay' || CAST(d.q AS VARCHAR) || '|' || CAST(p.event_id AS VARCHAR))) AS r
+  FROM pos_ p JOIN draws d ON p.pos < d.bound
+),
+rsel AS (SELECT event_id, min(q) AS draw FROM rdraw, sz WHERE r <= sz.buffer GROUP BY 1),
+trows AS (
+  SELECT pl.phase, e.event_id, e.event_time, e.user_session, e.product_id
+  FROM pos_ e JOIN plan pl ON e.pos >= pl.train_start AND e.pos < pl.train_end
+  UNION ALL
+  SELECT pl.phase, e.event_id, e.event_time, e.user_session, e.product_id
+  FROM pos_ e JOIN rsel r ON r.event_id = e.event_id JOIN plan pl ON pl.phase >= 1 AND r.draw < pl.phase
+),
+tp AS (
+  SELECT phase, product_id AS prev_item,
+         lead(product_id) OVER (PARTITION BY phase, user_session ORDER BY event_time, event_id) AS next_item
+  FROM trows
+),
+train AS (SELECT phase, prev_item, next_item, count(*) AS cnt FROM tp WHERE next_item IS NOT NULL GROUP BY 1, 2, 3),
+tests AS (
+  SELECT pl.phase, pp.prev_item, pp.next_item AS target, count(*) AS n
+  FROM pp, plan pl WHERE pp.prev_pos >= pl.test_start AND pp.next_pos < pl.test_end GROUP BY 1, 2, 3
+),
+fr AS (
+  SELECT phase, prev_item, next_item,
+         row_number() OVER (PARTITION BY phase, prev_item ORDER BY cnt DESC, next_item) AS rank
+  FROM train
+),
+ranked AS (
+  SELECT t.phase, t.n, fr.rank FROM tests t
+  LEFT JOIN fr ON fr.phase = t.phase AND fr.prev_item = t.prev_item AND fr.next_item = t.target
+)""", body=f"""
+SELECT phase, 'replay_rows' AS variant, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS BIGINT) AS hits,
+       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy
+FROM ranked, {KS} GROUP BY phase, k""")

@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import materialize
 from ..functions.hashing import HEX_WIDTH, threshold_column
-from ..operators.sessions import session_rows
+from ..operators.ordered import ordered_index
+from ..operators.sessions import DEFAULT_BLOCK_SECONDS, session_rows
 from ..operators.slices import event_positions
+from ..functions.time import time_bucket
 from ..operators.transitions import DEFAULT_KS, target_ranks, topk_accuracy
 from ..schema import EVENT_ID, ITEM, SESSION
 
@@ -182,12 +184,44 @@ class PhaseProtocol:
         return j.groupBy("phase", "prev_item", F.col("next_item").alias("target")) \
             .agg(F.sum("cnt").cast("bigint").alias("n"))
 
+    # -- unit="row": the reference's replay ---------------------------------------------
+    @cached_property
+    def row_draws(self) -> DataFrame:
+        """(event_id, draw): draw q keeps exactly ``buffer`` rows — the bottom ones by
+        md5(seed, q, event_id) among rows before its bound; ``draw`` = first draw keeping
+        the row. Ranks come from hash-prefix blocks per draw (no single-task sort)."""
+        ev = self.base.select(EVENT_ID, "pos")
+        d = ev.join(F.broadcast(self.draws.select("q", "bound")), F.col("pos") < F.col("bound"))
+        key = F.concat(F.lit(REPLAY_SEED), F.col("q").cast("string"), F.lit("|"), F.col(EVENT_ID).cast("string"))
+        d = d.withColumn("_h", F.md5(key))
+        r = ordered_index(d, ["q"], ["_h"], [("_hb", F.substring("_h", 1, 3))], name="_hrank", start=0)
+        r = r.crossJoin(F.broadcast(self.sz.select("buffer"))).filter(F.col("_hrank") < F.col("buffer"))
+        return materialize(r.groupBy(EVENT_ID).agg(F.min("q").alias("draw")), "phase-row-draws")
+
+    def row_replay_counts(self) -> DataFrame:
+        """(phase, prev_item, next_item, cnt): pairs rebuilt by ``lead`` over each phase's
+        window ∪ buffer rows, so a buffer row may pair with a window row (Q27)."""
+        base = self.base.join(self.row_draws, EVENT_ID, "left")
+        p = F.broadcast(self.plan.select("phase", "train_start", "train_end"))
+        win = base.join(p, (F.col("pos") >= F.col("train_start")) & (F.col("pos") < F.col("train_end")))
+        buf = base.filter(F.col("draw").isNotNull()).join(
+            F.broadcast(self.plan.filter(F.col("phase") >= 1).select("phase")), F.col("draw") < F.col("phase"))
+        cols = ["phase", EVENT_ID, "event_time", SESSION, ITEM]
+        rows = win.select(*cols).unionByName(buf.select(*cols))
+        o = ordered_index(rows, ["phase", SESSION], ["event_time", EVENT_ID],
+                          [("_blk", time_bucket("event_time", DEFAULT_BLOCK_SECONDS))], name="_rn",
+                          next_of=[ITEM])
+        o = o.filter(F.col(f"next_{ITEM}").isNotNull())
+        return o.groupBy("phase", F.col(ITEM).alias("prev_item"), F.col(f"next_{ITEM}").alias("next_item")) \
+            .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+
     def accuracy(self, variants=("window", "replay"), ks=DEFAULT_KS, tie: str = "item") -> DataFrame:
-        """(phase, variant, k, n, hits, accuracy) for every phase and variant at once."""
+        """(phase, variant, k, n, hits, accuracy) for every phase and variant at once.
+        Variants: ``window`` (no replay), ``replay`` (session draws), ``replay_rows`` (row draws)."""
         tests = self.test_counts()
         out = None
         for v in variants:
-            model = self.train_counts(v)
+            model = self.row_replay_counts() if v == "replay_rows" else self.train_counts(v)
             r = target_ranks(tests, model, None, max(ks), keys=["phase"], fill=False, tie=tie)
             a = topk_accuracy(r, ks, keys=["phase"]).withColumn("variant", F.lit(v))
             out = a if out is None else out.unionByName(a)
