@@ -62,6 +62,8 @@ def stage_batches(events: DataFrame, n_batches: int = 3, files_per_batch: int =
 
 
 def read_stream(spark, folder: str, files_per_trigger: int) -> DataFrame:
+    # Event-time windows and watermarks need instants: wall-clock times are read as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
