@@ -33,14 +33,13 @@ def register(name: str):
 
 
 def clicks(spark, sf_dir):
-    """The sessionized ``clicks`` log, written once to the shared folder.
+    """The sessionized ``clicks`` log (lazy).
 
-    Gap sessionization and every ordered operator downstream are two-pass (a block
-    summary, then a join back), so a lazily recomputed input would be rebuilt once
-    per pass and per nesting level. Queries with several branches read this table.
+    The adapter is cheap to recompute (two pruned scans and a shuffle of the
+    per-(user, day) summary), so one level of two-pass operators reads it lazily;
+    the protocols, which nest several levels, write their own base tables once.
     """
-    from .config import materialize
-    return materialize(A.clicks(spark, sf_dir), "clicks")
+    return A.clicks(spark, sf_dir)
 
 
 def raw_clicks(spark, sf_dir):

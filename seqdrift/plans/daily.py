@@ -32,13 +32,11 @@ from ..operators.sessions import session_pairs
 from ..operators.transitions import DEFAULT_KS, target_ranks, topk_accuracy, transition_model
 from ..schema import EVENT_ID, EVENT_TIME, ITEM
 
-ONE_DAY = F.make_dt_interval(F.lit(1))
-
-
 def day_key(col):
     """The test date d with t ∈ (d − 1 day, d]: midnight after t (t itself at midnight)."""
     c = F.col(col) if isinstance(col, str) else col
-    return day_start(c - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))) + ONE_DAY
+    one_micro = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
+    return day_start(c - one_micro) + F.make_dt_interval(F.lit(1))
 
 
 class DailyProtocol:
@@ -71,13 +69,19 @@ class DailyProtocol:
     def versions(self) -> DataFrame:
         return self._versions
 
+    @cached_property
+    def per_day(self) -> DataFrame:
+        """(_key, _mt): latest event of each day key — one pass, one row per day. Every
+        calendar table (bounds, dates, per-date maxima, schedule) derives from it."""
+        g = self.events.groupBy(day_key(EVENT_TIME).alias("_key")).agg(F.max(EVENT_TIME).alias("_mt"))
+        return materialize(g, "daily-per-day")
+
     @cached_property
     def _bounds(self) -> DataFrame:
         """One row: max_time, cutoff, n_dates."""
-        m = self.events.agg(F.max(EVENT_TIME).alias("max_time"))
+        m = self.per_day.agg(F.max("_mt").alias("max_time"))
         m = m.withColumn("cutoff", day_start(minus_days("max_time", self.shift_days)))
-        return materialize(m.withColumn("n_dates", whole_days_between(F.col("cutoff"), F.col("max_time"))),
-                           "daily-bounds")
+        return m.withColumn("n_dates", whole_days_between(F.col("cutoff"), F.col("max_time")))
 
     @cached_property
     def _dates(self) -> DataFrame:
@@ -90,10 +94,9 @@ class DailyProtocol:
     @cached_property
     def _upto(self) -> DataFrame:
         """(test_date, upto): latest event time ≤ each date (and the cutoff), via per-day maxima."""
-        per_day = self.events.groupBy(day_key(EVENT_TIME).alias("_key")).agg(F.max(EVENT_TIME).alias("_mt"))
         dates = self.test_dates().unionByName(self.bounds().select(F.col("cutoff").alias("test_date")))
-        j = F.broadcast(dates).join(per_day, F.col("_key") <= F.col("test_date"), "left")
-        return materialize(j.groupBy("test_date").agg(F.max("_mt").alias("upto")), "daily-upto")
+        j = F.broadcast(dates).join(self.per_day, F.col("_key") <= F.col("test_date"), "left")
+        return j.groupBy("test_date").agg(F.max("_mt").alias("upto"))
 
     @cached_property
     def _schedule(self) -> DataFrame:
@@ -228,7 +231,7 @@ class DailyProtocol:
         e = c.select("prev_item", "next_item", F.arrays_zip("_vids", "_c").alias("_z")) \
             .select("prev_item", "next_item", F.explode("_z").alias("_e"))
         e = e.select(F.col("_e._vids").alias("version"), "prev_item", "next_item", F.col("_e._c").alias("cnt"))
-        return materialize(e.filter(F.col("cnt") > 0), "daily-transfer-counts")
+        return e.filter(F.col("cnt") > 0)
 
     def test_counts(self) -> DataFrame:
         """(test_date, prev_item, target, n) — the scored pairs of each date."""
