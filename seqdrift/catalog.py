@@ -483,7 +483,7 @@ def q_stream_recommend(spark, d):
 def q_stream_model_refresh(spark, d):
     from .streaming.jobs import ModelRefresh
     from .streaming.staging import run_foreach_batch
-    m = ModelRefresh(spark)
+    m = ModelRefresh(spark, expire_seconds=86_400)  # clicks sessions: 1-day inactivity gap
     run_foreach_batch(_staged(spark, d), "stream-model", m)
     return m.model()
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .ordered import ordered_index
 
-PREFIX_LEN = 2
+PREFIX_LEN = 3  # text-prefix characters per rank block: ≤ 10³ blocks per frequency for numeric ids
 
 
 def popularity(df: DataFrame, col: str) -> DataFrame:

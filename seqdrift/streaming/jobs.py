@@ -131,8 +131,12 @@ class ModelRefresh:
     as a new version. The model is the sum of the deltas.
     """
 
-    def __init__(self, spark):
+    def __init__(self, spark, expire_seconds: int | None = None):
+        """expire_seconds: for logs sessionized by an inactivity gap, the gap — a tail row
+        older than the batch's first event minus the gap can never be continued, so the
+        tail keeps only open sessions (bounded state). None keeps every session."""
         self.spark = spark
+        self.expire_seconds = expire_seconds
         self.root = scratch_path(spark, "model-refresh")
         self.tail_path = None
 
@@ -141,6 +145,11 @@ class ModelRefresh:
             .select(EVENT_ID, EVENT_TIME, USER, ITEM, SESSION).withColumn("_new", F.lit(True))
         if self.tail_path:
             tail = self.spark.read.parquet(self.tail_path).withColumn("_new", F.lit(False))
+            if self.expire_seconds is not None:
+                lo = ev.agg(F.min(EVENT_TIME).alias("_lo"))
+                tail = tail.crossJoin(F.broadcast(lo)).filter(
+                    F.col("_lo").isNull() | (F.col(EVENT_TIME) >= F.col("_lo") - F.make_dt_interval(
+                        F.lit(0), F.lit(0), F.lit(0), F.lit(self.expire_seconds)))).drop("_lo")
             ev = ev.unionByName(tail)
         pairs = session_pairs(ev, extra_next=["_new"]).filter(F.col("next__new"))
         transition_model(pairs).write.mode("overwrite").parquet(f"{self.root}/delta/batch_id={batch_id}")
