@@ -44,6 +44,62 @@ def gap_sessions(events: DataFrame, gap_seconds: int = 86_400, user: str = USER,
     return ev.join(blocks, on=[user, b], how="inner").drop(b)
 
 
+def gap_session_rows(events: DataFrame, gap_seconds: int = 86_400, next_of=(), with_size: bool = False,
+                     user: str = USER) -> DataFrame:
+    """``gap_sessions`` and ``session_rows`` fused into one pass over the events.
+
+    A block is one gap-wide time bucket of one user; it never spans two sessions
+    (two of its events are less than a gap apart). So row numbers and successors
+    can be taken inside (user, block) — the only full shuffle — and everything
+    else comes from the block summary (one row per active user-block): session
+    ordinal, the block's offset inside its session, the next block's first values
+    when it continues the same session. The join back is co-partitioned with the
+    window's output, so only the summary moves. Equals ``session_rows(gap_sessions(…))``.
+    """
+    b = "_gb"
+    d = events.withColumn(b, time_bucket(EVENT_TIME, gap_seconds))
+    w_in = Window.partitionBy(user, b).orderBy(EVENT_TIME, EVENT_ID)
+    d = d.withColumn("_r", F.row_number().over(w_in))
+    for c in next_of:
+        d = d.withColumn(f"_nx_{c}", F.lead(c, 1).over(w_in))
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min(EVENT_TIME).alias("_first"), F.max(EVENT_TIME).alias("_last")]
+    aggs += [F.min_by(F.col(c), F.col("_r")).alias(f"_first_{c}") for c in next_of]
+    blocks = d.groupBy(user, b).agg(*aggs)
+    wu = Window.partitionBy(user).orderBy(b)
+    prev_last = F.lag("_last", 1).over(wu)
+    start = F.when(prev_last.isNull() |
+                   (epoch_micros("_first") - epoch_micros(prev_last) > F.lit(gap_seconds * MICROS_PER_SECOND)),
+                   F.lit(1)).otherwise(F.lit(0))
+    blocks = blocks.withColumn("_start", start)
+    blocks = blocks.withColumn("_ord", F.sum("_start").over(wu.rowsBetween(Window.unboundedPreceding, 0)))
+    ws = Window.partitionBy(user, "_ord").orderBy(b)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(ws.rowsBetween(Window.unboundedPreceding, -1)),
+                                                  F.lit(0)))
+    for c in next_of:
+        blocks = blocks.withColumn(f"_nb_{c}", F.lead(f"_first_{c}", 1).over(ws))
+    if with_size:
+        blocks = blocks.withColumn("session_len", F.sum("_n").over(Window.partitionBy(user, "_ord")))
+    keep = [user, b, "_n", "_off", F.concat(F.col(user).cast("string"), F.lit("-"),
+                                            F.col("_ord").cast("string")).alias(SESSION)]
+    keep += [f"_nb_{c}" for c in next_of] + (["session_len"] if with_size else [])
+    out = d.join(blocks.select(*keep), on=[user, b], how="inner")
+    out = out.withColumn("row_num", (F.col("_off") + F.col("_r")).cast("bigint"))
+    for c in next_of:
+        out = out.withColumn(f"next_{c}", F.when(F.col("_r") == F.col("_n"), F.col(f"_nb_{c}"))
+                             .otherwise(F.col(f"_nx_{c}")))
+    drop = [b, "_r", "_n", "_off"] + [f"_nx_{c}" for c in next_of] + [f"_nb_{c}" for c in next_of]
+    return out.drop(*drop)
+
+
+def pairs_from_rows(rows: DataFrame, compat: bool = False) -> DataFrame:
+    """Pairs from ordered rows carrying ``row_num`` and ``next_<item>`` (and ``session_len``
+    when compat): the last row of a session has no successor."""
+    d = rows.filter(F.col(f"next_{ITEM}").isNotNull())
+    if compat:
+        d = d.filter(F.col("row_num") <= F.col("session_len") - 2).drop("session_len")
+    return d.withColumnRenamed(ITEM, "prev_item").withColumnRenamed(f"next_{ITEM}", "next_item")
+
+
 def session_rows(events: DataFrame, block_seconds: int = DEFAULT_BLOCK_SECONDS,
                  next_of=(), with_size: bool = False) -> DataFrame:
     """Add ``row_num`` (1-based) inside each session along (event_time, event_id)."""
@@ -63,11 +119,7 @@ def session_pairs(events: DataFrame, compat: bool = False,
     Columns: user_session, row_num, prev_item, next_item (+ ``next_<c>`` for extra_next).
     """
     nx = [ITEM] + [c for c in extra_next if c != ITEM]
-    d = session_rows(events, block_seconds, next_of=nx, with_size=compat)
-    d = d.filter(F.col(f"next_{ITEM}").isNotNull())
-    if compat:
-        d = d.filter(F.col("row_num") <= F.col("session_len") - 2).drop("session_len")
-    return d.withColumnRenamed(ITEM, "prev_item").withColumnRenamed(f"next_{ITEM}", "next_item")
+    return pairs_from_rows(session_rows(events, block_seconds, next_of=nx, with_size=compat), compat)
 
 
 def session_sequences(events: DataFrame, min_len: int = 2, chunk_len: int = 1024,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators.sessions import gap_sessions
+from ..operators.sessions import gap_session_rows, gap_sessions
 from ..schema import EVENT_COLUMNS, EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
 from .files import read_table
 
@@ -33,6 +33,12 @@ def clicks(spark: SparkSession, sf_dir: str, gap_seconds: int = 86_400) -> DataF
     return gap_sessions(click_events(spark, sf_dir), gap_seconds).select(*EVENT_COLUMNS)
 
 
+def click_rows(spark: SparkSession, sf_dir: str, gap_seconds: int = 86_400, next_of=(ITEM,),
+               with_size: bool = False) -> DataFrame:
+    """``clicks`` already ordered: + row_num, next_<c> (and session_len), one full shuffle."""
+    return gap_session_rows(click_events(spark, sf_dir), gap_seconds, next_of=list(next_of), with_size=with_size)
+
+
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sessions. ``event_id`` numbers the lines of an order (unique only with
     the session) by (l_linenumber, l_partkey, l_suppkey, l_extendedprice).

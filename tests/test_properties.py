@@ -108,3 +108,12 @@ def test_results_independent_of_partitioning(spark):
     a = sorted(map(tuple, S.session_pairs(ev.repartition(1)).select("event_id", "next_item").collect()))
     b = sorted(map(tuple, S.session_pairs(ev.repartition(7)).select("event_id", "next_item").collect()))
     assert a == b
+
+
+def test_fused_gap_rows_equal_two_step(spark):
+    ev = random_log(spark, seed=13).drop("user_session")
+    for gap in (3600, 86400):
+        fused = S.gap_session_rows(ev, gap, next_of=["product_id", "event_time"], with_size=True)
+        two = S.session_rows(S.gap_sessions(ev, gap), next_of=["product_id", "event_time"], with_size=True)
+        cols = ["event_id", "user_session", "row_num", "next_product_id", "next_event_time", "session_len"]
+        assert sorted(map(tuple, fused.select(*cols).collect())) == sorted(map(tuple, two.select(*cols).collect()))
