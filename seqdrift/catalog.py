@@ -56,17 +56,18 @@ register("ingest_stats")(lambda spark, d: ingest_stats(raw_clicks(spark, d)))
 # ---------------------------------------------------------------- sessions
 @register("session_rows")
 def q_session_rows(spark, d):
-    return S.session_rows(clicks(spark, d)).select(SESSION, EVENT_ID, "row_num", ITEM)
+    return A.click_rows(spark, d, next_of=()).select(SESSION, EVENT_ID, "row_num", ITEM)
 
 
 @register("session_pairs")
 def q_session_pairs(spark, d):
-    return S.session_pairs(clicks(spark, d)).select(SESSION, "row_num", "prev_item", "next_item")
+    return _pairs(spark, d).select(SESSION, "row_num", "prev_item", "next_item")
 
 
 @register("session_pairs_compat")
 def q_session_pairs_compat(spark, d):
-    return S.session_pairs(clicks(spark, d), compat=True).select(SESSION, "row_num", "prev_item", "next_item")
+    rows = A.click_rows(spark, d, with_size=True)
+    return S.pairs_from_rows(rows, compat=True).select(SESSION, "row_num", "prev_item", "next_item")
 
 
 @register("basket_pairs")
@@ -76,13 +77,13 @@ def q_basket_pairs(spark, d):
 
 @register("session_sequences")
 def q_session_sequences(spark, d):
-    s = S.session_sequences(clicks(spark, d), min_len=2, chunk_len=1024)
+    s = S.sequences_from_rows(A.click_rows(spark, d, next_of=(), with_size=True), min_len=2, chunk_len=1024)
     return s.select(SESSION, "chunk", "session_len", render(F.col("items")).alias("items"))
 
 
 @register("history_windows")
 def q_history_windows(spark, d):
-    rows = S.session_rows(clicks(spark, d), next_of=[ITEM])
+    rows = A.click_rows(spark, d)
     h = S.history_windows(rows, 10)
     return h.select(SESSION, "row_num", render(F.col("history")).alias("history"),
                     F.col(f"next_{ITEM}").alias("target"))
@@ -233,7 +234,8 @@ def q_trailing_window(spark, d):
 
 # ---------------------------------------------------------------- F/J: statistics and models
 def _pairs(spark, d):
-    return S.session_pairs(clicks(spark, d))
+    """Pairs of the clicks log straight from the fused sessionizer (one full shuffle)."""
+    return S.pairs_from_rows(A.click_rows(spark, d, next_of=(ITEM, EVENT_TIME)))
 
 
 @register("follow_stats")

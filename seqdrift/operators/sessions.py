@@ -131,7 +131,12 @@ def session_sequences(events: DataFrame, min_len: int = 2, chunk_len: int = 1024
     giant session cannot become one giant array. Sessions shorter than ``min_len``
     are dropped.
     """
-    d = session_rows(events, block_seconds, with_size=True).filter(F.col("session_len") >= min_len)
+    return sequences_from_rows(session_rows(events, block_seconds, with_size=True), min_len, chunk_len)
+
+
+def sequences_from_rows(rows: DataFrame, min_len: int = 2, chunk_len: int = 1024) -> DataFrame:
+    """``session_sequences`` for rows already carrying ``row_num`` and ``session_len``."""
+    d = rows.filter(F.col("session_len") >= min_len)
     d = d.withColumn("chunk", ((F.col("row_num") - 1) / chunk_len).cast("bigint"))
     g = d.groupBy(SESSION, "chunk", "session_len").agg(
         F.array_sort(F.collect_list(F.struct("row_num", ITEM))).alias("_s"))
