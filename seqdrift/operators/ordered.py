@@ -7,8 +7,8 @@ along the order, e.g. an hour of ``event_time``):
 
 1. inside each (key, bucket) block: ``row_number`` / ``lead`` / ``lag`` — a window
    whose largest partition is one block, not one key;
-2. per block: row count, first and last value — a partial aggregate (map-side
-   combine), at most one row per block;
+2. per block: row count, first and last value — a partial aggregate of the
+   un-windowed input (map-side combine), at most one row per block;
 3. over the small block table, per key ordered by bucket: running offset, the
    next block's first value, the previous block's last value;
 4. join back on (key, bucket): the large side is already hash-partitioned on
@@ -55,25 +55,31 @@ def ordered_index(
     order_cols = _cols(order)
     blk = keys + bnames
 
-    d = df
+    base = df
     for b, expr in buckets:
-        d = d.withColumn(b, expr)
+        base = base.withColumn(b, expr)
 
     w_in = Window.partitionBy(*blk).orderBy(*order_cols)
-    d = d.withColumn("_r", F.row_number().over(w_in))
+    d = base.withColumn("_r", F.row_number().over(w_in))
     for c in next_of:
         d = d.withColumn(f"_nx_{c}", F.lead(c, 1).over(w_in))
     for c in prev_of:
         d = d.withColumn(f"_pv_{c}", F.lag(c, 1).over(w_in))
 
-    # Block summary: count, and first/last values along the order. The order key of
-    # a row is its ``_r`` inside the block, so min/max by ``_r`` are exact.
+    # Block summary: count, and first/last values along the order. It is aggregated
+    # from the un-windowed input (partial aggregation map-side), so this branch
+    # shuffles one partial row per block and partition, never the rows themselves.
+    # With an ascending order given by column names the first/last row is
+    # min/max_by(struct(order)); other orders fall back to the in-block row number.
+    plain = all(isinstance(o, str) for o in order)
+    src = base if plain else d
+    okey = F.struct(*[F.col(o) for o in order]) if plain else F.col("_r")
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in next_of:
-        aggs.append(F.min_by(F.col(c), F.col("_r")).alias(f"_first_{c}"))
+        aggs.append(F.min_by(F.col(c), okey).alias(f"_first_{c}"))
     for c in prev_of:
-        aggs.append(F.max_by(F.col(c), F.col("_r")).alias(f"_last_{c}"))
-    blocks = d.groupBy(*blk).agg(*aggs)
+        aggs.append(F.max_by(F.col(c), okey).alias(f"_last_{c}"))
+    blocks = src.groupBy(*blk).agg(*aggs)
 
     w_key = Window.partitionBy(*keys).orderBy(*[F.col(b) for b in bnames]) if keys else \
         Window.orderBy(*[F.col(b) for b in bnames])

@@ -57,14 +57,16 @@ def gap_session_rows(events: DataFrame, gap_seconds: int = 86_400, next_of=(), w
     window's output, so only the summary moves. Equals ``session_rows(gap_sessions(…))``.
     """
     b = "_gb"
-    d = events.withColumn(b, time_bucket(EVENT_TIME, gap_seconds))
+    base = events.withColumn(b, time_bucket(EVENT_TIME, gap_seconds))
     w_in = Window.partitionBy(user, b).orderBy(EVENT_TIME, EVENT_ID)
-    d = d.withColumn("_r", F.row_number().over(w_in))
+    d = base.withColumn("_r", F.row_number().over(w_in))
     for c in next_of:
         d = d.withColumn(f"_nx_{c}", F.lead(c, 1).over(w_in))
+    # the summary is a partial aggregate of the un-windowed input: no second full shuffle
+    okey = F.struct(EVENT_TIME, EVENT_ID)
     aggs = [F.count(F.lit(1)).alias("_n"), F.min(EVENT_TIME).alias("_first"), F.max(EVENT_TIME).alias("_last")]
-    aggs += [F.min_by(F.col(c), F.col("_r")).alias(f"_first_{c}") for c in next_of]
-    blocks = d.groupBy(user, b).agg(*aggs)
+    aggs += [F.min_by(F.col(c), okey).alias(f"_first_{c}") for c in next_of]
+    blocks = base.groupBy(user, b).agg(*aggs)
     wu = Window.partitionBy(user).orderBy(b)
     prev_last = F.lag("_last", 1).over(wu)
     start = F.when(prev_last.isNull() |
