@@ -26,7 +26,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from ..schema import ITEM, SESSION
+from ..schema import SESSION
 from .sessions import session_sequences
 
 EMBED_DIM = 32

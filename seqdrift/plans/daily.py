@@ -287,4 +287,4 @@ def initial_transitions(events: DataFrame, shift_days: int = 14) -> DataFrame:
     return transition_model(session_pairs(initial_events(events, shift_days)))
 
 
-__all__ = ["DailyProtocol", "day_key", "initial_events", "initial_transitions", "ITEM"]
+__all__ = ["DailyProtocol", "day_key", "initial_events", "initial_transitions"]

@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import materialize, scratch_path
+from ..config import scratch_path
 from ..operators.sampling import exact_sample
 from ..operators.sessions import session_pairs
 from ..operators.transitions import transition_model
 from ..schema import EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
-from .staging import batch_time, stream_time
+from .staging import stream_time
 
 WATERMARK = "1 day"
 
@@ -193,4 +193,4 @@ class ReplayReservoir:
 
 
 __all__ = ["events_stream", "dedup_stream", "windowed_popularity", "popularity_stream", "session_stream",
-           "history_stream", "recommend_stream", "ModelRefresh", "ReplayReservoir", "batch_time", "materialize"]
+           "history_stream", "recommend_stream", "ModelRefresh", "ReplayReservoir"]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import materialize, scratch_path
 from ..functions.time import MICROS_PER_SECOND, epoch_micros
-from ..schema import EVENT_COLUMNS, EVENT_ID, EVENT_SCHEMA, EVENT_TIME, ITEM, SESSION, USER
+from ..schema import EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TIME
 
 SENTINEL_TIME = "2100-01-01 00:00:00"
 
@@ -94,4 +94,4 @@ def _has_files(spark, path: str) -> bool:
 
 
 __all__ = ["stage_batches", "read_stream", "run_to_parquet", "run_foreach_batch", "stream_time", "batch_time",
-           "SENTINEL_TIME", "EVENT_ID", "ITEM", "SESSION", "USER"]
+           "SENTINEL_TIME"]

@@ -2,7 +2,6 @@
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import functions as F
 
 from seqdrift.operators import mllib as K
 
