@@ -3,9 +3,10 @@
 * K1 ``item_embeddings``: Word2Vec over session sequences. Sentences are the bounded
   chunks of ``session_sequences`` (never one giant array per session).
 * K2 ``fit_mlp``: MultilayerPerceptronClassifier over the mean of the embeddings of
-  the last L history items; classes are the top-N items by frequency plus one
-  "other" class — the output layer (hidden × classes weights) is held by the
-  optimizer on the driver, so its width is capped by N, not by the catalogue.
+  the last L history items; one class per training-vocabulary item plus one class
+  for unseen targets (always a miss). The output layer (hidden × classes weights)
+  is held by the optimizer on the driver: its size grows with the item catalogue,
+  not with the data. An explicit ``top_n`` caps the classes (the rest → "other").
 * K3 ``mlp_ranks``: rank of the target class in each probability vector without a
   sort: 1 + #classes with a larger probability ("other" is never a hit).
 * K4 ``warm_start_weights``: initial weights for a new model from an old one; the

@@ -19,7 +19,7 @@ from ..operators.vocab import fit_vocab
 from ..schema import EVENT_TIME, ITEM
 
 HISTORY = 10
-TOP_N = 100
+TOP_N = None  # one class per training-vocabulary item (no cap); an int caps it (rest → "other")
 
 
 def split_histories(events: DataFrame, length: int = HISTORY) -> DataFrame:
@@ -31,13 +31,16 @@ def split_histories(events: DataFrame, length: int = HISTORY) -> DataFrame:
 
 
 class MlpProtocol:
-    def __init__(self, events: DataFrame, top_n: int = TOP_N, length: int = HISTORY, max_iter: int = 20):
+    def __init__(self, events: DataFrame, top_n: int | None = TOP_N, length: int = HISTORY, max_iter: int = 20):
         self.events = split_sessions(events)
         self.top_n = top_n
         self.length = length
         self.max_iter = max_iter
         self.train_events = self.events.filter(F.col("is_train"))
-        self.vocab = fit_vocab(self.train_events, ITEM)
+        self.vocab = materialize(fit_vocab(self.train_events, ITEM), "mlp-vocab")
+        # output width = vocabulary size (a scalar): MLlib holds hidden × classes weights on the driver
+        self.top_n = top_n if top_n is not None else self.vocab.count()
+        top_n = self.top_n
         self.classes = K.class_vocab(self.vocab, top_n)
         self.emb = materialize(K.item_embeddings(self.train_events), "mlp-embeddings")
         feats = K.pooled_features(split_histories(events, length), self.emb)
@@ -55,7 +58,7 @@ class MlpProtocol:
         return topk_accuracy(r, ks)
 
 
-def warm_start_accuracy(events: DataFrame, top_n: int = TOP_N, length: int = HISTORY, shift_days: int = 14,
+def warm_start_accuracy(events: DataFrame, top_n: int | None = TOP_N, length: int = HISTORY, shift_days: int = 14,
                         max_iter_old: int = 20, max_iter_new: int = 5, ks=DEFAULT_KS) -> DataFrame:
     """K4: a model fitted up to the cutoff, then refitted on later data from scratch
     ("cold") or from its weights aligned by item ("warm"); both scored on later
@@ -65,21 +68,25 @@ def warm_start_accuracy(events: DataFrame, top_n: int = TOP_N, length: int = HIS
     ev = ev.crossJoin(F.broadcast(cut)).withColumn("is_old", F.col(EVENT_TIME) <= F.col("cutoff")).drop("cutoff")
     old_ev = ev.filter(F.col("is_train") & F.col("is_old"))
     new_ev = ev.filter(F.col("is_train") & ~F.col("is_old"))
-    old_cls = K.class_vocab(fit_vocab(old_ev, ITEM), top_n)
-    new_cls = K.class_vocab(fit_vocab(new_ev, ITEM), top_n)
+    old_v = materialize(fit_vocab(old_ev, ITEM), "mlp-old-vocab")
+    new_v = materialize(fit_vocab(new_ev, ITEM), "mlp-new-vocab")
+    n_old = top_n if top_n is not None else old_v.count()
+    n_new = top_n if top_n is not None else new_v.count()
+    old_cls = K.class_vocab(old_v, n_old)
+    new_cls = K.class_vocab(new_v, n_new)
     emb = materialize(K.item_embeddings(old_ev), "mlp-warm-embeddings")
     h = split_histories(events, length).crossJoin(F.broadcast(cut)) \
         .withColumn("is_old", F.col(EVENT_TIME) <= F.col("cutoff")).drop("cutoff")
     feats = materialize(K.pooled_features(h, emb), "mlp-warm-features")
-    old_train = K.labelled(feats.filter(F.col("is_train") & F.col("is_old")), old_cls, top_n)
-    new_train = K.labelled(feats.filter(F.col("is_train") & ~F.col("is_old")), new_cls, top_n)
-    new_test = K.labelled(feats.filter(~F.col("is_train") & ~F.col("is_old")), new_cls, top_n)
-    old_model = K.fit_mlp(old_train, top_n, max_iter=max_iter_old)
-    w0 = K.warm_start_weights(old_model, old_cls, new_cls, top_n, top_n)
+    old_train = K.labelled(feats.filter(F.col("is_train") & F.col("is_old")), old_cls, n_old)
+    new_train = K.labelled(feats.filter(F.col("is_train") & ~F.col("is_old")), new_cls, n_new)
+    new_test = K.labelled(feats.filter(~F.col("is_train") & ~F.col("is_old")), new_cls, n_new)
+    old_model = K.fit_mlp(old_train, n_old, max_iter=max_iter_old)
+    w0 = K.warm_start_weights(old_model, old_cls, new_cls, n_old, n_new)
     out = None
     for variant, init in (("cold", None), ("warm", w0)):
-        m = K.fit_mlp(new_train, top_n, max_iter=max_iter_new, initial_weights=init)
-        r = K.mlp_ranks(m.transform(new_test), top_n).withColumn("n", F.lit(1).cast("bigint"))
+        m = K.fit_mlp(new_train, n_new, max_iter=max_iter_new, initial_weights=init)
+        r = K.mlp_ranks(m.transform(new_test), n_new).withColumn("n", F.lit(1).cast("bigint"))
         a = topk_accuracy(r, ks).withColumn("variant", F.lit(variant))
         out = a if out is None else out.unionByName(a)
     return out.select("variant", "k", "n", "hits", "accuracy")
