@@ -105,3 +105,16 @@ def test_transfer_recurrence(clicks01):
         for v in versions:
             c = c // 2 + w.get((v,) + key, 0)
             assert t.get((v,) + key, 0) == c
+
+
+def test_session_shape_anchors(spark, clicks01):
+    """FIXTURES §2: clicks @0.01 — longest 52, 943 sessions with ≥3 events;
+    baskets @0.01 — 14,743 sessions, longest 13, 11,494 with ≥3."""
+    from seqdrift.sources.adapters import baskets
+    c = clicks01.groupBy("user_session").count()
+    a = c.agg(F.max("count").alias("mx"), F.count_if(F.col("count") >= 3).alias("n3")).first()
+    assert (a.mx, a.n3) == (52, 943)
+    b = baskets(spark, SF01).groupBy("user_session").count()
+    a = b.agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("mx"),
+              F.count_if(F.col("count") >= 3).alias("n3")).first()
+    assert (a.n, a.mx, a.n3) == (14_743, 13, 11_494)
