@@ -32,3 +32,12 @@ def test_continual_clock_and_buffer(spark, log):
     assert buf.count() == 3
     out = c.evaluate_and_log_performance(log, dt.datetime(2024, 1, 2))
     assert out.filter("alert").count() == 0
+
+
+def test_predict_with_exclusions(spark, log):
+    p = NextItemPredictor()
+    p.train(log)
+    hist = spark.createDataFrame([("a", [20, 10])], "user_session string, history array<bigint>")
+    ex = spark.createDataFrame([(20,)], "item bigint")
+    got = sorted((r.rank, r.item) for r in p.predict_next_items(hist, k=2, exclude_items=ex).collect())
+    assert [i for _, i in got] == [10, 30]
