@@ -92,7 +92,7 @@ def q_history_windows(spark, d):
 # ---------------------------------------------------------------- flagship
 @register("topk_accuracy")
 def q_topk_accuracy(spark, d):
-    return split_topk_accuracy(clicks(spark, d), frac=0.8, fill=True, tie="idx")
+    return split_topk_accuracy(A.click_rows(spark, d), frac=0.8, fill=True, tie="idx", ordered=True)
 
 
 # ---------------------------------------------------------------- D: vocabularies
@@ -255,7 +255,7 @@ def q_transition_model(spark, d):
 
 def _train_model(spark, d):
     from .plans.baseline import SplitProtocol
-    sp = SplitProtocol(clicks(spark, d))
+    sp = SplitProtocol(A.click_rows(spark, d), ordered=True)
     return sp.events, sp.model, sp.vocab
 
 

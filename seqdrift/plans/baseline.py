@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import materialize
 from ..operators.sampling import split_sessions
-from ..operators.sessions import session_pairs
+from ..operators.sessions import pairs_from_rows, session_pairs
 from ..operators.transitions import DEFAULT_KS, target_ranks, topk_accuracy
 from ..operators.vocab import fit_vocab
 from ..schema import EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
@@ -35,15 +35,22 @@ def split_parts(events: DataFrame, frac: float = 0.8, seed: str = ""):
 
 
 class SplitProtocol:
-    def __init__(self, events: DataFrame, frac: float = 0.8, seed: str = ""):
+    """``ordered=True``: the log already carries ``row_num`` and ``next_<item>`` (e.g. the
+    fused clicks sessionizer). The split keeps whole sessions, so those successors stay
+    valid and the pairs need no further shuffle."""
+
+    def __init__(self, events: DataFrame, frac: float = 0.8, seed: str = "", ordered: bool = False):
         self.raw = events
         self.frac = frac
         self.seed = seed
+        self.ordered = ordered
 
     @cached_property
     def events(self) -> DataFrame:
-        ev = split_sessions(self.raw, self.frac, self.seed).select(EVENT_ID, EVENT_TIME, USER, ITEM, SESSION,
-                                                                    "is_train")
+        cols = [EVENT_ID, EVENT_TIME, USER, ITEM, SESSION, "is_train"]
+        if self.ordered:
+            cols += ["row_num", f"next_{ITEM}"]
+        ev = split_sessions(self.raw, self.frac, self.seed).select(*cols)
         return materialize(ev, "split-events")
 
     @cached_property
@@ -52,7 +59,8 @@ class SplitProtocol:
 
     @cached_property
     def pair_counts(self) -> DataFrame:
-        p = session_pairs(self.events).groupBy("is_train", "prev_item", "next_item") \
+        pairs = pairs_from_rows(self.events) if self.ordered else session_pairs(self.events)
+        p = pairs.groupBy("is_train", "prev_item", "next_item") \
             .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
         return materialize(p, "split-pair-counts")
 
@@ -71,6 +79,6 @@ class SplitProtocol:
 
 
 def split_topk_accuracy(events: DataFrame, frac: float = 0.8, seed: str = "", ks=DEFAULT_KS,
-                        fill: bool = True, tie: str = "idx") -> DataFrame:
+                        fill: bool = True, tie: str = "idx", ordered: bool = False) -> DataFrame:
     """(k, n, hits, accuracy) of the transition model on held-out sessions."""
-    return SplitProtocol(events, frac, seed).accuracy(ks, fill, tie)
+    return SplitProtocol(events, frac, seed, ordered).accuracy(ks, fill, tie)
