@@ -23,8 +23,10 @@ from .superkmers import gram_hashes, scatter
 BUCKETS = 1 << 16
 SHIFT = np.uint64(48)
 BYTE_GRAM = 3
-#: Rejection below this score; trusted documents score around 0.05 and hardly ever under -0.08.
-THRESHOLD = -0.12
+PRIOR = 20.0
+#: Rejection below this score. Clean documents score around 0.1, with few trusted ones down to -0.2;
+#: documents of symbols, bars, shouting or stuttering mostly score under -0.4.
+THRESHOLD = -0.25
 
 MIN_WORDS = 10
 REPEAT_GRAM = 5
@@ -129,10 +131,16 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
 
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
-    """Smoothed log p(target) - log p(raw) per table and bucket; zero where nothing is trusted."""
+    """log p(target) - log p(raw) per table and bucket; zero where nothing is trusted.
+
+    The target is smoothed towards the raw corpus: a bucket gets ``PRIOR`` counts beside what it has
+    and what the raw share lets expect. A rare n-gram, which a clean document outside the small
+    trusted part is full of, then says little; only well-counted ones speak.
+    """
+    target, raw = counts
     total = counts.sum(axis=2, keepdims=True)
-    logs = np.log(counts + 1.0) - np.log(total + float(BUCKETS))
-    return np.where(total[0] > 0, logs[0] - logs[1], 0.0)
+    expected = raw * (total[0] / np.maximum(total[1], 1))
+    return np.where(total[0] > 0, np.log((target + PRIOR) / (expected + PRIOR)), 0.0)
 
 
 def scores(part: Slice, ratio: np.ndarray) -> np.ndarray:
