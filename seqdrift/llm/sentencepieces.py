@@ -6,8 +6,8 @@ is no piece is written as the pieces of its UTF-8 bytes). For byte-pair models a
 piece pairs joins them: a pair (a, b) has weight infinity in the tropical semiring unless merging
 the string ab by piece rank leaves exactly a, b. A piece sequence is the model's own segmentation
 exactly if all its neighbouring pairs are accepted, so the cheapest path through the composition of
-an input with these machines is that segmentation (arcs of finite weight cost nothing more). Paths are found per chunk (a run of spaces and
-what follows, which no piece crosses) and chunks are remembered, since most words come again.
+an input with these machines is that segmentation (arcs of finite weight cost nothing more). Paths are found per chunk (cut where no piece
+crosses) and chunks are remembered, since most words come again.
 
 Decoding runs the same machines backwards: pieces to characters, byte pieces to UTF-8.
 """
@@ -15,6 +15,7 @@ Decoding runs the same machines backwards: pieces to characters, byte pieces to
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ from .common import read, text_chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 SPACE = "▁"
-#: Chunks and piece pairs that a Python worker remembers before it starts anew.
-REMEMBERED = 1 << 20
+#: Chunks (twice) and piece pairs that a Python worker remembers.
+REMEMBERED = 600_000
+#: Arcs are piece ids, or the number of pieces plus a code point (fallback). Piece 0 is no text.
+START, ARC_BITS = 0, 22
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -85,14 +88,36 @@ class PieceTransducer:
         self.id_of = {p: i for i, (p, _, kind) in enumerate(model["pieces"]) if kind == self.NORMAL}
         self.score = {p: s for p, s, kind in model["pieces"] if kind == self.NORMAL}
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model["pieces"]) if kind == self.BYTE}
-        self.longest = max(map(len, self.id_of), default=1)
+        self.n_pieces = len(model["pieces"])
+        self.trie: dict = {}
+        for p, i in self.id_of.items():
+            node = self.trie
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = i
         self.out = [p.encode() if kind == self.NORMAL else b"" for p, _, kind in model["pieces"]]
         for b, i in self.byte_id.items():
             self.out[i] = bytes([b])
-        self.whole_spaces = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id_of)
-        self.chunk = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.accepted: dict[tuple[str, str], bool] = {}
+        self.chunk = self._chunk_pattern()
+        self.accepted: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _chunk_pattern(self) -> re.Pattern:
+        """Splits a text where no piece can cross, as the pieces themselves tell.
+
+        Merges only ever join what is inside one piece, so a text may be cut between two characters
+        that no piece has side by side: before a run of spaces, between a letter or digit and the
+        marks that follow none in any piece, and around line ends.
+        """
+        pairs = {(a, b) for p in self.id_of for a, b in zip(p, p[1:])}
+        after_word = {b for a, b in pairs if a.isalnum()}
+        marks = {b for _, b in pairs if not b.isalnum() and b not in after_word and b not in (SPACE, "_")}
+        if any(a != SPACE and b == SPACE or "\n" in (a, b) for a, b in pairs):
+            return re.compile(r"(?s:.+)")
+        mark, stop = re.escape("".join(sorted(marks))), SPACE + r"\n"
+        other = rf"(?:[^\w{stop}]|_)"
+        return re.compile(rf"\n|{SPACE}*+{other}*+(?:[^\W_]++(?:(?:[^\w{stop}{mark}]|_){other}*+)?+)*+")
 
     def normalise(self, text: str) -> str:
         if self.model["squeeze"]:
@@ -115,63 +140,80 @@ class PieceTransducer:
             i = best[1]
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
-    def accepts(self, a: str, b: str) -> bool:
-        """Whether the pair acceptor gives piece b after piece a (a empty: b alone) weight zero."""
-        known = self.accepted.get((a, b))
-        if known is None:
-            if len(self.accepted) >= REMEMBERED:
-                self.accepted.clear()
-            known = self.accepted[a, b] = self.merge(a + b) == [x for x in (a, b) if x]
+    def accepts(self, a: int, b: int) -> bool:
+        """Whether the pair acceptor gives arc b after arc a (START: at the beginning) weight zero."""
+        if len(self.accepted) >= REMEMBERED:
+            self.accepted.clear()
+        pair = [x for x in (self.text_of(a), self.text_of(b)) if x]
+        known = self.accepted[a << ARC_BITS | b] = self.merge("".join(pair)) == pair
         return known
 
-    def shortest_path(self, chunk: str) -> list[str]:
-        """The cheapest accepted path through the composition: states are (place, last piece).
+    def text_of(self, arc: int) -> str:
+        if arc == START:
+            return ""
+        return self.model["pieces"][arc][0] if arc < self.n_pieces else chr(arc - self.n_pieces)
+
+    def shortest_path(self, chunk: str) -> list[int]:
+        """Arcs of the cheapest accepted path through the composition; states are (place, last arc).
 
         The segmentation of a prefix is unique, so of all states at a place one has a finite
-        weight: the search at a place ends with the first arc that reaches it.
+        weight: the search at a place ends with the first arc that reaches it. Arcs into a place are
+        the pieces that end there (a walk down the trie of reversed pieces), or the fallback arc.
         """
-        last: list[str | None] = [""]
-        known, lexicon, longest = self.accepted, self.id_of, self.longest
+        known, root = self.accepted, self.trie
+        last, came = [START], [0]
         for end in range(1, len(chunk) + 1):
-            here = None
-            for start in range(end - longest if end > longest else 0, end):
-                piece = chunk[start:end]
-                # a lexicon arc, or the fallback arc of a single character
-                if piece in lexicon or end - start == 1:
-                    before = last[start]
-                    if before is not None:
-                        ok = known.get((before, piece))
-                        if self.accepts(before, piece) if ok is None else ok:
-                            here = piece
-                            break
-            last.append(here)
+            node, start, arcs = root, end, []
+            while start:
+                node = node.get(chunk[start - 1])
+                if node is None:
+                    break
+                start -= 1
+                arc = node.get("")
+                if arc is not None:
+                    arcs.append((start, arc))
+            if not arcs or arcs[0][0] != end - 1:
+                arcs.insert(0, (end - 1, self.n_pieces + ord(chunk[end - 1])))
+            for start, arc in reversed(arcs):
+                before = last[start]
+                ok = known.get(before << ARC_BITS | arc)
+                if self.accepts(before, arc) if ok is None else ok:
+                    break
+            last.append(arc)
+            came.append(start)
         path, end = [], len(chunk)
         while end:
             path.append(last[end])
-            end -= len(last[end])
+            end = came[end]
         return path[::-1]
 
     def _chunk_ids(self, chunk: str) -> bytes:
-        ids = []
-        for piece in self.shortest_path(chunk):
-            i = self.id_of.get(piece)
-            ids += [i] if i is not None else [self.byte_id[b] for b in piece.encode()]
-        return np.array(ids, np.int32).tobytes()
+        ids = array("i")
+        for arc in self.shortest_path(chunk):
+            if arc < self.n_pieces:
+                ids.append(arc)
+            else:
+                ids.extend([self.byte_id[b] for b in chr(arc - self.n_pieces).encode()])
+        return ids.tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         text = self.normalise(text)
-        chunks = self.chunk.findall(text) if self.whole_spaces else [text] if text else []
+        chunks = self.chunk.findall(text)
         known = self.known
-        out = []
-        for c in chunks:
-            ids = known.get(c)
-            if ids is None:
-                ids = self._chunk_ids(c)
-                if len(c) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[c] = ids
-            out.append(ids)
+        if chunks and not chunks[-1]:
+            chunks.pop()  # the empty match at the end
+        out = list(map(known.get, chunks))
+        if None in out:
+            for i, c in enumerate(chunks):
+                if out[i] is None:
+                    ids = known.get(c) or self.older.get(c) or self._chunk_ids(c)
+                    if len(c) <= 64:
+                        if len(known) >= REMEMBERED:
+                            # chunks that don't come again are forgotten with the older half
+                            self.older, self.known = known, {}
+                            known = self.known
+                        known[c] = ids
+                    out[i] = ids
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
