@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 LAST_ID = 2 ** 63 - 1
 
 #: Bytes of text that a Python task works on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def read(spark, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+#: Rows of a narrow table up to which it is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast ``table`` if its counted rows allow it."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it.
 

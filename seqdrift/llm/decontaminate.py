@@ -27,15 +27,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqdrift.config import materialize
 
-from .common import let, read, words_of
+from .common import let, read, sized, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
 MAX_BITS = 23
 BLOCKS = 8
-#: Rows of benchmark tables up to which they are broadcast; larger ones are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
-
 LANE = 0x0000000100000001
 
 
@@ -109,11 +106,6 @@ def rare_shingles(items: DataFrame, similarity: float) -> DataFrame:
         "width", "n", F.col("s.shingle").alias("shingle")).distinct()
 
 
-def sized(table: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``table`` if its counted rows allow it."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity): contaminated documents and the items found in them.
 

@@ -17,7 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import read, text_chunks
+from seqdrift.config import materialize
+
+from .common import read, sized, text_chunks
 from .superkmers import gram_hashes, scatter
 
 BUCKETS = 1 << 16
@@ -105,9 +107,13 @@ class Slice:
 
 
 def count_ngrams(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Counts [target / raw][table][bucket] over all rows of ``docs``; trusted: (doc_id)."""
-    good = trusted.select(F.col("doc_id").alias("_good")).where("_good is not null").distinct()
-    rows = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_good"), "left")
+    """Counts [target / raw][table][bucket] over all rows of ``docs``; trusted: (doc_id).
+
+    The ids of the trusted documents are counted and sent to the texts if few enough; beyond that
+    the texts are shuffled to the ids.
+    """
+    good = materialize(trusted.select(F.col("doc_id").alias("_good")).where("_good is not null").distinct(), "rules-trusted")
+    rows = docs.select("doc_id", "text").join(sized(good, good.count()), F.col("doc_id") == F.col("_good"), "left")
     rows = rows.select("text", F.col("_good").isNotNull().cast("int").alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

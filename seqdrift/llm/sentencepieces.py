@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 SPACE = "▁"
 #: Chunks (twice) and piece pairs that a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Arcs are piece ids, or the number of pieces plus a code point (fallback). Piece 0 is no text.
 START, ARC_BITS = 0, 22
 

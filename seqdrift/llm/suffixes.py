@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import CHUNK_BYTES, LAST_ID, read
-from .superkmers import HOT, Codec, candidates, digest_rows, equal_windows, packed_runs, scatter, shared_minimisers, \
+from .common import LAST_ID, read
+from .superkmers import BUCKET_BYTES, HOT, Codec, candidates, digest_rows, equal_windows, packed_runs, scatter, shared_minimisers, \
     survey, whole_keys
 
 WINDOW = 100
@@ -158,7 +158,7 @@ def maximal_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     cand = candidates(docs, seen, shared, "repeats")
 
     def run(batches):
-        for table in whole_keys(batches, CHUNK_BYTES // 4):
+        for table in whole_keys(batches, BUCKET_BYTES):
             ids, h1, start = (table.column(i).to_numpy() for i in (1, 2, 3))
             strings, rows = fold_copies(ids, h1, start, table.column(4).to_pylist())
             out = [(xxhash.xxh64_intdigest(t) >> 1, len(t), int(ids[i]), int(start[i]))

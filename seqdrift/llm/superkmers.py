@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqdrift.config import materialize
 
-from .common import CHUNK_BYTES, LAST_ID, signed, text_chunks
+from .common import LAST_ID, signed, text_chunks
 
 #: Units worked on at once: a position has to fit beside the hash in one sort key.
 POSITION_BITS = 24
@@ -123,6 +123,8 @@ def union_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 #: Occurrences of one minimiser up to which its packed strings meet in one place. Beyond it the
 #: windows are counted one by one with partial aggregates, which no hot key can overfill.
 HOT = 4096
+#: Packed strings that a task compares at once (more where one minimiser has more).
+BUCKET_BYTES = 1 << 20
 
 
 class Codec:
@@ -152,18 +154,20 @@ def survey(docs: DataFrame, codec: Codec, name: str) -> DataFrame:
     """One small row per document, written once: its digest, length and minimisers.
 
     id (null ids as LAST_ID), h1 and h2 (128-bit digest of the units), n units, sha256 of the
-    canonical text, mins (distinct minimisers), twice (minimisers at two places in it).
+    canonical text, mins (distinct minimisers), twice (those at several places in it) and more (at
+    how many places beside the first).
     """
     def run(batches):
         for part, texts in text_chunks(batches, "text"):
             canon, _, _, sizes, owner, (first, _, least) = codec.scan(texts)
             own = owner[first] if len(first) else first
             cut = np.searchsorted(own, np.arange(len(texts) + 1))
-            mins, twice = [], []
+            mins, twice, more = [], [], []
             for i in range(len(texts)):
                 values, times = np.unique(least[cut[i]:cut[i + 1]], return_counts=True)
                 mins.append(signed(values))
                 twice.append(signed(values[times > 1]))
+                more.append(times[times > 1] - 1)
             digest = [xxhash.xxh128_intdigest(c) for c in canon]
             yield pa.RecordBatch.from_arrays([
                 part.column(0),
@@ -172,23 +176,26 @@ def survey(docs: DataFrame, codec: Codec, name: str) -> DataFrame:
                 pa.array(sizes),
                 pa.array([hashlib.sha256(c).hexdigest() for c in canon]),
                 pa.array(mins, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64())),
-            ], names=["id", "h1", "h2", "n", "sha", "mins", "twice"])
+                pa.array(more, pa.list_(pa.int64())),
+            ], names=["id", "h1", "h2", "n", "sha", "mins", "twice", "more"])
 
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), "text")
     out = d.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, sha string, "
-                            "mins array<bigint>, twice array<bigint>")
+                            "mins array<bigint>, twice array<bigint>, more array<bigint>")
     return materialize(out, f"{name}-survey")
 
 
 def shared_minimisers(seen: DataFrame, within: bool, hot: int, name: str) -> DataFrame:
     """(mh, hot): minimisers of at least two different texts (``within``: or twice in one)."""
-    each = seen.select("h1", F.explode("mins").alias("mh"), F.lit(0).alias("again"))
+    each = (seen.select("h1", F.explode("mins").alias("mh"), F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("again"))
+            .unionAll(seen.select("h1", F.explode(F.arrays_zip("twice", "more")).alias("t"))
+                      .select("h1", "t.twice", "t.more", F.lit(1))))
+    count = each.groupBy("mh").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.sum("n").alias("n"),
+                                   F.max("again").alias("again"))
+    shared = F.col("lo") < F.col("hi")
     if within:
-        each = each.unionAll(seen.select("h1", F.explode("twice").alias("mh"), F.lit(1).alias("again")))
-    count = each.groupBy("mh").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"),
-                                   F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
-    return materialize(count.where("lo < hi or again > 0").select("mh", (F.col("n") > hot).alias("hot")),
-                       f"{name}-shared")
+        shared = shared | (F.col("again") > 0)
+    return materialize(count.where(shared).select("mh", (F.col("n") > hot).alias("hot")), f"{name}-shared")
 
 
 def candidates(docs: DataFrame, seen: DataFrame, shared: DataFrame, name: str) -> DataFrame:
@@ -240,11 +247,11 @@ def bucket_spans(cand: DataFrame, codec: Codec, compare) -> DataFrame:
     """(id, h1, s, e): spans of units to remove, by comparing the packed strings of each bucket.
 
     Rows are dealt by minimiser and sorted by it; a task takes whole minimisers, about
-    ``CHUNK_BYTES`` / 4 of packed strings at a time, so its memory is bounded.
+    ``BUCKET_BYTES`` of packed strings at a time, so its memory is bounded.
     compare(ids, h1, start, packed strings) -> arrays (row, first unit, end unit).
     """
     def run(batches):
-        for rows in whole_keys(batches, CHUNK_BYTES // 4):
+        for rows in whole_keys(batches, BUCKET_BYTES):
             ids, h1, start = (rows.column(i).to_numpy() for i in (1, 2, 3))
             row, s, e = compare(ids, h1, start, rows.column(4).to_pylist())
             if len(row):
@@ -281,11 +288,11 @@ def whole_keys(batches, limit: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def hot_spans(cand: DataFrame, codec: Codec, by_place: bool) -> DataFrame:
+def hot_spans(cand: DataFrame, codec: Codec, by_place: bool, name: str) -> DataFrame:
     """(id, h1, s, e) for windows of hot minimisers: each window counted by its 128-bit digest.
 
-    The first occurrence per window is a partial aggregate; the join back deals hot windows to
-    many tasks (skew join). by_place: earlier places in one document count, else smaller ids only.
+    The first occurrence per window is a partial aggregate, written once, so that the join back has
+    exchanges of its own on both sides and hot windows are dealt to many tasks (skew join). by_place: earlier places in one document count, else smaller ids only.
     """
     def run(batches):
         for ids, h1, slicers, own, start, count, _ in _regions(batches, codec, "hot_mins"):
@@ -303,7 +310,8 @@ def hot_spans(cand: DataFrame, codec: Codec, by_place: bool) -> DataFrame:
 
     w = cand.where(F.size("hot_mins") > 0).mapInArrow(run, "w1 bigint, w2 bigint, id bigint, h1 bigint, s bigint")
     place = F.struct("id", "h1", "s") if by_place else F.col("id")
-    first = w.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = w.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first.where("n > 1"), f"{name}-hot")
     return (w.join(first.drop("n"), ["w1", "w2"]).where(place > F.col("first"))
             .select("id", "h1", "s", (F.col("s") + codec.k).alias("e")))
 
@@ -337,7 +345,7 @@ def repeated_spans(docs: DataFrame, codec: Codec, compare, within: bool, hot: in
     cand = candidates(docs, seen, shared, name)
     spans = bucket_spans(cand, codec, compare)
     if not shared.where("hot").isEmpty():
-        spans = spans.unionAll(hot_spans(cand, codec, within))
+        spans = spans.unionAll(hot_spans(cand, codec, within, name))
     return seen, cand, spans
 
 
