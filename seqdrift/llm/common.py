@@ -39,6 +39,20 @@ def sized(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
+def hash_sample(rows: DataFrame, column: str, n: int, seed: int) -> list[str]:
+    """At most ``n`` distinct texts of a column on the driver: those with the smallest hashes.
+
+    The hashes are ranked alone, so no task sends more than n numbers for the ranking, and copies of
+    one text count once.
+    """
+    h = rows.select(F.col(column), F.xxhash64(column, F.lit(seed)).alias("h"))
+    last = h.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    chosen = h.where(F.col("h") <= last).groupBy("h").agg(F.min(column).alias("text"))
+    return [r["text"] for r in chosen.orderBy("h").collect()]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import read, text_chunks
+from .common import hash_sample, read, text_chunks
 
 #: Pages that the network is trained on (the first by hash of their html), and variants of each.
 SAMPLE = 240
@@ -347,10 +347,8 @@ def _variant(page: list[Block], label: list[int], pool: list[str], pick: random.
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Train on at most ``sample`` pages of at most ``MAX_SAMPLE_CHARS`` (a bounded collect)."""
-    rows = (pages.select("html").where(F.length("html").between(1, MAX_SAMPLE_CHARS))
-            .select("html", F.xxhash64("html", F.lit(SEED)).alias("h")).orderBy("h").limit(sample)
-            .select("html").collect())
-    return train([r["html"] for r in rows])
+    rows = pages.where(F.length("html").between(1, MAX_SAMPLE_CHARS))
+    return train(hash_sample(rows, "html", sample, SEED))
 
 
 def extract(pages: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:

@@ -28,13 +28,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import read, text_chunks
+from .common import hash_sample, read, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 
 #: Documents with a digit or an @ that the field is fitted on: the first by hash of their text.
 SAMPLE = 3000
+MAX_SAMPLE_CHARS = 20_000
 FEATURES = 1 << 12
 ROUNDS = 8
 #: Marginal from which a token outside the base spans is added.
@@ -251,10 +252,8 @@ def find(texts: list[str], weights: dict[str, np.ndarray], certain: float = CERT
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Weights fitted on at most ``sample`` documents of ``docs`` (text), the first by text hash."""
-    rows = (docs.select("text").where(F.col("text").rlike("[0-9@]"))
-            .select("text", F.xxhash64("text", F.lit(SEED)).alias("h")).where(F.length("text") <= 20000)
-            .orderBy("h").limit(sample).select("text").collect())
-    return train([r["text"] for r in rows])
+    rows = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= MAX_SAMPLE_CHARS))
+    return train(hash_sample(rows, "text", sample, SEED))
 
 
 def find_personal_data(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
