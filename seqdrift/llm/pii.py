@@ -37,6 +37,7 @@ LABELS = 1 + len(KINDS)
 SAMPLE = 3000
 MAX_SAMPLE_CHARS = 20_000
 FEATURES = 1 << 12
+FACTS = 10
 ROUNDS = 8
 #: Marginal from which a token outside the base spans is added.
 CERTAIN = 0.95
@@ -140,7 +141,7 @@ class Nodes:
                     if keys[j] in last_key:
                         skip.append((last_key[keys[j]], n))
                     last_key[keys[j]] = n
-        self.features = np.array(rows, np.int64).reshape(len(rows), -1)
+        self.features = np.array(rows, np.int64).reshape(-1, FACTS)
         self.gold = np.array(self.gold, np.int64)
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
