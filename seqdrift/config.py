@@ -8,6 +8,7 @@ folder. A local default is set only when the session has none (tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,9 +42,15 @@ def get_spark(master: str | None = None, app: str = "seqdrift",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only in local mode, if unset.
+
+    On a cluster a local folder would be another one on each executor, so its absence is an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         d = tempfile.mkdtemp(prefix="seqdrift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
