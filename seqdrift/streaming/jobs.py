@@ -19,7 +19,7 @@ from ..operators.sampling import exact_sample
 from ..operators.sessions import session_pairs
 from ..operators.transitions import transition_model
 from ..schema import EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
-from .staging import stream_time
+from .staging import has_files, stream_time
 
 WATERMARK = "1 day"
 
@@ -124,44 +124,54 @@ def recommend_stream(src: DataFrame, recs: DataFrame) -> DataFrame:
 class ModelRefresh:
     """M7: transition counts refreshed per micro-batch with ``foreachBatch``.
 
-    Each batch is joined with the *tail* table (the last event of every open
-    session, from earlier batches) so pairs that cross a batch edge are counted
-    once; the batch's counts are written as ``delta/batch_id=<id>`` (overwrite:
-    a replayed batch replaces its own delta — idempotent) and the tail is rewritten
-    as a new version. The model is the sum of the deltas.
+    The rows of open sessions are stored; a batch re-pairs the sessions it touches, stored rows and
+    new ones together, and writes the change of their pair counts (new pairs minus the pairs
+    counted before) as ``delta/batch_id=<id>``. So events may come in any order: a late event
+    takes back the pair it splits. The model is the sum of the deltas.
+
+    A batch always starts from the newest state *before its own id* and overwrites its own delta
+    and state, so delivering a batch again changes nothing; a driver that starts again with the
+    same ``root`` goes on from the stored state.
     """
 
-    def __init__(self, spark, expire_seconds: int | None = None):
-        """expire_seconds: for logs sessionized by an inactivity gap, the gap — a tail row
-        older than the batch's first event minus the gap can never be continued, so the
-        tail keeps only open sessions (bounded state). None keeps every session."""
+    def __init__(self, spark, expire_seconds: int | None = None, root: str | None = None):
+        """expire_seconds: sessions whose last event is this much older than the newest event seen
+        are closed (choose the session gap plus the lateness to allow). None keeps every session."""
         self.spark = spark
         self.expire_seconds = expire_seconds
-        self.root = scratch_path(spark, "model-refresh")
-        self.tail_path = None
+        self.root = root or scratch_path(spark, "model-refresh")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        ev = batch.filter(F.col(EVENT_ID) >= 0).withColumn(EVENT_TIME, F.col(EVENT_TIME).cast("timestamp_ntz")) \
-            .select(EVENT_ID, EVENT_TIME, USER, ITEM, SESSION).withColumn("_new", F.lit(True))
-        if self.tail_path:
-            tail = self.spark.read.parquet(self.tail_path).withColumn("_new", F.lit(False))
-            if self.expire_seconds is not None:
-                lo = ev.agg(F.min(EVENT_TIME).alias("_lo"))
-                tail = tail.crossJoin(F.broadcast(lo)).filter(
-                    F.col("_lo").isNull() | (F.col(EVENT_TIME) >= F.col("_lo") - F.make_dt_interval(
-                        F.lit(0), F.lit(0), F.lit(0), F.lit(self.expire_seconds)))).drop("_lo")
-            ev = ev.unionByName(tail)
-        pairs = session_pairs(ev, extra_next=["_new"]).filter(F.col("next__new"))
-        transition_model(pairs).write.mode("overwrite").parquet(f"{self.root}/delta/batch_id={batch_id}")
-        last = ev.groupBy(SESSION).agg(F.max_by(F.struct(EVENT_ID, EVENT_TIME, USER, ITEM),
-                                                F.struct(EVENT_TIME, EVENT_ID)).alias("_l"))
-        path = f"{self.root}/tail/v={batch_id}"
-        last.select(F.col("_l.*"), SESSION).write.mode("overwrite").parquet(path)
-        self.tail_path = path
+        cols = [EVENT_ID, EVENT_TIME, USER, ITEM, SESSION]
+        ev = batch.withColumn(EVENT_TIME, F.col(EVENT_TIME).cast("timestamp_ntz")).select(*cols)
+        before = latest_version(self.spark, f"{self.root}/open", batch_id)
+        counts = transition_model(session_pairs(ev))
+        if before is not None:
+            touched = before.join(ev.select(SESSION).distinct(), SESSION, "left_semi").select(*cols)
+            old = transition_model(session_pairs(touched)).withColumn("cnt", -F.col("cnt"))
+            counts = transition_model(session_pairs(ev.unionByName(touched))).unionByName(old)
+            counts = counts.groupBy("prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt")).where("cnt != 0")
+            ev = ev.unionByName(before.select(*cols))
+        counts.write.mode("overwrite").parquet(f"{self.root}/delta/batch_id={batch_id}")
+        if self.expire_seconds is not None:
+            newest = ev.agg((F.max(EVENT_TIME) - F.make_dt_interval(secs=F.lit(self.expire_seconds))).alias("_from"))
+            live = ev.groupBy(SESSION).agg(F.max(EVENT_TIME).alias("_last")).crossJoin(F.broadcast(newest)) \
+                .where("_last >= _from").select(SESSION)
+            ev = ev.join(live, SESSION, "left_semi").select(*cols)
+        ev.write.mode("overwrite").parquet(f"{self.root}/open/v={batch_id}")
 
     def model(self) -> DataFrame:
         d = self.spark.read.parquet(f"{self.root}/delta")
-        return d.groupBy("prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+        return d.groupBy("prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt")).where("cnt > 0")
+
+
+def latest_version(spark, path: str, batch_id: int) -> DataFrame | None:
+    """The newest version ``v=<id>`` under ``path`` from before ``batch_id``, if any."""
+    if not has_files(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    v = rows.where(F.col("v") < batch_id).agg(F.max("v")).first()[0]
+    return None if v is None else spark.read.schema(rows.drop("v").schema).parquet(f"{path}/v={v}")
 
 
 # -- M8 ------------------------------------------------------------------------------
@@ -170,27 +180,31 @@ class ReplayReservoir:
 
     Merge = bottom-n of (reservoir ∪ batch): associative and order-independent, so
     the final reservoir equals the batch sample of the whole log (C3). Each version
-    is written to the shared folder; a replayed batch rewrites its own version.
+    is written to the shared folder; a batch starts from the newest version before its
+    own id and rewrites its own, so delivering it again changes nothing. The capacity
+    ``n`` is the feature: events have an id of any sign, unique within their session.
     """
 
-    def __init__(self, spark, n: int, seed: str = "replay"):
+    def __init__(self, spark, n: int, seed: str = "replay", root: str | None = None):
         self.spark = spark
         self.n = n
         self.seed = seed
-        self.root = scratch_path(spark, "reservoir")
-        self.path = None
+        self.root = root or scratch_path(spark, "reservoir")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        ev = batch.filter(F.col(EVENT_ID) >= 0).select(EVENT_ID, SESSION)
-        if self.path:
-            ev = ev.unionByName(self.spark.read.parquet(self.path)).dropDuplicates([EVENT_ID])
-        path = f"{self.root}/v={batch_id}"
-        exact_sample(ev, self.n, seed=self.seed).write.mode("overwrite").parquet(path)
-        self.path = path
+        ev = batch.select(EVENT_ID, SESSION)
+        before = latest_version(self.spark, self.root, batch_id)
+        if before is not None:
+            ev = ev.unionByName(before)
+        # an event delivered in two batches has the same id and session
+        ev = ev.dropDuplicates([EVENT_ID, SESSION])
+        exact_sample(ev, self.n, seed=self.seed).write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
 
     def sample(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return latest_version(self.spark, self.root, LAST_BATCH)
+
 
+LAST_BATCH = 2 ** 62
 
 __all__ = ["events_stream", "dedup_stream", "windowed_popularity", "popularity_stream", "session_stream",
            "history_stream", "recommend_stream", "ModelRefresh", "ReplayReservoir"]

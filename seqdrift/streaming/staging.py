@@ -75,7 +75,7 @@ def run_to_parquet(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame
     q = sdf.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt) \
         .outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(sdf.schema).parquet(out) if _has_files(spark, out) else \
+    return spark.read.schema(sdf.schema).parquet(out) if has_files(spark, out) else \
         spark.createDataFrame([], sdf.schema)
 
 
@@ -86,7 +86,7 @@ def run_foreach_batch(sdf: DataFrame, name: str, fn) -> None:
     q.awaitTermination()
 
 
-def _has_files(spark, path: str) -> bool:
+def has_files(spark, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

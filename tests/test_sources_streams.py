@@ -106,3 +106,39 @@ def test_event_log_partition_pruning(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters" in plan
     want = ev.filter(F.col("event_time") <= F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")).count()
     assert r.count() == want
+
+
+def _model(rows):
+    return {(r.prev_item, r.next_item): r.cnt for r in rows.collect()}
+
+
+def test_model_refresh_takes_any_order_ids_and_redelivery(spark, log):
+    """Late events take back the pair they split; negative ids count; a batch delivered twice is one."""
+    from pyspark.sql import functions as F
+    from seqdrift.operators.sessions import session_pairs
+    from seqdrift.operators.transitions import transition_model
+    from seqdrift.streaming.jobs import ModelRefresh, ReplayReservoir
+    ev = log.withColumn("event_id", F.col("event_id") - 100)
+    want = _model(transition_model(session_pairs(ev)))
+    late, rest = ev.where("event_id in (-98, -94)"), ev.where("event_id not in (-98, -94)")
+    m = ModelRefresh(spark)
+    for b, part in ((0, rest), (1, late), (1, late), (0, rest), (1, late)):
+        m(part, b)
+    assert _model(m.model()) == want
+    again = ModelRefresh(spark, root=m.root)  # a driver that starts anew goes on from the stored state
+    again(ev.limit(0), 2)
+    assert _model(again.model()) == want
+    r = ReplayReservoir(spark, n=4)
+    for b, part in ((0, rest), (1, late), (1, late)):
+        r(part, b)
+    whole = ReplayReservoir(spark, n=4)
+    whole(ev, 0)
+    assert sorted(r.sample().collect()) == sorted(whole.sample().collect())
+
+
+def test_ingest_drops_counts_what_adapters_drop(spark, log):
+    from pyspark.sql import functions as F
+    from seqdrift.sources.sinks import ingest_drops
+    bad = log.withColumn("product_id", F.when(F.col("event_id") > 2, F.col("product_id"))) \
+        .withColumn("user_id", F.when(F.col("event_id") != 2, F.col("user_id")))
+    assert tuple(ingest_drops(bad).first()) == (10, 0, 1, 2, 2, 8)
