@@ -102,21 +102,23 @@ def recommend_topk(model: DataFrame, vocab: DataFrame, k: int = 50, keys: Sequen
     if not fill:
         return out
     vk = [c for c in keys if c in vocab.columns]
-    ex = exclude.select("item") if exclude is not None else None
-    n_ex = ex.agg(F.count(F.lit(1)).alias("_nex")) if ex is not None else None
-    # Candidate fill items: the k (+ excluded) most popular — a bounded table.
     prevs = model.select(*keys, "prev_item").distinct()
     fb = (model.select(*keys).distinct() if keys else model.sparkSession.range(1).select())
     prevs = prevs.unionByName(fb.withColumn("prev_item", F.lit(None).cast(model.schema["prev_item"].dataType)))
-    width = F.lit(k) if n_ex is None else F.lit(k) + F.col("_nex")
-    if n_ex is not None:
-        prevs = prevs.crossJoin(F.broadcast(n_ex))
-    cand = prevs.select(*keys, "prev_item", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                                 (width - 1).cast("bigint"))).alias("idx"))
-    top_v = vocab.select(*vk, "idx", "item")
-    cand = cand.join(top_v, vk + ["idx"], "inner")
-    if ex is not None:
-        cand = cand.join(ex, "item", "left_anti")
+    # The k most popular items that are not excluded, as one row: of k candidates at most the
+    # followers drop out, so at least the missing places stay filled. No join on idx, whose k
+    # values would each take all prevs.
+    allowed = vocab.select(*vk, "idx", "item")
+    if exclude is not None:
+        allowed = allowed.join(exclude.select("item"), "item", "left_anti")
+    if vk:
+        wk = Window.partitionBy(*vk).orderBy("idx")
+        first = allowed.withColumn("_r", F.row_number().over(wk)).filter(F.col("_r") <= k).drop("_r")
+    else:
+        first = allowed.orderBy("idx").limit(k)
+    first = first.groupBy(*vk).agg(F.array_sort(F.collect_list(F.struct("idx", "item"))).alias("_c"))
+    cand = prevs.join(F.broadcast(first), vk, "inner") if vk else prevs.crossJoin(F.broadcast(first))
+    cand = cand.select(*keys, "prev_item", F.explode("_c").alias("_c")).select(*keys, "prev_item", "_c.idx", "_c.item")
     fol_all = model.select(*keys, "prev_item", F.col("next_item").alias("item"))
     cand = cand.join(fol_all, keys + ["prev_item", "item"], "left_anti")
     nf = fol.groupBy(*keys, "prev_item").agg(F.count(F.lit(1)).alias("_nf"))
