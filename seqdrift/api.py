@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .config import materialize
 from .operators import sessions as S
 from .operators import transitions as J
 from .operators import vocab as D
@@ -18,6 +19,14 @@ from .schema import EVENT_ID, EVENT_TIME, ITEM, SESSION
 from .sources.sinks import append_metrics
 
 
+def _not_in(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Replay rows that ``other`` does not hold: an event is its session, id, time and item."""
+    return rows.join(other.select(*EVENT_KEY).distinct(), EVENT_KEY, "left_anti").select(*rows.columns)
+
+
+EVENT_KEY = [SESSION, EVENT_ID, EVENT_TIME, ITEM]
+
+
 class NextItemPredictor:
     """Fit on sessions, recommend next items, score Top-K — the transition model."""
 
@@ -44,14 +53,14 @@ class NextItemPredictor:
         return self
 
     def train(self, spark_df: DataFrame, epochs: int = 0, batch_size: int = 0) -> int:
-        self.vocab = D.fit_vocab(spark_df, ITEM)
-        self.model = J.transition_model(S.session_pairs(spark_df))
+        self.vocab = materialize(D.fit_vocab(spark_df, ITEM), "facade-vocab")
+        self.model = materialize(J.transition_model(S.session_pairs(spark_df)), "facade-model")
         return self.vocab.count()
 
     def predict_next_items(self, histories: DataFrame, k: int = 50, exclude_items: DataFrame | None = None,
                            key: str = SESSION) -> DataFrame:
         """Top-k per history key: lists of its last item (followers, popularity fill)."""
-        last = histories.select(key, F.element_at("history", -1).alias("prev_item"))
+        last = histories.select(key, F.try_element_at("history", F.lit(-1)).alias("prev_item"))
         lists = J.recommend_topk(self.model, self.vocab, k=k, fill=self.fill, tie=self.tie, exclude=exclude_items)
         hit = last.join(lists, "prev_item", "inner")
         miss = last.join(lists.select("prev_item").distinct(), "prev_item", "left_anti") \
@@ -96,17 +105,22 @@ class ContinualNextItemPredictor(NextItemPredictor):
     def update_model(self, df: DataFrame, buffer_data: DataFrame | None = None) -> None:
         window = trailing_window(df, self.window_size_days)
         if buffer_data is not None:
-            window = window.unionByName(buffer_data.select(*window.columns)).dropDuplicates([EVENT_ID])
+            window = window.unionByName(_not_in(buffer_data.select(*window.columns), window))
         self._fit(window)
 
     def update_buffer(self, buffer_size: int, buffer_data: DataFrame, train_data: DataFrame,
                       seed: str = "replay") -> DataFrame:
-        """Returns the grown buffer: an exact seeded sample of ``train_data`` appended."""
-        drawn = exact_sample(train_data, buffer_size, seed=seed)
-        return buffer_data.unionByName(drawn.select(*buffer_data.columns)).dropDuplicates([EVENT_ID])
+        """Returns the grown buffer: an exact seeded sample of ``train_data`` appended.
+
+        Draws are by (session, event id), since ids need be unique only in their session; a row that
+        the buffer has already is not added again, other repeated rows are kept.
+        """
+        keyed = train_data.withColumn("_key", F.concat_ws("\x1f", F.col(SESSION), F.col(EVENT_ID).cast("string")))
+        drawn = exact_sample(keyed, buffer_size, seed=seed, key="_key").select(*buffer_data.columns)
+        return buffer_data.unionByName(_not_in(drawn, buffer_data))
 
     def evaluate_and_log_performance(self, test_df: DataFrame, current_time, run: str = "run") -> DataFrame:
-        acc = self.evaluate_top_k(test_df).withColumn("timestamp", F.lit(current_time).cast("timestamp_ntz")) \
+        acc = materialize(self.evaluate_top_k(test_df), "facade-accuracy").withColumn("timestamp", F.lit(current_time).cast("timestamp_ntz")) \
             .withColumn("run", F.lit(run)).withColumn("variant", F.lit("model"))
         hist = acc if self.performance_history is None else self.performance_history.unionByName(acc)
         self.performance_history = hist

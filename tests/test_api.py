@@ -41,3 +41,25 @@ def test_predict_with_exclusions(spark, log):
     ex = spark.createDataFrame([(20,)], "item bigint")
     got = sorted((r.rank, r.item) for r in p.predict_next_items(hist, k=2, exclude_items=ex).collect())
     assert [i for _, i in got] == [10, 30]
+
+
+def test_empty_history_and_session_scoped_ids(spark, log):
+    p = NextItemPredictor()
+    p.train(log)
+    hist = spark.createDataFrame([("e", [])], "user_session string, history array<bigint>")
+    assert [r.item for r in p.predict_next_items(hist, k=2).orderBy("rank").collect()] == [20, 10]
+    c = ContinualNextItemPredictor(window_size_days=1000)
+    same = log.withColumn("event_id", F.lit(7))  # ids that are unique in no way
+    assert c.update_buffer(10, log.limit(0), same).count() == 10
+    c.update_model(log, log)
+    assert c.model.agg(F.sum("cnt")).first()[0] == 6
+
+
+def test_needs_a_shared_folder_on_a_cluster():
+    import pytest
+    from types import SimpleNamespace
+    from seqdrift.config import checkpoint_root
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None),
+                           sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        checkpoint_root(fake)
