@@ -19,7 +19,8 @@ from .operators import vocab as D
 from .plans.baseline import split_parts, split_topk_accuracy
 from .schema import EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
 from .sources import adapters as A
-from .sources.sinks import ingest_stats
+from .sources.adapters import load_events
+from .sources.sinks import ingest_drops, ingest_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +51,7 @@ def raw_clicks(spark, sf_dir):
 # ---------------------------------------------------------------- A: sources
 register("clicks")(lambda spark, d: A.clicks(spark, d))
 register("baskets")(lambda spark, d: A.baskets(spark, d))
+register("ingest_drops")(lambda spark, d: ingest_drops(A.parsed_events(spark, d)))
 register("ingest_stats")(lambda spark, d: ingest_stats(raw_clicks(spark, d)))
 
 
@@ -490,6 +492,40 @@ def q_stream_model_refresh(spark, d):
     return m.model()
 
 
+@register("stream_model_refresh_unordered")
+def q_stream_model_refresh_unordered(spark, d):
+    """M7 with events arriving in hash order and negative ids: equals the batch model."""
+    from .streaming.jobs import ModelRefresh
+    ev = clicks(spark, d)
+    m = ModelRefresh(spark)
+    part = F.pmod(F.xxhash64(EVENT_ID, F.lit("arrival")), F.lit(3))
+    for b in range(3):
+        m(ev.filter(part == b).withColumn(EVENT_ID, F.col(EVENT_ID) - F.lit(1 << 40)), b)
+    return m.model()
+
+
+@register("stream_model_refresh_redelivered")
+def q_stream_model_refresh_redelivered(spark, d):
+    """M7 with each batch delivered again: equals the batch model."""
+    from .streaming.jobs import ModelRefresh
+    ev = clicks(spark, d)
+    m = ModelRefresh(spark)
+    part = F.pmod(F.xxhash64(EVENT_ID, F.lit("arrival")), F.lit(2))
+    for b in (0, 0, 1, 1):
+        m(ev.filter(part == b), b)
+    return m.model()
+
+
+@register("baskets_update_model")
+def q_baskets_update_model(spark, d):
+    """Facade refit on orders (event ids unique only per session) with a replay buffer of older rows."""
+    from .api import ContinualNextItemPredictor
+    ev = load_events(spark, d, "baskets")
+    p = ContinualNextItemPredictor(window_size_days=100_000)
+    p.update_model(ev, p.update_buffer(100, ev.limit(0), ev))
+    return p.model
+
+
 @register("stream_replay")
 def q_stream_replay(spark, d):
     from .streaming.jobs import ReplayReservoir

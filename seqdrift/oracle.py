@@ -82,6 +82,12 @@ SQL: dict[str, str] = {}
 # ---------------------------------------------------------------- A: sources
 SQL["clicks"] = with_ctes(CLICKS, body="SELECT * FROM clicks")
 SQL["baskets"] = with_ctes(BASKETS, body="SELECT * FROM baskets")
+SQL["ingest_drops"] = """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE ts IS NULL) AS null_times, count(*) FILTER (WHERE user_id IS NULL) AS null_users,
+       count(*) FILTER (WHERE k IS NULL) AS null_items,
+       count(*) FILTER (WHERE ts IS NULL OR user_id IS NULL OR k IS NULL) AS n_dropped,
+       count(*) FILTER (WHERE ts IS NOT NULL AND user_id IS NOT NULL AND k IS NOT NULL) AS n_kept
+FROM (SELECT ts, user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
 SQL["ingest_stats"] = with_ctes(CLICKS, body="""
 SELECT count(*) AS n_rows,
        count(*) FILTER (WHERE product_id IS NULL) AS null_items,
@@ -601,6 +607,14 @@ SQL["stream_recommend"] = "WITH " + ",".join(TRAIN_PAIRS) + "," + recommend_ctes
 SELECT c.event_id, c.product_id, r.rank, r.item, r.score
 FROM clicks c JOIN recs r ON r.prev_item = c.product_id"""
 SQL["stream_model_refresh"] = SQL["transition_model"]
+SQL["stream_model_refresh_unordered"] = SQL["transition_model"]
+SQL["stream_model_refresh_redelivered"] = SQL["transition_model"]
+SQL["baskets_update_model"] = """
+WITH r AS (SELECT l_orderkey, l_partkey AS item,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT a.item AS prev_item, b.item AS next_item, count(*) AS cnt
+FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND b.i = a.i + 1 GROUP BY ALL"""
 SQL["stream_replay"] = with_ctes(CLICKS, body="""
 SELECT event_id, user_session FROM (
   SELECT event_id, user_session, row_number() OVER (ORDER BY md5('replay' || CAST(event_id AS VARCHAR))) AS r

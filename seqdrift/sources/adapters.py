@@ -13,20 +13,22 @@ from ..schema import EVENT_COLUMNS, EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
 from .files import read_table
 
 
-def click_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as (event_id, event_time, user_id, product_id), unsessionized.
-
-    Only four columns are read (pruned at the scan); rows with a missing id or time
-    are dropped here and counted by ``ingest_stats``.
-    """
+def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as (event_id, event_time, user_id, product_id), nothing dropped: unreadable ids are
+    null here. Only four columns are read (pruned at the scan)."""
     e = read_table(spark, sf_dir, "events")
-    out = e.select(
+    return e.select(
         F.col("event_id").alias(EVENT_ID),
         F.col("ts").cast("timestamp_ntz").alias(EVENT_TIME),
         F.col("user_id").alias(USER),
         F.get_json_object("props", "$.k").try_cast("bigint").alias(ITEM),
     )
-    return out.filter(F.col(EVENT_TIME).isNotNull() & F.col(USER).isNotNull() & F.col(ITEM).isNotNull())
+
+
+def click_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``parsed_events`` that can be used; what is dropped here, ``ingest_drops`` counts."""
+    return parsed_events(spark, sf_dir).filter(
+        F.col(EVENT_TIME).isNotNull() & F.col(USER).isNotNull() & F.col(ITEM).isNotNull())
 
 
 def clicks(spark: SparkSession, sf_dir: str, gap_seconds: int = 86_400) -> DataFrame:

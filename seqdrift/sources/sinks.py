@@ -35,6 +35,19 @@ def ingest_stats(events: DataFrame) -> DataFrame:
     )
 
 
+def ingest_drops(parsed: DataFrame) -> DataFrame:
+    """One row over the unfiltered log: rows, nulls per needed column, rows dropped and kept."""
+    bad = F.col(EVENT_TIME).isNull() | F.col(USER).isNull() | F.col(ITEM).isNull()
+    return parsed.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col(EVENT_TIME).isNull()).alias("null_times"),
+        F.count_if(F.col(USER).isNull()).alias("null_users"),
+        F.count_if(F.col(ITEM).isNull()).alias("null_items"),
+        F.count_if(bad).alias("n_dropped"),
+        F.count_if(~bad).alias("n_kept"),
+    )
+
+
 def write_event_log(events: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
     """Store a canonical event log as parquet partitioned by ``event_date``.
 
