@@ -120,7 +120,7 @@ def union_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 # --- the corpus side: which regions of which documents can repeat, and where to compare them ---
 
-#: Occurrences of one minimiser up to which its packed strings meet in one place. Beyond it the
+#: Documents with one minimiser up to which its packed strings meet in one place. Beyond it the
 #: windows are counted one by one with partial aggregates, which no hot key can overfill.
 HOT = 4096
 #: Packed strings that a task compares at once (more where one minimiser has more).
@@ -154,20 +154,18 @@ def survey(docs: DataFrame, codec: Codec, name: str) -> DataFrame:
     """One small row per document, written once: its digest, length and minimisers.
 
     id (null ids as LAST_ID), h1 and h2 (128-bit digest of the units), n units, sha256 of the
-    canonical text, mins (distinct minimisers), twice (those at several places in it) and more (at
-    how many places beside the first).
+    canonical text, mins (distinct minimisers), twice (minimisers at two places in it).
     """
     def run(batches):
         for part, texts in text_chunks(batches, "text"):
             canon, _, _, sizes, owner, (first, _, least) = codec.scan(texts)
             own = owner[first] if len(first) else first
             cut = np.searchsorted(own, np.arange(len(texts) + 1))
-            mins, twice, more = [], [], []
+            mins, twice = [], []
             for i in range(len(texts)):
                 values, times = np.unique(least[cut[i]:cut[i + 1]], return_counts=True)
                 mins.append(signed(values))
                 twice.append(signed(values[times > 1]))
-                more.append(times[times > 1] - 1)
             digest = [xxhash.xxh128_intdigest(c) for c in canon]
             yield pa.RecordBatch.from_arrays([
                 part.column(0),
@@ -176,26 +174,23 @@ def survey(docs: DataFrame, codec: Codec, name: str) -> DataFrame:
                 pa.array(sizes),
                 pa.array([hashlib.sha256(c).hexdigest() for c in canon]),
                 pa.array(mins, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64())),
-                pa.array(more, pa.list_(pa.int64())),
-            ], names=["id", "h1", "h2", "n", "sha", "mins", "twice", "more"])
+            ], names=["id", "h1", "h2", "n", "sha", "mins", "twice"])
 
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), "text")
     out = d.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, sha string, "
-                            "mins array<bigint>, twice array<bigint>, more array<bigint>")
+                            "mins array<bigint>, twice array<bigint>")
     return materialize(out, f"{name}-survey")
 
 
 def shared_minimisers(seen: DataFrame, within: bool, hot: int, name: str) -> DataFrame:
     """(mh, hot): minimisers of at least two different texts (``within``: or twice in one)."""
-    each = (seen.select("h1", F.explode("mins").alias("mh"), F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("again"))
-            .unionAll(seen.select("h1", F.explode(F.arrays_zip("twice", "more")).alias("t"))
-                      .select("h1", "t.twice", "t.more", F.lit(1))))
-    count = each.groupBy("mh").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.sum("n").alias("n"),
-                                   F.max("again").alias("again"))
-    shared = F.col("lo") < F.col("hi")
+    each = seen.select("h1", F.explode("mins").alias("mh"), F.lit(0).alias("again"))
     if within:
-        shared = shared | (F.col("again") > 0)
-    return materialize(count.where(shared).select("mh", (F.col("n") > hot).alias("hot")), f"{name}-shared")
+        each = each.unionAll(seen.select("h1", F.explode("twice").alias("mh"), F.lit(1).alias("again")))
+    count = each.groupBy("mh").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"),
+                                   F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
+    return materialize(count.where("lo < hi or again > 0").select("mh", (F.col("n") > hot).alias("hot")),
+                       f"{name}-shared")
 
 
 def candidates(docs: DataFrame, seen: DataFrame, shared: DataFrame, name: str) -> DataFrame:
