@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import read
-from .superkmers import HOT, Codec, digest_rows, equal_windows
+from .superkmers import HOT, Codec, digest_rows, equal_windows, unfold
 
 WINDOW = 50
 GRAM = 8
@@ -38,7 +38,8 @@ class WordCodec(Codec):
 
 def compare_words(k: int):
     """Windows of the packed strings that also start in a document with a smaller id."""
-    def compare(ids, h1, start, packed):
+    def compare(table):
+        ids, start, packed = table.column("id").to_numpy(), table.column("start").to_numpy(), table.column("packed").to_pylist()
         number: dict[bytes, int] = {}
         words, sizes = [], []
         for p in packed:
@@ -62,7 +63,13 @@ def compare_words(k: int):
         begin = dup & ~np.where(inside > 0, np.append(False, dup[:-1]), False)
         end = dup & ~np.append(np.where(inside[1:] > 0, dup[1:], False), False)
         b, e = np.flatnonzero(begin), np.flatnonzero(end)
-        return row[b], start[row[b]] + inside[b], start[row[e]] + inside[e] + k
+        # a folded copy in the same document loses what its first occurrence loses
+        held, place = unfold(table)
+        at = np.searchsorted(held, np.arange(len(packed) + 1))
+        times = np.diff(at)[row[b]]
+        span = np.repeat(np.arange(len(b)), times)
+        copy = at[row[b]][span] + np.arange(len(span)) - np.repeat(np.cumsum(times) - times, times)
+        return row[b][span], place[copy] + inside[b][span], place[copy] + inside[e][span] + k
     return compare
 
 

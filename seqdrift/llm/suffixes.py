@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import LAST_ID, read
 from .superkmers import BUCKET_BYTES, HOT, Codec, candidates, digest_rows, equal_windows, packed_runs, scatter, shared_minimisers, \
-    survey, whole_keys
+    survey, unfold, whole_keys
 
 WINDOW = 100
 GRAM = 24
@@ -119,9 +119,16 @@ def fold_copies(ids, h1, start, packed) -> tuple[list[bytes], list[list[int]]]:
 
 def compare_bytes(k: int):
     """Spans of all occurrences but the first of every maximal repeat group of a bucket slice."""
-    def compare(ids, h1, start, packed):
+    def compare(table):
+        ids, h1, start = (table.column(c).to_numpy() for c in ("id", "h1", "start"))
+        packed = table.column("packed").to_pylist()
         strings, rows = fold_copies(ids, h1, start, packed)
-        row, s, e = [], [], []
+        # copies that a document folded stand behind the row's own start
+        held, place = unfold(table)
+        later = np.flatnonzero(held == np.append(-1, held[:-1]))
+        row = held[later].tolist()
+        s = place[later].tolist()
+        e = [a + len(packed[i]) for i, a in zip(row, s)]
         for text, own in zip(strings, rows):
             for i in own[1:]:
                 row.append(i)
@@ -159,8 +166,10 @@ def maximal_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     def run(batches):
         for table in whole_keys(batches, BUCKET_BYTES):
-            ids, h1, start = (table.column(i).to_numpy() for i in (1, 2, 3))
-            strings, rows = fold_copies(ids, h1, start, table.column(4).to_pylist())
+            held, start = unfold(table)
+            ids, h1 = (table.column(c).to_numpy()[held] for c in ("id", "h1"))
+            packed = table.column("packed").to_pylist()
+            strings, rows = fold_copies(ids, h1, start, [packed[i] for i in held.tolist()])
             out = [(xxhash.xxh64_intdigest(t) >> 1, len(t), int(ids[i]), int(start[i]))
                    for t, own in zip(strings, rows) if len(own) > 1 for i in own]
             for length, group in repeat_groups(codec.k, strings):

@@ -123,6 +123,8 @@ def union_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 #: Documents with one minimiser up to which its packed strings meet in one place. Beyond it the
 #: windows are counted one by one with partial aggregates, which no hot key can overfill.
 HOT = 4096
+#: Runs of one text slice among which copies are folded before the shuffle.
+FOLD_RUNS = 8192
 #: Packed strings that a task compares at once (more where one minimiser has more).
 BUCKET_BYTES = 1 << 20
 
@@ -225,17 +227,45 @@ def _regions(batches, codec: Codec, which: str):
 
 
 def packed_runs(cand: DataFrame, codec: Codec) -> DataFrame:
-    """(mh, id, h1, start, packed): super-k-mers of the candidates as packed strings."""
+    """(mh, id, h1, start, packed, more): super-k-mers of the candidates as packed strings.
+
+    Copies inside one document are folded before anything is shuffled: they travel as one row with
+    the starts of the others in ``more``. Folding works on a bounded number of runs at a time, so a
+    document may still send a string several times.
+    """
     def run(batches):
         for ids, h1, slicers, own, start, count, mh in _regions(batches, codec, "mins"):
-            for at in range(0, len(own), 8192):
-                o, s, c = own[at:at + 8192], start[at:at + 8192], count[at:at + 8192]
-                packed = [slicers[i](a, a + n + codec.k - 1) for i, a, n in zip(o.tolist(), s.tolist(), c.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(mh[at:at + 8192]), pa.array(ids[o]), pa.array(h1[o]),
-                                                  pa.array(s), pa.array(packed, pa.binary())],
-                                                 names=["mh", "id", "h1", "start", "packed"])
+            for at in range(0, len(own), FOLD_RUNS):
+                o, s, c = (x[at:at + FOLD_RUNS].tolist() for x in (own, start, count))
+                first: dict[tuple[int, bytes], int] = {}
+                more: dict[int, list[int]] = {}
+                for j, (i, a, n) in enumerate(zip(o, s, c)):
+                    f = first.setdefault((i, slicers[i](a, a + n + codec.k - 1)), j)
+                    if f != j:
+                        more.setdefault(f, []).append(a)
+                stay = np.array(list(first.values()), np.int64)
+                o = own[at + stay]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(mh[at + stay]), pa.array(ids[o]), pa.array(h1[o]), pa.array(start[at + stay]),
+                    pa.array([p for _, p in first], pa.binary()),
+                    pa.array([more.get(j, []) for j in first.values()], pa.list_(pa.int64()))],
+                    names=["mh", "id", "h1", "start", "packed", "more"])
+
+    return cand.where(F.size("mins") > 0).mapInArrow(
+        run, "mh bigint, id bigint, h1 bigint, start bigint, packed binary, more array<bigint>")
+
 
-    return cand.where(F.size("mins") > 0).mapInArrow(run, "mh bigint, id bigint, h1 bigint, start bigint, packed binary")
+def unfold(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of all occurrences in a slice of ``packed_runs``, each row's own start first."""
+    more = table.column("more").combine_chunks()
+    n = more.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.cumsum(n + 1) - (n + 1)
+    start = np.empty(int((n + 1).sum()), np.int64)
+    other = np.ones(len(start), bool)
+    other[at] = False
+    start[at] = table.column("start").to_numpy()
+    start[other] = more.flatten().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(n)), n + 1), start
 
 
 def bucket_spans(cand: DataFrame, codec: Codec, compare) -> DataFrame:
@@ -243,12 +273,12 @@ def bucket_spans(cand: DataFrame, codec: Codec, compare) -> DataFrame:
 
     Rows are dealt by minimiser and sorted by it; a task takes whole minimisers, about
     ``BUCKET_BYTES`` of packed strings at a time, so its memory is bounded.
-    compare(ids, h1, start, packed strings) -> arrays (row, first unit, end unit).
+    compare(table of packed_runs) -> arrays (row, first unit, end unit).
     """
     def run(batches):
         for rows in whole_keys(batches, BUCKET_BYTES):
-            ids, h1, start = (rows.column(i).to_numpy() for i in (1, 2, 3))
-            row, s, e = compare(ids, h1, start, rows.column(4).to_pylist())
+            ids, h1 = (rows.column(i).to_numpy() for i in (1, 2))
+            row, s, e = compare(rows)
             if len(row):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(h1[row]), pa.array(s), pa.array(e)],
                                                  names=["id", "h1", "s", "e"])

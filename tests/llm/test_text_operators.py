@@ -34,6 +34,8 @@ def odd_rows():
     rows += [(40, rows[3][1]), (41, rows[3][1]), (42, rows[35][1] + " tail"), (43, passage + "\n" + passage)]
     rows += [(50, None), (51, ""), (52, " \t\n"), (None, prose(60)), (None, None), (5, rows[5][1]), (60, "é ñ \x0b ß " * 30),
              (61, prose(12000) + " " + passage), (62, "ab " * 200)]
+    line = prose(12)
+    rows += [(70 + i, f"{prose(9)}\n" + f"{line}\n" * (3 + 4 * i) + f"{prose(30)}\n" + f"{line}\n" * 9) for i in range(4)]
     return rows
 
 
