@@ -58,8 +58,12 @@ class NextItemPredictor:
         return self.vocab.count()
 
     def predict_next_items(self, histories: DataFrame, k: int = 50, exclude_items: DataFrame | None = None,
-                           key: str = SESSION) -> DataFrame:
-        """Top-k per history key: lists of its last item (followers, popularity fill)."""
+                           key: str = SESSION, whole_history: bool = False) -> DataFrame:
+        """Top-k per history key: lists of its last item (followers, popularity fill), or with
+        ``whole_history`` recency-weighted scores of the last ``history_len`` items."""
+        if whole_history:
+            return J.recommend_history(histories, self.model, self.history_len, k, key, self.vocab,
+                                       fill=self.fill, exclude=exclude_items)
         last = histories.select(key, F.try_element_at("history", F.lit(-1)).alias("prev_item"))
         lists = J.recommend_topk(self.model, self.vocab, k=k, fill=self.fill, tie=self.tie, exclude=exclude_items)
         hit = last.join(lists, "prev_item", "inner")

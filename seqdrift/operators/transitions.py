@@ -160,11 +160,15 @@ def target_ranks(tests: DataFrame, model: DataFrame, vocab: DataFrame | None, km
 
 
 def topk_accuracy(ranked: DataFrame, ks: Sequence[int] = DEFAULT_KS, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys…, k, n, hits, accuracy) for all k in one pass; n = 0 → NULL accuracy."""
+    """(keys…, k, n, hits, accuracy) for all k in one pass; n = 0 → NULL accuracy.
+
+    A key without tests has a row only if ``ranked`` holds one of it with n = 0 (``keep_keys``).
+    """
     keys = list(keys)
-    aggs = [F.sum("n").cast("bigint").alias("_n")]
+    aggs = [F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("_n")]
     for k in ks:
         aggs.append(F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(F.lit(0))).cast("bigint").alias(f"_h{k}"))
+    aggs[1:] = [F.coalesce(a, F.lit(0).cast("bigint")).alias(f"_h{k}") for a, k in zip(aggs[1:], ks)]
     a = ranked.groupBy(*keys).agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"_h{k}").alias("hits"))
                                for k in ks])).alias("_kh")
@@ -173,6 +177,13 @@ def topk_accuracy(ranked: DataFrame, ks: Sequence[int] = DEFAULT_KS, keys: Seque
     return e.select(*keys, F.col("_kh.k").alias("k"), "n", F.col("_kh.hits").alias("hits"), acc.alias("accuracy"))
 
 
+def keep_keys(tests: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``tests`` plus a pair of multiplicity 0 per row of ``keyed``, a small table of the key columns:
+    a phase or day without test pairs keeps its accuracy rows (n = 0, Q9)."""
+    empty = {c: F.lit(None).cast(tests.schema[c].dataType).alias(c) for c in ("prev_item", "target")}
+    return tests.unionByName(keyed.select("*", *empty.values(), F.lit(0).cast("bigint").alias("n")))
+
+
 def aggregate_tests(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Test pairs → (keys…, prev_item, target, n): scoring joins each distinct pair once."""
     return pairs.groupBy(*keys, "prev_item", F.col("next_item").alias("target")) \
@@ -180,26 +191,41 @@ def aggregate_tests(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def recommend_history(histories: DataFrame, model: DataFrame, length: int = 10, k: int = 10,
-                      key: str = "user_session", tie_vocab: DataFrame | None = None) -> DataFrame:
+                      key: str = "user_session", tie_vocab: DataFrame | None = None,
+                      fill: bool = False, exclude: DataFrame | None = None) -> DataFrame:
     """Score next items from a whole history: Σ over history items of
     recency weight (L − distance from the end) × transition count; top-k per key.
 
-    histories: (key, history array oldest→newest). All candidates are scored (no cap).
+    histories: (key, history array oldest→newest). All candidates are scored (no cap). Each distinct
+    history tail is scored once, with the weights of an item summed before the model is joined.
+    ``fill`` (needs ``tie_vocab``) offers the k most popular items at score 0 beside the followers, so
+    every key gets an answer: empty histories and unseen items too. ``exclude``: a small id table.
     """
     n = F.size("history")
-    recent = F.slice("history", F.greatest(n - F.lit(length - 1), F.lit(1)), length)
-    h = histories.select(key, F.posexplode(recent).alias("_p", "prev_item"),
-                         F.least(n, F.lit(length)).alias("_s"))
+    tail = F.slice("history", F.greatest(n - F.lit(length - 1), F.lit(1)), length)
+    keyed = histories.withColumn("history", F.coalesce("history", F.array().cast(
+        histories.schema["history"].dataType))).select(key, tail.alias("_tail"))
+    tails = keyed.select("_tail").distinct()
+    h = tails.select("_tail", F.size("_tail").alias("_s"), F.posexplode("_tail").alias("_p", "prev_item"))
     # distance from the newest item d = s − 1 − p; weight L − d (newest L, then L−1, …)
-    h = h.withColumn("_w", (F.lit(length) - (F.col("_s") - 1 - F.col("_p"))).cast("bigint"))
-    j = h.join(model, "prev_item", "inner")
-    s = j.groupBy(key, F.col("next_item").alias("item")).agg(
-        F.sum(F.col("_w") * F.col("cnt")).cast("bigint").alias("score"))
+    h = h.groupBy("_tail", "prev_item").agg(F.sum(F.lit(length) - (F.col("_s") - 1 - F.col("_p"))).alias("_w"))
+    s = h.join(model, "prev_item", "inner").select(
+        "_tail", F.col("next_item").alias("item"), (F.col("_w") * F.col("cnt")).cast("bigint").alias("score"))
+    if exclude is not None:
+        s = s.join(exclude.select("item"), "item", "left_anti").select("_tail", "item", "score")
+    if fill:
+        allowed = tie_vocab.select("idx", "item")
+        if exclude is not None:
+            allowed = allowed.join(exclude.select("item"), "item", "left_anti")
+        top = allowed.orderBy("idx").limit(k).agg(F.collect_list("item").alias("_top"))  # one row of k items
+        s = s.unionByName(tails.crossJoin(F.broadcast(top)).select(
+            "_tail", F.explode("_top").alias("item"), F.lit(0).cast("bigint").alias("score")))
+    s = s.groupBy("_tail", "item").agg(F.sum("score").cast("bigint").alias("score"))
     if tie_vocab is not None:
         s = s.join(tie_vocab.select("item", "idx"), "item", "left")
         order = [F.col("score").desc(), F.col("idx").asc_nulls_last(), F.col("item").asc()]
     else:
         order = [F.col("score").desc(), F.col("item").asc()]
-    w = Window.partitionBy(key).orderBy(*order)
+    w = Window.partitionBy("_tail").orderBy(*order)
     r = s.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
-    return r.select(key, "rank", "item", "score")
+    return keyed.join(r, "_tail").select(key, "rank", "item", "score")

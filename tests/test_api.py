@@ -63,3 +63,19 @@ def test_needs_a_shared_folder_on_a_cluster():
                            sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError):
         checkpoint_root(fake)
+
+
+def test_whole_history_scores(spark, log):
+    p = NextItemPredictor(history_len=2)
+    p.train(log)
+    hist = spark.createDataFrame([("a", [9, 20, 10]), ("u", [77]), ("e", []), ("n", None)],
+                                 "user_session string, history array<bigint>")
+    ex = spark.createDataFrame([(20,)], "item bigint")
+    got = {}
+    for r in p.predict_next_items(hist, k=2, whole_history=True).orderBy("rank").collect():
+        got.setdefault(r.user_session, []).append((r.item, r.score))
+    # 10 -> 20 once at weight 2, 20 -> 30 twice at weight 1; the 9 is out of the last two
+    assert got["a"] == [(20, 2), (30, 2)]
+    assert got["u"] == got["e"] == got["n"] == [(20, 0), (10, 0)]
+    less = p.predict_next_items(hist, k=2, exclude_items=ex, whole_history=True).orderBy("rank").collect()
+    assert [r.item for r in less if r.user_session == "a"] == [30, 10]
