@@ -6,8 +6,9 @@ No global shuffle and no unseeded randomness: membership is a function of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..config import materialize
 from ..functions.hashing import drawn, hash_key
 from ..functions.time import time_bucket
 from ..schema import EVENT_ID, EVENT_TIME, SESSION
@@ -50,16 +51,29 @@ def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 def exact_sample(df: DataFrame, n, seed: str = "", key: str = EVENT_ID, block_hex: int = 4) -> DataFrame:
     """Exactly ``min(n, rows)`` rows: the bottom-n by ``md5(seed || key)``.
 
-    ``n`` may be an int or a one-row DataFrame column named ``n``. The hash order is
-    blocked by its first ``block_hex`` hex digits (16**block_hex blocks), so the
-    global rank is block offset + in-block rank: no single task ranks all rows.
+    ``n`` may be an int or a one-row DataFrame column named ``n``. Rows are counted by the first
+    ``block_hex`` hex digits of their hash (at most 16**block_hex counts); blocks wholly under n
+    stay, later blocks go at the scan, and only the rows of the boundary block are ranked.
     """
-    h = hash_key(F.col(key), seed)
-    d = df.withColumn("_h", h)
-    d = ordered_index(d, [], [F.col("_h")], [("_hb", F.substring("_h", 1, block_hex))], name="_hpos", start=0)
-    if isinstance(n, int):
-        return d.filter(F.col("_hpos") < F.lit(n)).drop("_h", "_hpos")
-    return d.crossJoin(F.broadcast(n.select("n"))).filter(F.col("_hpos") < F.col("n")).drop("_h", "_hpos", "n")
+    d = df.withColumn("_h", F.coalesce(hash_key(F.col(key), seed), F.lit("")))  # null keys come first
+    blocks = d.groupBy(F.substring("_h", 1, block_hex).alias("_hb")).agg(F.count(F.lit(1)).alias("_c"))
+    want = df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("n")) if isinstance(n, int) else n.select("n")
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the last block that starts under n, and how many of its rows are wanted; one row
+    edge = blocks.withColumn("_before", before).crossJoin(F.broadcast(want)).filter(F.col("_before") < F.col("n")) \
+        .agg(F.max("_hb").alias("_edge"), F.min(F.col("n") - F.col("_before")).alias("_need"))
+    d = d.withColumn("_hb", F.substring("_h", 1, block_hex)).crossJoin(F.broadcast(materialize(edge, "sample-edge")))
+    rank = F.row_number().over(Window.partitionBy("_hb").orderBy("_h"))
+    last = d.filter(F.col("_hb") == F.col("_edge")).withColumn("_r", rank).filter(F.col("_r") <= F.col("_need"))
+    return d.filter(F.col("_hb") < F.col("_edge")).select(*df.columns).unionByName(last.select(*df.columns))
+
+
+def split_sessions_exact(events: DataFrame, share_pct: int = 80, seed: str = "") -> DataFrame:
+    """(user_session, is_train): exactly ⌊share·sessions⌋ training sessions, the first by hash."""
+    sessions = events.select(SESSION).distinct()
+    n = sessions.agg((F.count(F.lit(1)) * share_pct / 100).cast("bigint").alias("n"))
+    train = exact_sample(sessions, n, seed, key=SESSION).withColumn("is_train", F.lit(True))
+    return sessions.join(train, SESSION, "left").select(SESSION, F.coalesce("is_train", F.lit(False)).alias("is_train"))
 
 
 def validation_tail(pairs: DataFrame, share_pct: int = 20, order=(EVENT_TIME, EVENT_ID),
