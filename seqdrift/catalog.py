@@ -51,6 +51,21 @@ def raw_clicks(spark, sf_dir):
 # ---------------------------------------------------------------- A: sources
 register("clicks")(lambda spark, d: A.clicks(spark, d))
 register("baskets")(lambda spark, d: A.baskets(spark, d))
+@register("csv_log")
+def q_csv_log(spark, d):
+    """A1/A2: the log as header CSV with text times (with and without `` UTC``, every 50th unreadable),
+    columns in another order and one to prune, written and read again."""
+    from .config import scratch_path
+    from .sources.files import read_events_csv
+    path = scratch_path(spark, "csv-log")
+    text = F.date_format(EVENT_TIME, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    text = F.when(F.col(EVENT_ID) % 50 == 0, "no time").when(F.col(EVENT_ID) % 2 == 0, F.concat(text, F.lit(" UTC"))).otherwise(text)
+    A.parsed_events(spark, d).select(
+        F.col(USER).cast("string").alias(SESSION), ITEM, F.lit("x, \"y\"").alias("extra"), text.alias(EVENT_TIME), USER, EVENT_ID,
+    ).write.option("header", True).csv(path)
+    return read_events_csv(spark, path)
+
+
 register("ingest_drops")(lambda spark, d: ingest_drops(A.parsed_events(spark, d)))
 register("ingest_stats")(lambda spark, d: ingest_stats(raw_clicks(spark, d)))
 
@@ -165,6 +180,12 @@ def q_split_sessions(spark, d):
     return C.split_sessions(raw_clicks(spark, d)).select(SESSION, "is_train").distinct()
 
 
+@register("split_sessions_exact")
+def q_split_sessions_exact(spark, d):
+    """Exactly 80% of the sessions (rounded down) train."""
+    return C.split_sessions_exact(raw_clicks(spark, d), 80)
+
+
 @register("split_semi")
 def q_split_semi(spark, d):
     ev = clicks(spark, d)
@@ -286,10 +307,22 @@ def q_recommend_history(spark, d):
     return J.recommend_history(h, model, length=10, k=10, tie_vocab=vocab)
 
 
+@register("recommend_history_filled")
+def q_recommend_history_filled(spark, d):
+    """J3 with the two most popular items left out and popularity fill: every held-out session is
+    answered, those of one event and of unseen items too."""
+    ev, model, vocab = _train_model(spark, d)
+    rows = S.session_rows(ev.filter(~F.col("is_train")), with_size=True)
+    h = S.history_windows(rows, 10, carry=("session_len",))
+    h = h.filter(F.col("row_num") == F.col("session_len"))
+    return J.recommend_history(h, model, length=10, k=10, tie_vocab=vocab, fill=True,
+                               exclude=vocab.filter(F.col("idx") < 2).select("item"))
+
+
 # ---------------------------------------------------------------- L: sliding window + replay
 def _phases(spark, d, buffer="growing"):
     from .plans.phases import PhaseProtocol
-    return PhaseProtocol(clicks(spark, d), buffer=buffer)
+    return PhaseProtocol(clicks(spark, d), buffer=buffer, counted=A.click_events(spark, d))
 
 
 @register("phase_plan")
@@ -328,6 +361,18 @@ def q_phase_topk_accuracy_frozen(spark, d):
     return _phases(spark, d, buffer="frozen").accuracy(variants=("replay",))
 
 
+@register("phase_topk_accuracy_static")
+def q_phase_topk_accuracy_static(spark, d):
+    """The model of phase 0, never refitted, on every phase."""
+    return _phases(spark, d).accuracy(variants=("static",))
+
+
+@register("phase_topk_accuracy_rows_frozen")
+def q_phase_topk_accuracy_rows_frozen(spark, d):
+    """The reference's effective replay: one row draw, never grown, pairs rebuilt after the union."""
+    return _phases(spark, d, buffer="frozen").accuracy(variants=("replay_rows",))
+
+
 @register("phase_unknown_share")
 def q_phase_unknown_share(spark, d):
     return _phases(spark, d).unknown_share()
@@ -344,7 +389,8 @@ def q_degradation_alerts(spark, d):
 # ---------------------------------------------------------------- L: daily protocol
 def _daily(spark, d, cumulative=False):
     from .plans.daily import DailyProtocol
-    return DailyProtocol(clicks(spark, d), shift_days=14, window_days=3, every_days=3, cumulative=cumulative)
+    return DailyProtocol(clicks(spark, d), shift_days=14, window_days=3, every_days=3, cumulative=cumulative,
+                         timed=A.click_events(spark, d))
 
 
 @register("test_dates")

@@ -82,6 +82,10 @@ SQL: dict[str, str] = {}
 # ---------------------------------------------------------------- A: sources
 SQL["clicks"] = with_ctes(CLICKS, body="SELECT * FROM clicks")
 SQL["baskets"] = with_ctes(BASKETS, body="SELECT * FROM baskets")
+SQL["csv_log"] = """
+SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) END AS event_time, user_id,
+       TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id, CAST(user_id AS VARCHAR) AS user_session
+FROM events"""
 SQL["ingest_drops"] = """
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE ts IS NULL) AS null_times, count(*) FILTER (WHERE user_id IS NULL) AS null_users,
        count(*) FILTER (WHERE k IS NULL) AS null_items,
@@ -196,6 +200,9 @@ FROM o FULL OUTER JOIN n ON o.item = n.item""")
 
 # ---------------------------------------------------------------- C/E: splits and samples
 SQL["split_sessions"] = with_ctes(CLICKS, SPLIT, body="SELECT DISTINCT user_session, is_train FROM ev")
+SQL["split_sessions_exact"] = with_ctes(CLICKS, body="""
+SELECT user_session, row_number() OVER (ORDER BY md5(user_session)) <= (count(*) OVER ()) * 80 // 100 AS is_train
+FROM (SELECT DISTINCT user_session FROM clicks)""")
 SQL["split_semi"] = with_ctes(CLICKS, SPLIT, body="""
 SELECT event_id, user_session FROM clicks
 WHERE user_session IN (SELECT user_session FROM ev WHERE is_train)""")
@@ -316,6 +323,24 @@ SELECT user_session, rank, item, score FROM (
   FROM scores s LEFT JOIN vocab v ON v.item = s.item)
 WHERE rank <= 10"""
 
+SQL["recommend_history_filled"] = "WITH " + ",".join(TRAIN_PAIRS) + """,
+last_rows AS (
+  SELECT user_session, product_id AS prev_item, 10 - (session_len - row_num) AS w
+  FROM rows_ WHERE NOT is_train AND row_num > session_len - 10
+),
+scores AS (
+  SELECT l.user_session, m.next_item AS item, CAST(sum(l.w * m.cnt) AS BIGINT) AS score
+  FROM last_rows l JOIN model m ON m.prev_item = l.prev_item GROUP BY 1, 2
+),
+offers AS (
+  SELECT e.user_session, v.item, v.idx, coalesce(s.score, 0) AS score
+  FROM (SELECT DISTINCT user_session FROM ev WHERE NOT is_train) e CROSS JOIN vocab v
+  LEFT JOIN scores s ON s.user_session = e.user_session AND s.item = v.item WHERE v.idx >= 2
+)
+SELECT user_session, rank, item, score FROM (
+  SELECT o.*, CAST(row_number() OVER (PARTITION BY user_session ORDER BY score DESC, idx) AS BIGINT) AS rank FROM offers o)
+WHERE rank <= 10"""
+
 # ---------------------------------------------------------------- L: sliding window + replay
 PHASE = """
 pos_ AS (SELECT *, CAST(row_number() OVER (ORDER BY event_time, event_id) - 1 AS BIGINT) AS pos FROM clicks),
@@ -392,12 +417,15 @@ train AS (
   SELECT pl.phase, v.variant, pp.prev_item, pp.next_item, count(*) AS cnt
   FROM pp_draw pp, plan pl, vars v
   WHERE (pp.prev_pos >= pl.train_start AND pp.next_pos < pl.train_end)
+        AND v.variant <> 'static'
+     OR (v.variant = 'static' AND pp.prev_pos >= 0 AND pp.next_pos < (SELECT init FROM sz))
      OR (v.variant = 'replay' AND pl.phase >= 1 AND pp.draw IS NOT NULL AND pp.draw < pl.phase {draw_filter})
   GROUP BY 1, 2, 3, 4
 ),
 tests AS (
   SELECT pl.phase, pp.prev_item, pp.next_item AS target, count(*) AS n
   FROM pp, plan pl WHERE pp.prev_pos >= pl.test_start AND pp.next_pos < pl.test_end GROUP BY 1, 2, 3
+  UNION ALL SELECT phase, NULL, NULL, 0 FROM plan
 ),
 fr AS (
   SELECT phase, variant, prev_item, next_item,
@@ -413,12 +441,13 @@ ranked AS (
 acc AS (
   SELECT phase, variant, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n,
          CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS BIGINT) AS hits,
-         CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy
+         CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0) AS accuracy
   FROM ranked, {KS} GROUP BY phase, variant, k
 )""", body="SELECT * FROM acc")
 
 
 SQL["phase_topk_accuracy"] = phase_acc_sql(("window", "replay"))
+SQL["phase_topk_accuracy_static"] = phase_acc_sql(("static",))
 SQL["phase_topk_accuracy_frozen"] = phase_acc_sql(("replay",), frozen=True)
 SQL["degradation_alerts"] = phase_acc_sql(("window", "replay")).replace("SELECT * FROM acc", """
 SELECT variant, k, phase, accuracy, prev_accuracy,
@@ -539,6 +568,7 @@ fr AS (
 tests AS (
   SELECT {dk_next} AS test_date, prev_item, next_item AS target, count(*) AS n
   FROM dpairs WHERE {dk_prev} = {dk_next} AND {dk_next} IN (SELECT test_date FROM dates) GROUP BY 1, 2, 3
+  UNION ALL SELECT test_date, NULL, NULL, 0 FROM dates
 ),
 vars AS (SELECT * FROM (VALUES ('static'), ('updated'), ('transfer')) v(variant)),
 ranked AS (
@@ -551,13 +581,13 @@ ranked AS (
 SQL["daily_topk_accuracy"] = daily_sql("""
 SELECT test_date, variant, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n,
        CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS BIGINT) AS hits,
-       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy
+       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0) AS accuracy
 FROM ranked, """ + KS + " GROUP BY test_date, variant, k", DAILY_ACC)
 
 SQL["daily_topk_accuracy_cumulative"] = daily_sql("""
 SELECT test_date, variant, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n,
        CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS BIGINT) AS hits,
-       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy
+       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0) AS accuracy
 FROM ranked, """ + KS + " GROUP BY test_date, variant, k", """
 mif_c AS (
   SELECT d.test_date,
@@ -576,6 +606,7 @@ fr AS (
 tests AS (
   SELECT d.test_date, p.prev_item, p.next_item AS target, count(*) AS n
   FROM dpairs p JOIN dates d ON p.next_time <= d.test_date GROUP BY 1, 2, 3
+  UNION ALL SELECT test_date, NULL, NULL, 0 FROM dates
 ),
 vars AS (SELECT * FROM (VALUES ('static'), ('updated')) v(variant)),
 ranked AS (
@@ -636,14 +667,15 @@ FROM (SELECT *, list(product_id) OVER (PARTITION BY user_session ORDER BY row_nu
                                        ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h FROM rows_),
      (SELECT count(*) AS nl FROM vi)""")
 
-SQL["phase_topk_accuracy_rows"] = with_ctes(CLICKS, PHASE, f"""
+def phase_rows_sql(draw_filter: str = "") -> str:
+    return with_ctes(CLICKS, PHASE, f"""
 rdraw AS (
   SELECT d.q, p.event_id,
          row_number() OVER (PARTITION BY d.q ORDER BY
            md5('replay' || CAST(d.q AS VARCHAR) || '|' || CAST(p.event_id AS VARCHAR))) AS r
   FROM pos_ p JOIN draws d ON p.pos < d.bound
 ),
-rsel AS (SELECT event_id, min(q) AS draw FROM rdraw, sz WHERE r <= sz.buffer GROUP BY 1),
+rsel AS (SELECT event_id, min(q) AS draw FROM rdraw, sz WHERE r <= sz.buffer {draw_filter} GROUP BY 1),
 trows AS (
   SELECT pl.phase, e.event_id, e.event_time, e.user_session, e.product_id
   FROM pos_ e JOIN plan pl ON e.pos >= pl.train_start AND e.pos < pl.train_end
@@ -660,6 +692,7 @@ train AS (SELECT phase, prev_item, next_item, count(*) AS cnt FROM tp WHERE next
 tests AS (
   SELECT pl.phase, pp.prev_item, pp.next_item AS target, count(*) AS n
   FROM pp, plan pl WHERE pp.prev_pos >= pl.test_start AND pp.next_pos < pl.test_end GROUP BY 1, 2, 3
+  UNION ALL SELECT phase, NULL, NULL, 0 FROM plan
 ),
 fr AS (
   SELECT phase, prev_item, next_item,
@@ -672,5 +705,9 @@ ranked AS (
 )""", body=f"""
 SELECT phase, 'replay_rows' AS variant, CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n,
        CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS BIGINT) AS hits,
-       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy
+       CAST(sum(CASE WHEN rank <= k THEN n ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0) AS accuracy
 FROM ranked, {KS} GROUP BY phase, k""")
+
+
+SQL["phase_topk_accuracy_rows"] = phase_rows_sql()
+SQL["phase_topk_accuracy_rows_frozen"] = phase_rows_sql("AND q = 0")

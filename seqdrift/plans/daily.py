@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import materialize
 from ..functions.time import day_start, minus_days, whole_days_between
 from ..operators.sessions import session_pairs
-from ..operators.transitions import DEFAULT_KS, target_ranks, topk_accuracy, transition_model
+from ..operators.transitions import DEFAULT_KS, keep_keys, target_ranks, topk_accuracy, transition_model
 from ..schema import EVENT_ID, EVENT_TIME, ITEM
 
 def day_key(col):
@@ -41,8 +41,11 @@ def day_key(col):
 
 class DailyProtocol:
     def __init__(self, events: DataFrame, shift_days: int = 14, window_days: int = 3, every_days: int = 3,
-                 cumulative: bool = False):
+                 cumulative: bool = False, timed: DataFrame | None = None):
+        """``timed``: a frame with the event times of ``events`` that is cheaper to read (the log
+        before sessionization); the calendar needs no more."""
         self.raw_events = events
+        self.timed = timed
         self.shift_days = shift_days
         self.window_days = window_days
         self.every_days = every_days
@@ -73,7 +76,7 @@ class DailyProtocol:
     def per_day(self) -> DataFrame:
         """(_key, _mt): latest event of each day key — one pass, one row per day. Every
         calendar table (bounds, dates, per-date maxima, schedule) derives from it."""
-        g = self.events.groupBy(day_key(EVENT_TIME).alias("_key")).agg(F.max(EVENT_TIME).alias("_mt"))
+        g = (self.events if self.timed is None else self.timed).groupBy(day_key(EVENT_TIME).alias("_key")).agg(F.max(EVENT_TIME).alias("_mt"))
         return materialize(g, "daily-per-day")
 
     @cached_property
@@ -249,7 +252,7 @@ class DailyProtocol:
 
     def accuracy(self, variants=("static", "updated", "transfer"), ks=DEFAULT_KS) -> DataFrame:
         """(test_date, variant, k, n, hits, accuracy)."""
-        tests = self.test_counts()
+        tests = keep_keys(self.test_counts(), self.test_dates())
         mif = self.model_in_force()
         out = None
         for v in variants:

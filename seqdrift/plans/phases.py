@@ -32,7 +32,7 @@ from ..operators.ordered import ordered_index
 from ..operators.sessions import DEFAULT_BLOCK_SECONDS, session_rows
 from ..operators.slices import event_positions
 from ..functions.time import time_bucket
-from ..operators.transitions import DEFAULT_KS, target_ranks, topk_accuracy
+from ..operators.transitions import DEFAULT_KS, keep_keys, target_ranks, topk_accuracy
 from ..schema import EVENT_ID, ITEM, SESSION
 
 REPLAY_SEED = "replay"
@@ -101,9 +101,13 @@ def positioned_pairs(events: DataFrame, positioned: bool = False) -> DataFrame:
 class PhaseProtocol:
     """All derived tables of the protocol for one event log (lazy DataFrames)."""
 
-    def __init__(self, events: DataFrame, buffer: str = "growing"):
+    def __init__(self, events: DataFrame, buffer: str = "growing", counted: DataFrame | None = None):
+        """``counted``: a frame with as many rows as ``events`` that is cheaper to count (the log
+        before sessionization), so that the plan alone neither orders nor writes the log."""
         self.events = events
+        self.counted = counted
         self.buffer = buffer
+        self._segment_rows: dict[str, DataFrame] = {}
 
     # -- the event log with global positions: computed once, read by every branch ----
     @cached_property
@@ -114,7 +118,7 @@ class PhaseProtocol:
     # -- control tables: a few rows each, built once and materialized --------------
     @cached_property
     def sz(self) -> DataFrame:
-        return materialize(sizes(self.base), "phase-sizes")
+        return materialize(sizes(self.base if self.counted is None else self.counted), "phase-sizes")
 
     # plan, draws and arrays are projections of the one-row ``sz`` table: cheap to
     # derive wherever they are used, so they stay lazy.
@@ -175,6 +179,13 @@ class PhaseProtocol:
         j = sc.join(ps, cond, "inner")
         return j.groupBy("phase", "prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt"))
 
+    def initial_counts(self) -> DataFrame:
+        """(prev_item, next_item, cnt): the model of phase 0, which the static variant never refits."""
+        first = F.broadcast(self.plan_segs().filter(F.col("phase") == 0))
+        j = self.segment_counts().join(first, (F.col("seg_prev") >= F.col("train_start_seg"))
+                                       & (F.col("seg_next") < F.col("train_end_seg")))
+        return j.groupBy("prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+
     def test_counts(self) -> DataFrame:
         """(phase, prev_item, target, n) — test pairs with both events in the test slice."""
         sc = self.segment_counts()
@@ -217,12 +228,16 @@ class PhaseProtocol:
 
     def accuracy(self, variants=("window", "replay"), ks=DEFAULT_KS, tie: str = "item") -> DataFrame:
         """(phase, variant, k, n, hits, accuracy) for every phase and variant at once.
-        Variants: ``window`` (no replay), ``replay`` (session draws), ``replay_rows`` (row draws)."""
-        tests = self.test_counts()
+        Variants: ``window`` (no replay), ``replay`` (session draws), ``replay_rows`` (row draws),
+        ``static`` (phase 0's model on every phase). A phase without test pairs has n = 0."""
+        tests = keep_keys(self.test_counts(), self.plan.select("phase"))
         out = None
         for v in variants:
-            model = self.row_replay_counts() if v == "replay_rows" else self.train_counts(v)
-            r = target_ranks(tests, model, None, max(ks), keys=["phase"], fill=False, tie=tie)
+            if v == "static":
+                r = target_ranks(tests, self.initial_counts(), None, max(ks), fill=False, tie=tie)
+            else:
+                model = self.row_replay_counts() if v == "replay_rows" else self.train_counts(v)
+                r = target_ranks(tests, model, None, max(ks), keys=["phase"], fill=False, tie=tie)
             a = topk_accuracy(r, ks, keys=["phase"]).withColumn("variant", F.lit(v))
             out = a if out is None else out.unionByName(a)
         return out.select("phase", "variant", "k", "n", "hits", "accuracy")
@@ -259,21 +274,38 @@ class PhaseProtocol:
 
     def train_stats(self) -> DataFrame:
         """Per phase, training rows, distinct items (= vocabulary size), sessions."""
-        t = self.train_rows()
-        return t.groupBy("phase").agg(
-            F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-            F.countDistinct(ITEM).cast("bigint").alias("n_items"),
+        items = self.train_segments(ITEM).groupBy("phase").agg(
+            F.sum("cnt").cast("bigint").alias("n_rows"), F.countDistinct(ITEM).cast("bigint").alias("n_items"))
+        sessions = self.train_segments(SESSION).groupBy("phase").agg(
             F.countDistinct(SESSION).cast("bigint").alias("n_sessions"))
+        return items.join(sessions, "phase")
+
+    def segment_rows(self, column: str) -> DataFrame:
+        """(seg, draw, column, cnt): events counted by segment before they meet the plan."""
+        if column not in self._segment_rows:
+            ev = self.base.crossJoin(F.broadcast(self.arrays))
+            agg = ev.groupBy(_seg("pos").alias("seg"), _first_draw("pos").alias("draw"), column) \
+                .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+            self._segment_rows[column] = materialize(agg, f"phase-segments-{column}")
+        return self._segment_rows[column]
+
+    def train_segments(self, column: str) -> DataFrame:
+        """(phase, column, cnt): the segments of window and buffer rows of every phase."""
+        window = (F.col("seg") >= F.col("train_start_seg")) & (F.col("seg") < F.col("train_end_seg"))
+        replay = (F.col("phase") >= 1) & F.coalesce(F.col("draw") < F.col("phase"), F.lit(False))
+        j = self.segment_rows(column).join(F.broadcast(self.plan_segs()), window | replay)
+        return j.select("phase", column, (F.col("cnt") * (window.cast("int") + replay.cast("int"))).alias("cnt"))
 
     def unknown_share(self) -> DataFrame:
         """per phase, share of test events / test targets unseen in its training rows."""
-        known = self.train_rows().select("phase", F.col(ITEM).alias("_item")).distinct().withColumn("_k", F.lit(1))
-        ev = self.positioned
-        te = ev.join(F.broadcast(self.plan), (F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end")))
-        te = te.select("phase", F.col(ITEM).alias("_item")).join(known, ["phase", "_item"], "left")
+        known = self.train_segments(ITEM).select("phase", F.col(ITEM).alias("_item")).distinct().withColumn("_k", F.lit(1))
+        te = self.segment_rows(ITEM).join(F.broadcast(self.plan_segs()), (F.col("seg") >= F.col("test_start_seg"))
+                                          & (F.col("seg") < F.col("test_end_seg")))
+        te = te.select("phase", F.col(ITEM).alias("_item"), "cnt").join(known, ["phase", "_item"], "left")
         ev_share = te.groupBy("phase").agg(
-            F.count(F.lit(1)).cast("bigint").alias("n_test_events"),
-            F.avg(F.when(F.col("_k").isNull(), 1.0).otherwise(0.0)).alias("unknown_item_share"))
+            F.sum("cnt").cast("bigint").alias("n_test_events"),
+            (F.sum(F.when(F.col("_k").isNull(), F.col("cnt")).otherwise(0)).cast("double")
+             / F.sum("cnt").cast("double")).alias("unknown_item_share"))
         tc = self.test_counts().select("phase", F.col("target").alias("_item"), "n").join(known, ["phase", "_item"], "left")
         pr_share = tc.groupBy("phase").agg(
             F.sum("n").cast("bigint").alias("n_test_pairs"),

@@ -20,16 +20,22 @@ def append_metrics(metrics: DataFrame, path: str, partition_by=("run",)) -> None
     w.parquet(path)
 
 
-def ingest_stats(events: DataFrame) -> DataFrame:
-    """One row: rows, null ids, distinct sessions/items/users, time range."""
+def ingest_stats(events: DataFrame, rsd: float | None = None) -> DataFrame:
+    """One row: rows, null ids, distinct sessions/items/users, time range.
+
+    ``rsd``: count distinct ids by sketches of that relative error (one aggregate, no expansion).
+    """
+    def distinct(c):
+        return F.countDistinct(c) if rsd is None else F.approx_count_distinct(c, rsd)
+
     return events.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col(ITEM).isNull()).alias("null_items"),
         F.count_if(F.col(USER).isNull()).alias("null_users"),
         F.count_if(F.col(SESSION).isNull()).alias("null_sessions"),
-        F.countDistinct(SESSION).alias("n_sessions"),
-        F.countDistinct(ITEM).alias("n_items"),
-        F.countDistinct(USER).alias("n_users"),
+        distinct(SESSION).alias("n_sessions"),
+        distinct(ITEM).alias("n_items"),
+        distinct(USER).alias("n_users"),
         F.min(EVENT_TIME).alias("first_time"),
         F.max(EVENT_TIME).alias("last_time"),
     )

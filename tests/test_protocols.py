@@ -118,3 +118,25 @@ def test_session_shape_anchors(spark, clicks01):
     a = b.agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("mx"),
               F.count_if(F.col("count") >= 3).alias("n3")).first()
     assert (a.n, a.mx, a.n3) == (14_743, 13, 11_494)
+
+
+def test_exact_sample_is_the_bottom_by_hash(spark):
+    from seqdrift.operators.sampling import exact_sample
+    import hashlib
+    rows = list(range(500))
+    df = spark.createDataFrame([(i,) for i in rows], "event_id bigint")
+    order = sorted(rows, key=lambda i: hashlib.md5(f"s{i}".encode()).hexdigest())
+    for n, hexes in ((0, 4), (7, 1), (123, 1), (123, 4), (500, 2), (900, 2)):
+        got = {r.event_id for r in exact_sample(df, n, "s", block_hex=hexes).collect()}
+        assert got == set(order[:n])
+    assert exact_sample(df.limit(0), 5, "s").count() == 0
+
+
+def test_phases_without_test_pairs_keep_their_rows(spark):
+    from pyspark.sql import functions as F
+    from seqdrift.plans.phases import PhaseProtocol
+    log = spark.range(100).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id)").alias("event_time"),
+        F.col("id").alias("user_id"), (F.col("id") % 5).alias("product_id"), F.col("id").cast("string").alias("user_session"))
+    got = PhaseProtocol(log).accuracy(variants=("window", "static"), ks=(1,)).collect()
+    assert len(got) == 12 and all(r.n == 0 and r.hits == 0 and r.accuracy is None for r in got)
