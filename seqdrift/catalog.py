@@ -523,7 +523,7 @@ def q_stream_recommend(spark, d):
     from .streaming.jobs import recommend_stream
     from .streaming.staging import run_to_parquet
     _, model, vocab = _train_model(spark, d)
-    recs = J.recommend_topk(model, vocab, k=10, fill=True, tie="idx").filter(F.col("prev_item").isNotNull())
+    recs = J.recommend_topk(model, vocab, k=10, fill=True, tie="idx")
     from .config import materialize
     recs = materialize(recs, "stream-recs")
     return run_to_parquet(recommend_stream(_staged(spark, d), recs), "stream-recommend")
@@ -538,6 +538,30 @@ def q_stream_model_refresh(spark, d):
     return m.model()
 
 
+@register("stream_history_unordered")
+def q_stream_history_unordered(spark, d):
+    """M5 with events arriving in hash order, one batch delivered twice: equals the batch histories."""
+    from .streaming.jobs import SessionRefresh
+    ev = clicks(spark, d)
+    m = SessionRefresh(spark, lambda e: S.history_windows(S.session_rows(e), 10))
+    part = F.pmod(F.xxhash64(EVENT_ID, F.lit("arrival")), F.lit(3))
+    for b in (0, 1, 1, 2):
+        m(ev.filter(part == b), b)
+    return m.result().groupBy(SESSION).agg(
+        F.max("row_num").alias("n_events"), render(F.max_by("history", "row_num")).alias("history"))
+
+
+@register("stream_sequences")
+def q_stream_sequences(spark, d):
+    """M4: ordered item sequences per session, kept up to date by the stream."""
+    from .streaming.jobs import SessionRefresh
+    from .streaming.staging import run_foreach_batch
+    m = SessionRefresh(spark, lambda e: S.session_sequences(e, min_len=1, chunk_len=1024), expire_seconds=86_400)
+    run_foreach_batch(_staged(spark, d), "stream-sequences", m)
+    out = m.result().filter(F.col("session_len") >= 2)
+    return out.select(SESSION, "chunk", "session_len", render(F.col("items")).alias("items"))
+
+
 @register("stream_model_refresh_unordered")
 def q_stream_model_refresh_unordered(spark, d):
     """M7 with events arriving in hash order and negative ids: equals the batch model."""

@@ -636,7 +636,13 @@ SELECT user_session, max(row_num) AS n_events,
 FROM rows_ GROUP BY user_session""")
 SQL["stream_recommend"] = "WITH " + ",".join(TRAIN_PAIRS) + "," + recommend_ctes(10) + """
 SELECT c.event_id, c.product_id, r.rank, r.item, r.score
-FROM clicks c JOIN recs r ON r.prev_item = c.product_id"""
+FROM clicks c JOIN recs r ON r.prev_item = c.product_id
+UNION ALL
+SELECT c.event_id, c.product_id, r.rank, r.item, r.score
+FROM clicks c JOIN recs r ON r.prev_item IS NULL
+WHERE c.product_id NOT IN (SELECT prev_item FROM model)"""
+SQL["stream_history_unordered"] = SQL["stream_history"]
+SQL["stream_sequences"] = SQL["session_sequences"]
 SQL["stream_model_refresh"] = SQL["transition_model"]
 SQL["stream_model_refresh_unordered"] = SQL["transition_model"]
 SQL["stream_model_refresh_redelivered"] = SQL["transition_model"]

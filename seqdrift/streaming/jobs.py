@@ -114,20 +114,19 @@ def history_stream(src: DataFrame, length: int = 10, gap_seconds: int = 86_400,
 
 # -- M6 ------------------------------------------------------------------------------
 def recommend_stream(src: DataFrame, recs: DataFrame) -> DataFrame:
-    """M6: each incoming event joined to the precomputed top-k list of its item
-    (stream–static equi-join; the list table is items × k)."""
-    r = recs.select(F.col("prev_item").alias(ITEM), "rank", "item", "score")
-    return src.join(r, ITEM, "inner").select(EVENT_ID, ITEM, "rank", "item", "score")
+    """M6: each incoming event joined to the precomputed top-k list of its item (stream–static
+    equi-join; one row of k entries per item). Events of other items get the list of the NULL
+    ``prev_item``, if ``recs`` has one."""
+    entries = F.array_sort(F.collect_list(F.struct("rank", "item", "score")))
+    lists = recs.where(F.col("prev_item").isNotNull()).groupBy(F.col("prev_item").alias(ITEM)).agg(entries.alias("_l"))
+    fallback = recs.where(F.col("prev_item").isNull()).agg(entries.alias("_f"))  # one row, empty without a list
+    j = src.select(EVENT_ID, ITEM).join(lists, ITEM, "left").crossJoin(F.broadcast(fallback))
+    return j.select(EVENT_ID, ITEM, F.explode(F.coalesce("_l", "_f")).alias("_e")).select(EVENT_ID, ITEM, "_e.*")
 
 
-# -- M7 ------------------------------------------------------------------------------
-class ModelRefresh:
-    """M7: transition counts refreshed per micro-batch with ``foreachBatch``.
-
-    The rows of open sessions are stored; a batch re-pairs the sessions it touches, stored rows and
-    new ones together, and writes the change of their pair counts (new pairs minus the pairs
-    counted before) as ``delta/batch_id=<id>``. So events may come in any order: a late event
-    takes back the pair it splits. The model is the sum of the deltas.
+# -- M4, M5, M7 in any order ----------------------------------------------------------
+class OpenSessions:
+    """Rows of open sessions, kept between the micro-batches of a ``foreachBatch`` job.
 
     A batch always starts from the newest state *before its own id* and overwrites its own delta
     and state, so delivering a batch again changes nothing; a driver that starts again with the
@@ -139,20 +138,22 @@ class ModelRefresh:
         are closed (choose the session gap plus the lateness to allow). None keeps every session."""
         self.spark = spark
         self.expire_seconds = expire_seconds
-        self.root = root or scratch_path(spark, "model-refresh")
+        self.root = root or scratch_path(spark, "open-sessions")
+
+    def refresh(self, new: DataFrame, stored: DataFrame | None) -> DataFrame:
+        """What a batch writes, from its rows and the stored rows of the sessions it touches."""
+        raise NotImplementedError
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         cols = [EVENT_ID, EVENT_TIME, USER, ITEM, SESSION]
         ev = batch.withColumn(EVENT_TIME, F.col(EVENT_TIME).cast("timestamp_ntz")).select(*cols)
         before = latest_version(self.spark, f"{self.root}/open", batch_id)
-        counts = transition_model(session_pairs(ev))
+        touched = None
         if before is not None:
             touched = before.join(ev.select(SESSION).distinct(), SESSION, "left_semi").select(*cols)
-            old = transition_model(session_pairs(touched)).withColumn("cnt", -F.col("cnt"))
-            counts = transition_model(session_pairs(ev.unionByName(touched))).unionByName(old)
-            counts = counts.groupBy("prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt")).where("cnt != 0")
+        self.refresh(ev, touched).write.mode("overwrite").parquet(f"{self.root}/delta/batch_id={batch_id}")
+        if before is not None:
             ev = ev.unionByName(before.select(*cols))
-        counts.write.mode("overwrite").parquet(f"{self.root}/delta/batch_id={batch_id}")
         if self.expire_seconds is not None:
             newest = ev.agg((F.max(EVENT_TIME) - F.make_dt_interval(secs=F.lit(self.expire_seconds))).alias("_from"))
             live = ev.groupBy(SESSION).agg(F.max(EVENT_TIME).alias("_last")).crossJoin(F.broadcast(newest)) \
@@ -160,6 +161,44 @@ class ModelRefresh:
             ev = ev.join(live, SESSION, "left_semi").select(*cols)
         ev.write.mode("overwrite").parquet(f"{self.root}/open/v={batch_id}")
 
+
+class SessionRefresh(OpenSessions):
+    """M4/M5: histories or sequences of sessions whose events come in any order.
+
+    Each batch writes ``build(rows)`` for the sessions it touches, from all their rows so far; a
+    session's result is that of the last batch that touched it.
+    """
+
+    def __init__(self, spark, build, expire_seconds: int | None = None, root: str | None = None):
+        """build(events) -> rows that carry ``user_session``."""
+        super().__init__(spark, expire_seconds, root)
+        self.build = build
+
+    def refresh(self, new: DataFrame, stored: DataFrame | None) -> DataFrame:
+        return self.build(new if stored is None else new.unionByName(stored))
+
+    def result(self) -> DataFrame:
+        d = self.spark.read.parquet(f"{self.root}/delta")
+        last = d.groupBy(SESSION).agg(F.max("batch_id").alias("batch_id"))
+        return d.join(last, [SESSION, "batch_id"]).drop("batch_id")
+
+
+class ModelRefresh(OpenSessions):
+    """M7: transition counts refreshed per micro-batch.
+
+    A batch re-pairs the sessions it touches, stored rows and new ones together, and writes the
+    change of their pair counts (new pairs minus the pairs counted before) as ``delta/batch_id=<id>``.
+    So events may come in any order: a late event takes back the pair it splits. The model is the
+    sum of the deltas.
+    """
+
+    def refresh(self, new: DataFrame, stored: DataFrame | None) -> DataFrame:
+        if stored is None:
+            return transition_model(session_pairs(new))
+        old = transition_model(session_pairs(stored)).withColumn("cnt", -F.col("cnt"))
+        counts = transition_model(session_pairs(new.unionByName(stored))).unionByName(old)
+        return counts.groupBy("prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt")).where("cnt != 0")
+
     def model(self) -> DataFrame:
         d = self.spark.read.parquet(f"{self.root}/delta")
         return d.groupBy("prev_item", "next_item").agg(F.sum("cnt").cast("bigint").alias("cnt")).where("cnt > 0")
@@ -207,4 +246,4 @@ class ReplayReservoir:
 LAST_BATCH = 2 ** 62
 
 __all__ = ["events_stream", "dedup_stream", "windowed_popularity", "popularity_stream", "session_stream",
-           "history_stream", "recommend_stream", "ModelRefresh", "ReplayReservoir"]
+           "history_stream", "recommend_stream", "OpenSessions", "SessionRefresh", "ModelRefresh", "ReplayReservoir"]

@@ -142,3 +142,27 @@ def test_ingest_drops_counts_what_adapters_drop(spark, log):
     bad = log.withColumn("product_id", F.when(F.col("event_id") > 2, F.col("product_id"))) \
         .withColumn("user_id", F.when(F.col("event_id") != 2, F.col("user_id")))
     assert tuple(ingest_drops(bad).first()) == (10, 0, 1, 2, 2, 8)
+
+
+def test_recommend_stream_answers_unseen_items(spark, log):
+    from seqdrift.streaming.jobs import recommend_stream
+    recs = spark.createDataFrame([(10, 1, 20, 3), (10, 2, 30, 1), (None, 1, 20, 0)],
+                                 "prev_item bigint, rank bigint, item bigint, score bigint")
+    got = sorted((r.event_id, r.rank, r.item) for r in recommend_stream(log, recs).collect())
+    want = [(r.event_id, k, i) for r in log.collect() for k, i in ([(1, 20), (2, 30)] if r.product_id == 10 else [(1, 20)])]
+    assert got == sorted(want)
+    known = recommend_stream(log, recs.where("prev_item is not null")).collect()
+    assert {r.product_id for r in known} == {10} and len(known) == 4
+
+
+def test_session_refresh_takes_late_and_repeated_batches(spark, log):
+    from seqdrift.operators import sessions as S
+    from seqdrift.streaming.jobs import SessionRefresh
+    m = SessionRefresh(spark, lambda e: S.history_windows(S.session_rows(e), 2))
+    for b, cond in ((0, "event_id in (1, 4, 7)"), (1, "event_id in (3, 5, 10)"), (1, "event_id in (3, 5, 10)"),
+                    (2, "event_id in (2, 6, 8, 9)")):
+        m(log.where(cond), b)
+    got = {(r.user_session, r.row_num): list(r.history) for r in m.result().collect()}
+    assert got == {("s1", 1): [10], ("s1", 2): [10, 20], ("s1", 3): [20, 30], ("s1", 4): [30, 20],
+                   ("s2", 1): [20], ("s2", 2): [20, 30], ("s2", 3): [30, 10],
+                   ("s3", 1): [9], ("s3", 2): [9, 100], ("s4", 1): [20]}
