@@ -1,10 +1,11 @@
 """Quality rules: length-normalised log-likelihood ratio of hashed n-grams, trusted target over raw corpus.
 
-Two multinomials over hashed n-grams are counted over the whole corpus, once for all documents (raw)
-and once for the trusted ones (target): byte 3-grams, and word 1- and 2-grams, each in ``BUCKETS``
-buckets. A document's score is the mean over its n-grams of log p(target) - log p(raw), added over
+Two multinomials over hashed n-grams are counted over the distinct texts of the whole corpus, once for
+all of them (raw) and once for the trusted ones (target): byte 3-grams, and word 1- and 2-grams, each in
+``BUCKETS`` buckets. However often a text is copied, it counts once, as trusted if any copy is. A document's score is the mean over its n-grams of log p(target) - log p(raw), added over
 the two tables; documents under the fixed ``THRESHOLD`` are rejected. Trusted documents are those
-labelled with quality 1. Counting folds each task's n-grams into one array before anything is
+labelled with quality 1. The prior grows with the trusted part, so a larger table of the same kind
+gives the same verdicts. Counting folds each task's n-grams into one array before anything is
 shuffled, and the tables (131,072 pairs of counts) are bounded by the parameter, not by the corpus.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqdrift.config import materialize
 
@@ -25,6 +26,9 @@ from .superkmers import gram_hashes, scatter
 BUCKETS = 1 << 16
 SHIFT = np.uint64(48)
 BYTE_GRAM = 3
+#: Counts of the prior beside a bucket: a share of the trusted n-grams of its table, and not fewer than
+#: ``PRIOR`` (up to 200,000 of them), since what a small trusted part lacks by chance is no share of it.
+PRIOR_SHARE = 1e-4
 PRIOR = 20.0
 #: Rejection below this score. Clean documents score around 0.1, with few trusted ones down to -0.2;
 #: documents of symbols, bars, shouting or stuttering mostly score under -0.4.
@@ -106,47 +110,68 @@ class Slice:
                 "base_failed": (self.n_words < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * self.n_words)}
 
 
-def count_ngrams(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Counts [target / raw][table][bucket] over all rows of ``docs``; trusted: (doc_id).
+def text_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(h1, h2, weight, good): texts with copies or a trusted row, by the 128-bit digest of the text.
 
-    The ids of the trusted documents are counted and sent to the texts if few enough; beyond that
-    the texts are shuffled to the ids.
+    weight: one over the number of rows with the text. Only digests and ids are shuffled. Texts that
+    are not listed stand in one row and are not trusted.
     """
     good = materialize(trusted.select(F.col("doc_id").alias("_good")).where("_good is not null").distinct(), "rules-trusted")
-    rows = docs.select("doc_id", "text").join(sized(good, good.count()), F.col("doc_id") == F.col("_good"), "left")
-    rows = rows.select("text", F.col("_good").isNotNull().cast("int").alias("good"))
+    rows = docs.where("text is not null").select("doc_id", *_digest())
+    rows = rows.join(sized(good, good.count()), F.col("doc_id") == F.col("_good"), "left")
+    each = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_good").isNotNull().cast("int")).alias("good"))
+    return materialize(each.where("n > 1 or good > 0").select("h1", "h2", (1 / F.col("n")).alias("weight"), "good"),
+                       "rules-texts")
+
+
+def _digest() -> list[Column]:
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
+def count_ngrams(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """Counts [target / raw][table][bucket] over the distinct texts of ``docs``; trusted: (doc_id).
+
+    Each row counts by one over its copies, and the sums are rounded to the whole numbers they stand
+    for. The digests of copied and trusted texts are counted and sent to the texts if few enough;
+    beyond that the texts are shuffled to them.
+    """
+    listed = text_weights(docs, trusted)
+    rows = docs.where("text is not null").select("text", *_digest()).join(sized(listed, listed.count()), ["h1", "h2"], "left")
+    rows = rows.select("text", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("good", F.lit(0)).alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * BUCKETS), np.int64)
+        total = np.zeros((2, 2 * BUCKETS))
         for part, texts in text_chunks(batches, "text"):
-            good = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            weight = part.column(1).to_numpy()
+            target = weight * part.column(2).to_numpy()
             for table, (bucket, own) in enumerate(Slice(texts).buckets()):
                 at = slice(table * BUCKETS, (table + 1) * BUCKETS)
-                total[1, at] += np.bincount(bucket, minlength=BUCKETS)
-                total[0, at] += np.bincount(bucket[good[own]], minlength=BUCKETS)
+                total[1, at] += np.bincount(bucket, weight[own], BUCKETS)
+                total[0, at] += np.bincount(bucket, target[own], BUCKETS)
         used = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])],
                                          names=["bucket", "target", "raw"])
 
-    counts = (rows.mapInArrow(run, "bucket bigint, target bigint, raw bigint")
+    counts = (rows.mapInArrow(run, "bucket bigint, target double, raw double")
               .groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")))
     out = np.zeros((2, 2 * BUCKETS), np.int64)
     for r in counts.collect():  # at most 2 * BUCKETS rows
-        out[0, r["bucket"]], out[1, r["bucket"]] = r["target"], r["raw"]
+        out[0, r["bucket"]], out[1, r["bucket"]] = round(r["target"]), round(r["raw"])
     return out.reshape(2, 2, BUCKETS)
 
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
     """log p(target) - log p(raw) per table and bucket; zero where nothing is trusted.
 
-    The target is smoothed towards the raw corpus: a bucket gets ``PRIOR`` counts beside what it has
+    The target is smoothed towards the raw corpus: a bucket gets the prior's counts beside what it has
     and what the raw share lets expect. A rare n-gram, which a clean document outside the small
     trusted part is full of, then says little; only well-counted ones speak.
     """
     target, raw = counts
     total = counts.sum(axis=2, keepdims=True)
     expected = raw * (total[0] / np.maximum(total[1], 1))
-    return np.where(total[0] > 0, np.log((target + PRIOR) / (expected + PRIOR)), 0.0)
+    prior = np.maximum(PRIOR, PRIOR_SHARE * total[0])
+    return np.where(total[0] > 0, np.log((target + prior) / (expected + prior)), 0.0)
 
 
 def scores(part: Slice, ratio: np.ndarray) -> np.ndarray:

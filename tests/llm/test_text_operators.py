@@ -237,6 +237,26 @@ def test_quality_rules_verdict(spark):
     assert kept.get((1, False), 0) == 0 and kept.get((0, True), 0) == 0
 
 
+def test_quality_rules_copies_and_size(spark):
+    """Verdicts don't change with copies of a clean unlabelled text, a repeated table or larger counts."""
+    import numpy as np
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs, trusted = docs.select("doc_id", "text"), quality_rules.trusted_ids(labels)
+    once = {r.doc_id: r for r in quality_rules.judge(docs, trusted).collect()}
+    named = {r.doc_id for r in labels.collect()}
+    clean = max((r for r in once.values() if r.kept and r.doc_id not in named), key=lambda r: r.score)
+    more = docs.where(F.col("doc_id") == clean.doc_id).crossJoin(spark.range(999).select((F.col("id") + 10 ** 6).alias("new")))
+    many = quality_rules.judge(docs.unionByName(more.select(F.col("new").alias("doc_id"), "text")), trusted).collect()
+    assert len(many) == len(once) + 999
+    assert all(r.kept and r.score == clean.score for r in many if r.doc_id >= 10 ** 6)
+    tenfold = quality_rules.judge(docs.crossJoin(spark.range(10)).select("doc_id", "text"), trusted).collect()
+    assert len(tenfold) == 10 * len(once)
+    for r in [r for r in many if r.doc_id < 10 ** 6] + tenfold:
+        assert (r.kept, r.score) == (once[r.doc_id].kept, once[r.doc_id].score)
+    counts = np.random.default_rng(5).integers(0, 20, (2, 2, quality_rules.BUCKETS))
+    assert np.allclose(quality_rules.log_ratio(10 * counts), quality_rules.log_ratio(counts))
+
+
 def naive_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
