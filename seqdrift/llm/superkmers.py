@@ -152,11 +152,21 @@ class Codec:
             runs(units, owner, self.k, self.m)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(id, k1, k2, text): rows with the key they are found again by, the id with a digest of the text.
+
+    Null ids become LAST_ID; ids may repeat, and rows with one key are equal.
+    """
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"),
+                       F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
+
+
 def survey(docs: DataFrame, codec: Codec, name: str) -> DataFrame:
     """One small row per document, written once: its digest, length and minimisers.
 
-    id (null ids as LAST_ID), h1 and h2 (128-bit digest of the units), n units, sha256 of the
-    canonical text, mins (distinct minimisers), twice (minimisers at two places in it).
+    id (null ids as LAST_ID), k1 and k2 (128-bit digest of the text, see ``keyed``), h1 and h2 (128-bit
+    digest of the units), n units, sha256 of the canonical text, mins (distinct minimisers), twice
+    (minimisers at two places in it).
     """
     def run(batches):
         for part, texts in text_chunks(batches, "text"):
@@ -170,17 +180,16 @@ def survey(docs: DataFrame, codec: Codec, name: str) -> DataFrame:
                 twice.append(signed(values[times > 1]))
             digest = [xxhash.xxh128_intdigest(c) for c in canon]
             yield pa.RecordBatch.from_arrays([
-                part.column(0),
+                part.column(0), part.column(1), part.column(2),
                 pa.array(signed(np.array([d >> 64 for d in digest], np.uint64))),
                 pa.array(signed(np.array([d & (1 << 64) - 1 for d in digest], np.uint64))),
                 pa.array(sizes),
                 pa.array([hashlib.sha256(c).hexdigest() for c in canon]),
                 pa.array(mins, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64())),
-            ], names=["id", "h1", "h2", "n", "sha", "mins", "twice"])
+            ], names=["id", "k1", "k2", "h1", "h2", "n", "sha", "mins", "twice"])
 
-    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), "text")
-    out = d.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, sha string, "
-                            "mins array<bigint>, twice array<bigint>")
+    out = keyed(docs).mapInArrow(run, "id bigint, k1 bigint, k2 bigint, h1 bigint, h2 bigint, n bigint, sha string, "
+                                      "mins array<bigint>, twice array<bigint>")
     return materialize(out, f"{name}-survey")
 
 
@@ -198,15 +207,24 @@ def shared_minimisers(seen: DataFrame, within: bool, hot: int, name: str) -> Dat
 def candidates(docs: DataFrame, seen: DataFrame, shared: DataFrame, name: str) -> DataFrame:
     """(id, h1, text, mins, hot_mins): the first document of every text with a shared minimiser.
 
-    Exact copies are represented by the smallest id; only these texts move on.
+    Exact copies are represented by the smallest id, rows repeated with it by one of them; only these
+    texts move on, one row each.
     """
-    first = seen.groupBy("h1", "h2").agg(F.min("id").alias("id"))
+    place = F.struct("id", "k1", "k2")
+    rows = seen.groupBy("h1", "h2", "id", "k1", "k2").agg(F.count(F.lit(1)).alias("times"))
+    first = rows.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.min_by("times", place).alias("times"))
+    first = materialize(first.select("h1", "place.*", "times"), f"{name}-first")
     flags = (seen.select("h1", F.explode("mins").alias("mh")).join(shared, "mh")
              .groupBy("h1").agg(F.collect_set(F.when(~F.col("hot"), F.col("mh"))).alias("mins"),
                                 F.collect_set(F.when(F.col("hot"), F.col("mh"))).alias("hot_mins")))
-    todo = first.join(flags, "h1").select("id", "h1", "mins", "hot_mins")
-    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), "text")
-    return materialize(d.join(todo, "id").select("id", "h1", "text", "mins", "hot_mins"), f"{name}-candidates")
+    todo = first.join(flags, "h1")
+    key = ["id", "k1", "k2"]
+    found = keyed(docs).join(todo.where("times = 1"), key).select("id", "h1", "text", "mins", "hot_mins")
+    if not first.where("times > 1").isEmpty():
+        again = todo.where("times > 1")
+        texts = keyed(docs).join(again.select(*key), key).groupBy(*key).agg(F.min("text").alias("text"))
+        found = found.unionAll(texts.join(again, key).select("id", "h1", "text", "mins", "hot_mins"))
+    return materialize(found, f"{name}-candidates")
 
 
 def _regions(batches, codec: Codec, which: str):
@@ -216,13 +234,11 @@ def _regions(batches, codec: Codec, which: str):
         wanted = np.array(sorted({v for x in listed for v in x}), np.int64)
         if not len(wanted):
             continue
-        canon, slicers, offset, _, owner, (first, count, least) = codec.scan(texts)
+        _, slicers, offset, _, owner, (first, count, least) = codec.scan(texts)
         h1 = part.column(part.schema.get_field_index("h1")).to_numpy()
         ids = part.column(part.schema.get_field_index("id")).to_numpy()
-        # a row that repeats an id with another text is no representative
-        same = signed(np.array([xxhash.xxh128_intdigest(c) >> 64 for c in canon], np.uint64)) == h1
         own = owner[first] if len(first) else first
-        good = np.flatnonzero(np.isin(signed(least), wanted) & same[own])
+        good = np.flatnonzero(np.isin(signed(least), wanted))
         yield ids, h1, slicers, own[good], (first - offset[own])[good], count[good], signed(least)[good]
 
 

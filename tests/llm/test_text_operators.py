@@ -89,6 +89,42 @@ def test_byte_windows(odd, odd_rows, hot):
     assert sorted(map(tuple, rows), key=key) == sorted(((i, *want[i, t]) for i, t in odd_rows), key=key)
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_windows_of_repeated_rows_and_ids(spark, hot):
+    """Repeated rows, ids with several texts and several null ids around one passage, against brute force."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"v{rng.randrange(300)}" for _ in range(n))
+    passage = prose(70)
+    rows = [(1, f"{prose(9)} {passage} {prose(9)}")] * 2 + [(2, f"{prose(5)} {passage}"), (3, f"{prose(6)} {passage} a"),
+            (3, f"{prose(7)} {passage} b"), (4, prose(60))] + [(None, f"{prose(8 + i)} {passage} {prose(5)}") for i in range(4)]
+    rows += [rows[-1], rows[-2], rows[3], (2, rows[0][1])]
+    docs = docs_of(spark, rows)
+
+    def want(k, kind):
+        def place(i, t):
+            h = xxhash.xxh128_intdigest(t.encode()) >> 64
+            return (i is None, i or 0, (h ^ 1 << 63) if kind == "bytes" else 0)
+        glue, first, out = b" " if kind == "words" else b"", {}, []
+        starts = lambda u: range(len(u) - k + 1)
+        for i, t in rows:
+            u = units(t, kind)
+            for p in starts(u):
+                w = glue.join(u[p:p + k])
+                first[w] = min(first.get(w, ((True, 1 << 64, 0), 0)), (place(i, t), p if kind == "bytes" else 0))
+        for i, t in rows:
+            u = units(t, kind)
+            gone = {q for p in starts(u) if (place(i, t), p if kind == "bytes" else 0) > first[glue.join(u[p:p + k])]
+                    for q in range(p, p + k)}
+            kept = glue.join(x for j, x in enumerate(u) if j not in gone)
+            out.append((i, len(u), len(gone), hashlib.sha256(kept).hexdigest()))
+        return sorted(out, key=str)
+
+    got = [tuple(r) for r in substring.remove_repeats(docs, hot=hot).collect()]
+    assert sorted(got, key=str) == want(50, "words")
+    got = [(r[0], r[1], r[2], r[4]) for r in suffixes.remove_repeats(docs, hot=hot).collect()]
+    assert sorted(got, key=str) == want(100, "bytes")
+
+
 def test_maximal_repeats(spark):
     rng = random.Random(1)
     a, b = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (110, 130))
