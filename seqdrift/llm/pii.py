@@ -8,10 +8,13 @@ document (outside, or one of the kinds) and adds spans the patterns miss:
   about them;
 * a node's own potential is a softmax over hashed shape features of the token and its neighbours;
 * neighbouring nodes share a chain potential; tokens of one document with the same letters and
-  digits, however far apart, share a skip potential (each with its next like one, so a token that
-  comes a thousand times adds a thousand links, not a million);
-* sum-product messages are passed over all links at once, for a fixed number of rounds, which makes
-  labels agree over a document's repeated tokens. Nodes that base spans cover are clamped.
+  digits (case and a possessive ending aside), however far apart, share a skip potential through one
+  hub node, so a token that comes a thousand times adds a thousand links, and each is two links from
+  every other. Tokens with the same last seven digits share a second hub. Tokens of up to three
+  characters have no hub: they say too little of what they stand for;
+* nodes that base spans cover are clamped, and the hubs over them take their labels, so every repeat
+  gets the same evidence. Sum-product messages are passed over all links at once until they stay
+  (at most ``ROUNDS`` times, damped after ``FREE_ROUNDS``).
 
 Weights are trained piecewise (own potentials by gradient steps; chain and skip potentials from the
 log odds of the labels that meet) on a bounded sample of documents, labelled by their base spans.
@@ -38,7 +41,12 @@ SAMPLE = 3000
 MAX_SAMPLE_CHARS = 20_000
 FEATURES = 1 << 12
 FACTS = 10
-ROUNDS = 8
+ROUNDS = 200
+FREE_ROUNDS = 30
+#: Change of a log message below which it counts as unchanged.
+STILL = 1e-6
+#: Last digits that similar tokens share.
+TAIL = 7
 #: Marginal from which a token outside the base spans is added.
 CERTAIN = 0.95
 SEED = 7
@@ -53,6 +61,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+POSSESSIVE = re.compile(r"['\u2019][sS]$")
 TRIM = "\"'()[]{}<>.,;:!?*#$%&|"
 
 
@@ -108,24 +117,37 @@ def listed(spans) -> str:
 
 # --- the field ---
 
+def link_key(key: str) -> str:
+    """Letters and digits of a trimmed, case-folded token."""
+    return "".join(c for c in key if c.isalnum())
+
+
+def owned(word: str) -> str:
+    """A word without its possessive ending."""
+    bare = word.rstrip(TRIM)
+    return POSSESSIVE.sub("", bare) if POSSESSIVE.search(bare) else word
+
+
 class Nodes:
     """Candidate tokens of some documents with their features and links."""
 
     def __init__(self, texts: list[str], spans: list[list[tuple[int, int, int]]]):
         self.doc, self.start, self.end, self.gold, rows = [], [], [], [], []
-        chain, skip = [], []
+        chain, skip, hub = [], [], []
+        self.hubs = 0
         for i, text in enumerate(texts):
             if not DIGIT.search(text) and "@" not in text:
                 continue
             tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
             words = [text[a:b] for a, b in tokens]
-            keys = [w.strip(TRIM).casefold() for w in words]
-            like = {k for k, w in zip(keys, words) if k and (DIGIT.search(w) or "@" in w)}
+            keys = [owned(w).strip(TRIM).casefold() for w in words]
+            same = [link_key(k) for k in keys]
+            like = {k for k, w in zip(same, words) if k and (DIGIT.search(w) or "@" in w)}
             label = self._labels(tokens, spans[i])
-            last_key: dict[str, int] = {}
+            groups: dict[str, list[int]] = {}
             before = -2
             for j, (a, b) in enumerate(tokens):
-                if keys[j] not in like:
+                if same[j] not in like:
                     continue
                 n = len(self.doc)
                 lead = len(words[j]) - len(words[j].lstrip(TRIM))
@@ -138,13 +160,22 @@ class Nodes:
                     chain.append((n - 1, n))
                 before = j
                 if len(keys[j]) > 3:
-                    if keys[j] in last_key:
-                        skip.append((last_key[keys[j]], n))
-                    last_key[keys[j]] = n
+                    groups.setdefault(same[j], []).append(n)
+            tails: dict[str, list[list[int]]] = {}
+            for key, members in groups.items():
+                skip += zip(members, members[1:])
+                digits = "".join(DIGIT.findall(key))
+                if len(digits) >= TAIL:
+                    tails.setdefault(digits[-TAIL:], []).append(members)
+            similar = [[n for members in g for n in members] for g in tails.values() if len(g) > 1]
+            for members in [g for g in groups.values() if len(g) > 1] + similar:
+                hub += [(n, self.hubs) for n in members]
+                self.hubs += 1
         self.features = np.array(rows, np.int64).reshape(-1, FACTS)
         self.gold = np.array(self.gold, np.int64)
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
+        self.hub = np.array(hub, np.int64).reshape(-1, 2)
 
     @staticmethod
     def _labels(tokens, spans) -> list[int]:
@@ -167,7 +198,7 @@ class Nodes:
             w = w[:64]
             return "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in w)
 
-        word = words[j]
+        word = owned(words[j])
         full = shape(word.strip(TRIM + "+"))
         squeezed = re.sub(r"(.)\1+", r"\1", full)
         digits = sum(c.isdigit() for c in word)
@@ -211,29 +242,42 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float =
 
 
 def marginals(nodes: Nodes, weights: dict[str, np.ndarray], clamped: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product beliefs of all nodes; ``clamped`` nodes are fixed to their base label."""
+    """Loopy sum-product beliefs of all nodes; ``clamped`` nodes are fixed to their base label.
+
+    A hub over clamped nodes has the shares of their labels as its own potential.
+    """
     own = weights["own"][nodes.features].sum(axis=1)
     own -= own.max(axis=1, keepdims=True)
     own[clamped] = np.where(np.eye(LABELS, dtype=bool)[nodes.gold[clamped]], 0.0, -50.0)
-    links = np.concatenate([nodes.chain, nodes.skip])
+    links = np.concatenate([nodes.chain, nodes.hub + [0, len(own)]])
     if not len(links):
         return _softmax(own)
     psi = np.exp(np.concatenate([np.repeat(weights["chain"][None], len(nodes.chain), 0),
-                                 np.repeat(weights["skip"][None], len(nodes.skip), 0)]))
+                                 np.repeat(weights["skip"][None], len(nodes.hub), 0)]))
+    known = nodes.hub[clamped[nodes.hub[:, 0]]]
+    share = np.zeros((nodes.hubs, LABELS))
+    np.add.at(share, (known[:, 1], nodes.gold[known[:, 0]]), 1.0)
+    total = share.sum(axis=1, keepdims=True)
+    share = np.where(total > 0, np.log(np.maximum(share / np.maximum(total, 1), np.exp(-50.0))), 0.0)
+    own = np.concatenate([own, share])
     src = np.concatenate([links[:, 0], links[:, 1]])
     dst = np.concatenate([links[:, 1], links[:, 0]])
     back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
     psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
     log_message = np.zeros((len(src), LABELS))
-    for _ in range(rounds):
+    for turn in range(rounds):
         belief = own.copy()
         np.add.at(belief, dst, log_message)
         out = _softmax(belief[src] - log_message[back])
         message = np.einsum("ea,eab->eb", out, psi)
-        log_message = np.log(np.maximum(message / message.sum(axis=1, keepdims=True), 1e-30))
+        new = np.log(np.maximum(message / message.sum(axis=1, keepdims=True), 1e-30))
+        still = np.abs(new - log_message).max() < STILL
+        log_message = new if turn < FREE_ROUNDS else (new + log_message) / 2
+        if still:
+            break
     belief = own.copy()
     np.add.at(belief, dst, log_message)
-    return _softmax(belief)
+    return _softmax(belief[:len(nodes.gold)])
 
 
 def find(texts: list[str], weights: dict[str, np.ndarray], certain: float = CERTAIN) -> list[tuple[list, list]]:

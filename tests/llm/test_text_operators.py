@@ -334,6 +334,22 @@ def test_pii_field(spark):
     assert clean[0].n_chars == len(clean[0].text)
 
 
+def test_pii_repeats():
+    """Every repeat of a covered token is found, however many there are and however it is spelled."""
+    texts = [f"mail joe.{i}@mail.example.com or 4111111111111111 or +1 (377) 555-0{i:03} at 10.0.{i}.1, {i} more "
+             f"and again +1 (377) 555-0{i:03} or joe.{i}@mail.example.com" for i in range(200)]
+    weights = pii.train(texts)
+    t = "call +1 (377) 555-0271 now. " + " ".join(["or as said before ring 555-0271 then"] * 49)
+    base, every = pii.find([t], weights)[0]
+    assert len(base) == 1 and len(every) == 50
+    assert {t[s:e] for s, k, e in every[1:] if k == 3} == {"555-0271"}
+    pairs = lambda t: pii.Nodes([t], [pii.base_spans(t)])
+    n = pairs("555-0271 and 5550271 with 555.0271's and 377-555-0271 but 12 and 12")
+    assert n.hubs == 2 and sorted(n.hub[:, 1].tolist()) == [0] * 3 + [1] * 4
+    t = "call +1 (377) 555-0271 now. ring 555.0271 or 555-0271's line"
+    assert {t[s:e] for s, k, e in pii.find([t], weights)[0][1][1:]} == {"555.0271", "555-0271"}
+
+
 def test_belief_propagation_is_exact_on_trees():
     import numpy as np
     nodes = pii.Nodes(["a1 b2 c3 zz d4"], [[]])
