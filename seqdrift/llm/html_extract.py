@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -57,6 +58,11 @@ SIDE_CONTAINERS = ("nav ul li", "nav menu ul li", "header", "header div masthead
                    "section comments", "section comments div comment p", "ul commentlist li", "div reply", "div related ul li",
                    "div breadcrumb", "div share", "div social", "div login", "div search", "div pagination", "div consent")
 
+KNOWN_NAMES = BLOCK_TAGS | MAIN_NAMES | SIDE_NAMES
+#: Weight that a path's other names share, and names from which a path counts as deep.
+OTHER_WEIGHT = 1.0
+DEEP = 16
+
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=silent)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S | re.I)
@@ -159,21 +165,24 @@ def _bucket(name: str, size: int) -> int:
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """One row per block: hashed path tokens, hashed words, sizes."""
+    """One row per block: hashed tokens of the whole path, all words hashed, sizes."""
     x = np.zeros((len(page), PATH_SIZE + WORD_SIZE + SIZES), np.float32)
     for i, b in enumerate(page):
         row = x[i]
-        for name in b.path[-24:]:
-            row[_bucket(name, PATH_SIZE)] = 1.0
-            row[_bucket("2" + name, PATH_SIZE)] = 1.0
+        names = set(b.path)
+        other = names - KNOWN_NAMES
+        # all names count; many that say nothing by themselves share a weight, so that they drown no other
+        for name in names:
+            weight = min(1.0, OTHER_WEIGHT / len(other)) if name in other else 1.0
+            for at in (_bucket(name, PATH_SIZE), _bucket("2" + name, PATH_SIZE)):
+                row[at] = max(row[at], weight)
         words = b.text.split()
-        sample = words if len(words) <= 64 else words[:32] + words[-32:]
-        for w in sample:
-            row[PATH_SIZE + _bucket(w.lower(), WORD_SIZE)] += 1.0 / len(sample)
+        for w, times in Counter(w.lower() for w in words).items():
+            row[PATH_SIZE + _bucket(w, WORD_SIZE)] += times / len(words)
         n = len(b.text)
         row[PATH_SIZE + WORD_SIZE:] = (
             min(len(words), 200) / 50, np.log1p(n) / 8, b.link_chars / n, i / len(page),
-            min(sum(b.text.count(c) for c in ".,;:!?") / max(len(words), 1), 1), len(b.path) / 10,
+            min(sum(b.text.count(c) for c in ".,;:!?") / max(len(words), 1), 1), min(len(b.path), DEEP) / 10,
             float(b.text[:1].isupper()), 1.0)
     return x
 

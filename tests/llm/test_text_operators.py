@@ -419,6 +419,27 @@ def test_html_blocks_and_extraction(spark):
     assert html_extract.extract(rows.limit(0), weights).count() == 0
 
 
+def test_html_deep_paths(spark):
+    """Containers far up the path and words in the middle of a long block are read."""
+    import numpy as np
+    deep = "".join(f'<div class="wrap-{i} row-{i}">' for i in range(10))
+    page = (f"<body><article>{deep}<p>The council met on Monday and agreed on the new plan for the river path, it said.</p></article>"
+            f"<section class=comments>{deep}<p>I think that this was a fine piece and I would like to read more of it.</p></section></body>")
+    cut = html_extract.blocks(page)
+    assert len(cut) == 2 and all(len(b.path) > 40 for b in cut) and html_extract.teach(cut) == [1, 0]
+    x = html_extract.features(cut)
+    plain = html_extract.features([html_extract.Block([n for n in b.path if n not in ("article", "comments")], b.text) for b in cut])
+    for i, name in enumerate(("article", "comments")):
+        at = [html_extract._bucket(p + name, html_extract.PATH_SIZE) for p in ("", "2")]
+        assert x[i, at].all() and not plain[i, at].all()
+    pages = [html_extract.Block(["p"], " ".join(["a"] * 40 + [w] * 40 + ["a"] * 40)) for w in ("river", "council")]
+    words = html_extract.features(pages)[:, html_extract.PATH_SIZE:html_extract.PATH_SIZE + html_extract.WORD_SIZE]
+    assert np.allclose(words.sum(axis=1), 1) and not np.allclose(words[0], words[1])
+    weights = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    chance = html_extract.predict(weights, [x])[0]
+    assert chance[0] >= 0.5 > chance[1]
+
+
 def test_lstm_gradients():
     import numpy as np
     rng = np.random.default_rng(1)
