@@ -30,6 +30,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Key of a row that ids may share: the id with a 128-bit digest of the text; never null."""
+    return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+
+
 #: Rows of a narrow table up to which it is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 

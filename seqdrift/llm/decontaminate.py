@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqdrift.config import materialize
 
-from .common import let, read, sized, words_of
+from .common import let, read, row_key, sized, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -170,9 +170,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE, similar
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that contain a benchmark item (null ids are dropped together)."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows whose text contains a benchmark item.
+
+    Rows are judged by (doc_id, digest of the text), so null and repeated ids share no verdict.
+    """
+    row = row_key(F.col("doc_id"), F.col("text"))
+    bad = matches(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, row == F.col("_bad"), "left_anti")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqdrift.config import materialize
 
-from .common import signed, smallest_reachable, text_chunks
+from .common import row_key, signed, smallest_reachable, text_chunks
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -161,21 +161,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` without near-duplicates: the row with the smallest doc_id of each component stays.
 
-    Rows without an id stay. Of rows that repeat the staying id one stays, the smallest by text.
-    Extra columns stay as they are.
+    Rows are told apart by (doc_id, digest of the text); of rows that share an id the smaller digest
+    comes first, null ids come last. Of rows with the staying id and text one stays. Rows with
+    neither id nor text hold nothing to compare and stay. Extra columns stay as they are.
     """
     if "doc_id" not in docs.columns:
         raise ValueError("docs needs a column doc_id")
-    found = materialize(near_duplicates(docs, shingle, max_bits), "simhash-found")
-    stay = found.where("id = component_id").select(F.col("id").alias("_keep")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("_keep"), "left_semi")
-    n, ids = found.where("id is not null").agg(F.count(F.lit(1)), F.countDistinct("id")).first()
-    if n != ids:
-        whole = F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])
-        rest = [c for c in docs.columns if c != "doc_id"]
-        kept = (kept.groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.xxhash64(*rest))).alias("_row"))
-                .select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns]))
-    return kept.unionByName(docs.where("doc_id is null"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), row_key(F.col("doc_id"), F.col("text")).alias("row"))
+    blank = F.col("doc_id").isNull() & F.col("text").isNull()
+    rows = docs.where(~blank)
+    found = materialize(near_duplicates(rows.select(key.alias("doc_id"), "text"), shingle, max_bits), "simhash-found")
+    stay = materialize(found.where("id = component_id").groupBy(F.col("id").alias("_keep"))
+                       .agg(F.count(F.lit(1)).alias("_times")), "simhash-stay")
+    kept = rows.join(stay.select("_keep"), key == F.col("_keep"), "left_semi")
+    if not stay.where("_times > 1").isEmpty():
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        whole = F.struct(*[F.col(c) for c in docs.columns])
+        kept = (kept.groupBy(key.alias("_key")).agg(F.min_by(whole, F.xxhash64(F.lit(0), *rest)).alias("_row"))
+                .select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
+    return kept.unionByName(docs.where(blank))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -235,6 +235,19 @@ def test_decontamination(spark, odd, odd_rows):
     assert left == {i for i, _ in odd_rows} - {i for i, _ in got}
 
 
+def test_filters_judge_rows_by_their_own_text(spark):
+    """Null and repeated ids: a contaminated row takes no other with it; near copies go, other texts stay."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"u{rng.randrange(500)}" for _ in range(60)) for _ in range(4))
+    bench = spark.createDataFrame([(1, a)], "item_id bigint, text string")
+    rows = [(None, a), (None, b), (7, a), (7, c), (8, d)]
+    left = decontaminate.drop_contaminated(docs_of(spark, rows), bench).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(None, b), (7, c), (8, d)], key=str)
+    rows = [(None, a), (None, a.upper()), (7, b), (7, c), (None, c), (8, d), (8, d)]
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.keep_one(docs_of(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (7, b), (7, c), (8, d)], key=str)
+
+
 def test_quality_rules_base(odd, odd_rows):
     trusted = odd.where("doc_id < 20").select("doc_id")
     got = {(r.doc_id, r.n_words, r.n_repeat_words): r for r in quality_rules.judge(odd, trusted).collect()}
