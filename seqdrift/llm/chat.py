@@ -36,7 +36,7 @@ LAST_TURN = 2 ** 63 - 1
 
 
 def _looks(text: Column, word: str) -> Column:
-    return text.startswith("{") & text.contains(f'"{word}"')
+    return text.rlike(r"^[\x20\t\n\r]*\{") & text.contains(f'"{word}"')
 
 
 def _with(asked: Column, parsed: Column, field: str) -> Column:

@@ -502,6 +502,15 @@ def test_chats(spark):
     assert chat.format_chats(d.limit(0)).count() == 0
 
 
+def test_chats_with_leading_white_space(spark):
+    rows = [(1, 0, "system", ' \n{"tools":[{"name":"add","parameters":{"properties":{"a":{"type":"number"}}}}]}'),
+            (1, 1, "assistant", '\r\n {"tool_calls":[{"id":"c","name":"add","arguments":{"a":1}}]}'),
+            (1, 2, "tool", '\t{"tool_call_id":"c","content":"1"}')]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id int, turn bigint, role string, text string"))
+    got = {r.position: r for r in got.collect()}
+    assert (got[1].n_calls, got[1].n_valid, got[1].n_linked) == (1, 1, 1) and got[2].result_of == "c"
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     bench = spark.createDataFrame([], "item_id bigint, text string")
