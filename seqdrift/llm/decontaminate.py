@@ -12,7 +12,7 @@ shingles, the sum of the smaller counts over the sum of the larger ones.
 4. Multi-index search: fingerprints are cut into 8 blocks of 8 bits. Two fingerprints at most 23 bits
    apart differ by at most 2 bits in some block, so each item is entered under every block value
    within 2 bits of its own (37 a block) and windows are looked up by (window length, block, value).
-   Windows at similarity 0.8 are about 10 bits away on average, so 23 bits lose none in practice.
+   Windows at similarity 0.8 are about 10 bits away on average, so few lie beyond 23 (see README).
 5. Verification: the exact weighted shingle similarity of every pair found.
 
 Words are lower-cased runs without ASCII white space. Items of fewer than five words are one shingle
