@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP9_SQL, op9_chat_format
 from .decontaminate import OP1_SQL, op1_decontamination
 from .html_extract import op3_html_extraction
+from .manifest import OP11_SQL, op11_merkle_manifest
 from .pii import op5_pii
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op4_quality_rules
@@ -15,7 +16,8 @@ from .suffixes import op8_suffix_dedup
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality_classifier, op3_html_extraction, op4_quality_rules, op5_pii,
-    op6_substring_dedup, op7_sentencepiece, op8_suffix_dedup, op9_chat_format, op10_simhash)}
+    op6_substring_dedup, op7_sentencepiece, op8_suffix_dedup, op9_chat_format, op10_simhash,
+    op11_merkle_manifest)}
 
 #: Windows of 50 words and of 100 bytes that also start earlier, straight from the contracts.
 OP6_SQL = r"""
@@ -31,4 +33,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256
 FROM word
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op9_chat_format": OP9_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op9_chat_format": OP9_SQL,
+              "op11_merkle_manifest": OP11_SQL}
