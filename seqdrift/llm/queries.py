@@ -6,10 +6,12 @@ from .chat import OP9_SQL, op9_chat_format
 from .decontaminate import OP1_SQL, op1_decontamination
 from .html_extract import op3_html_extraction
 from .manifest import OP11_SQL, op11_merkle_manifest
+from .periodic import op12_periodic_runs
 from .pii import op5_pii
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op4_quality_rules
 from .sentencepieces import op7_sentencepiece
+from .sharding import op13_sharding
 from .simhash import op10_simhash
 from .substring import op6_substring_dedup
 from .suffixes import op8_suffix_dedup
@@ -17,7 +19,7 @@ from .suffixes import op8_suffix_dedup
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality_classifier, op3_html_extraction, op4_quality_rules, op5_pii,
     op6_substring_dedup, op7_sentencepiece, op8_suffix_dedup, op9_chat_format, op10_simhash,
-    op11_merkle_manifest)}
+    op11_merkle_manifest, op12_periodic_runs, op13_sharding)}
 
 #: Windows of 50 words and of 100 bytes that also start earlier, straight from the contracts.
 OP6_SQL = r"""
