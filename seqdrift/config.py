@@ -11,6 +11,7 @@ import os
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -73,15 +74,36 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+#: Removes an execution's shuffle files when it ends, instead of when the driver's garbage collection finds them.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def materialize(df, name: str):
     """Write ``df`` as parquet under the shared checkpoint root and read it back.
 
     Used for intermediate tables that several branches of a protocol reuse: the
     lineage is cut (a lost executor re-reads files instead of recomputing the
     protocol), and the read-back scan carries real file sizes, so the planner's
-    broadcast decisions rest on a measured size, not a guess.
+    broadcast decisions rest on a measured size, not a guess. What the write shuffled
+    is removed with it: nothing reads it again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete the files of materialized tables whose last reader is done."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(t))
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
