@@ -152,7 +152,8 @@ def document_manifest(docs: DataFrame, fanout: int = FANOUT) -> DataFrame:
     values = [F.col(c) for c in FIELDS[:-1]]
     changed = F.when(tampered(F.col("doc_id")), leaf_hash(*values, F.translate("text", UPPER, LOWER)))
     leaves = d.select("doc_id", "lang", leaf_hash(*values, F.col("text")).alias("leaf"), changed.alias("changed"))
-    found = manifest(leaves, "lang", ["doc_id"], ["doc_id", "changed"], fanout)
+    # written, so that choosing the range bounds does not read and hash the texts again
+    found = manifest(materialize(leaves, "manifest-hashes"), "lang", ["doc_id"], ["doc_id", "changed"], fanout)
     return found.select("doc_id", "leaf", F.coalesce("changed", "leaf").alias("presented"), "subroot", "root", "path")
 
 
