@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from seqdrift.config import materialize
+from seqdrift.config import discard, materialize
 
 from .common import LAST_ID, signed, text_chunks
 
@@ -217,14 +217,16 @@ def candidates(docs: DataFrame, seen: DataFrame, shared: DataFrame, name: str) -
     flags = (seen.select("h1", F.explode("mins").alias("mh")).join(shared, "mh")
              .groupBy("h1").agg(F.collect_set(F.when(~F.col("hot"), F.col("mh"))).alias("mins"),
                                 F.collect_set(F.when(F.col("hot"), F.col("mh"))).alias("hot_mins")))
-    todo = first.join(flags, "h1")
+    todo = materialize(first.join(flags, "h1"), f"{name}-todo")
     key = ["id", "k1", "k2"]
     found = keyed(docs).join(todo.where("times = 1"), key).select("id", "h1", "text", "mins", "hot_mins")
-    if not first.where("times > 1").isEmpty():
+    if not todo.where("times > 1").isEmpty():
         again = todo.where("times > 1")
         texts = keyed(docs).join(again.select(*key), key).groupBy(*key).agg(F.min("text").alias("text"))
         found = found.unionAll(texts.join(again, key).select("id", "h1", "text", "mins", "hot_mins"))
-    return materialize(found, f"{name}-candidates")
+    found = materialize(found, f"{name}-candidates")
+    discard(first, todo)
+    return found
 
 
 def _regions(batches, codec: Codec, which: str):
@@ -380,14 +382,20 @@ def remove_spans(cand: DataFrame, spans: DataFrame, codec: Codec) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, codec: Codec, compare, within: bool, hot: int = HOT,
                    name: str = "spans") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(survey, candidates, spans to remove of the candidates)."""
-    seen = survey(docs, codec, name)
-    shared = shared_minimisers(seen, within, hot, name)
-    cand = candidates(docs, seen, shared, name)
+    """(survey without minimisers, candidates, spans to remove of the candidates), all written.
+
+    Each table is written by a job of its own, whose shuffle files go with it, and what only the
+    following table needed is deleted: the disk holds one step's shuffle at a time.
+    """
+    wide = survey(docs, codec, name)
+    shared = shared_minimisers(wide, within, hot, name)
+    cand = candidates(docs, wide, shared, name)
+    seen = materialize(wide.drop("mins", "twice"), f"{name}-seen")
     spans = bucket_spans(cand, codec, compare)
     if not shared.where("hot").isEmpty():
         spans = spans.unionAll(hot_spans(cand, codec, within, name))
-    return seen, cand, spans
+    discard(wide, shared)
+    return seen, cand, materialize(spans, f"{name}-spans")
 
 
 def digest_rows(docs: DataFrame, codec: Codec, compare, within: bool, hot: int, name: str) -> DataFrame:
@@ -398,6 +406,7 @@ def digest_rows(docs: DataFrame, codec: Codec, compare, within: bool, hot: int,
     """
     seen, cand, spans = repeated_spans(docs, codec, compare, within, hot, name)
     cut = materialize(remove_spans(cand, spans, codec), f"{name}-cut")
+    discard(cand, spans)
     first = seen.groupBy("h1", "h2").agg(F.min("id").alias("first"))
     told = first.join(cut.select(F.col("id").alias("first"), "h1", "n_removed", "n_spans",
                                  F.col("sha").alias("cut_sha")), ["first", "h1"], "left")
