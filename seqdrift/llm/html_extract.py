@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import hash_sample, read, text_chunks
 
-#: Pages that the network is trained on (the first by hash of their html), and variants of each.
+#: Pages that the network is trained on (the first by hash of their html), variants of each, and characters read of each.
 SAMPLE = 240
 VARIANTS = 3
 MAX_SAMPLE_CHARS = 60_000
@@ -42,7 +42,9 @@ BLOCK_TAGS = frozenset("""address article aside blockquote body caption center d
     figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol
     optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|button|select"
+SILENT = frozenset("script style noscript template textarea svg math iframe object canvas button select".split())
+#: Their text runs to the end tag whatever it holds, and to the end of the page without one.
+RAW = frozenset("script style textarea".split())
 MAIN_NAMES = frozenset("article main content post entry story body-text articlebody".split())
 SIDE_NAMES = frozenset("""nav navigation menu menubar breadcrumb breadcrumbs header masthead topbar banner footer bottom
     aside sidebar side rail widget related recommended recommendations ad ads advert advertisement advertising sponsor
@@ -64,8 +66,7 @@ OTHER_WEIGHT = 1.0
 DEEP = 16
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=silent)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S | re.I)
+    r"(?P<note><!--)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|<[!?/][^>]*+>")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -84,7 +85,13 @@ class _Open:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order: references decoded, white space made single spaces."""
+    """Leaf blocks with text, in page order: references decoded, white space made single spaces.
+
+    What stands in a silent element is no text. Only its exact name counts (``svg-icon`` is another
+    element); it ends at its end tag, at once if it is written as empty, and is an ordinary element if
+    it has no end tag (scripts, styles and text areas then run to the end of the page). Quotes open
+    a value only after an equals sign.
+    """
     stack: list[_Open] = []
     out: list[Block] = []
     pieces: list[str] = []
@@ -108,15 +115,33 @@ def blocks(page: str) -> list[Block]:
             if any(o.tag == "a" for o in stack[-4:]):
                 links += len(text)
 
-    for m in TOKEN.finditer(page):
+    last = page.rfind(">") + 1
+    unclosed: set[str] = set()
+    while m := TOKEN.search(page, at, last):
         add(page[at:m.start()])
         at = m.end()
+        if m["note"]:
+            at = page.find("-->", at) + 3
+            if at < 3:
+                at = len(page)
+            continue
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if tag == "br":
             pieces.append(" ")
             continue
+        if tag in SILENT and not m["end"]:
+            if tag not in RAW and m["rest"].endswith("/"):
+                continue
+            shut = None if tag in unclosed else re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+            if shut:
+                at = shut.end()
+                continue
+            if tag in RAW:
+                at = len(page)
+                continue
+            unclosed.add(tag)
         block = tag in BLOCK_TAGS
         if block:
             close()
@@ -140,7 +165,8 @@ def blocks(page: str) -> list[Block]:
         for a, b, c in NAMED.findall(m["rest"]):
             names += [x for x in SPLIT.split((a or b or c).lower()) if x]
         stack.append(_Open(tag, names))
-    add(page[at:])
+    rest = page[at:]
+    add(rest[:rest.find("<!--")] if "<!--" in rest else rest)
     close()
     return out
 
@@ -355,8 +381,11 @@ def _variant(page: list[Block], label: list[int], pool: list[str], pick: random.
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Train on at most ``sample`` pages of at most ``MAX_SAMPLE_CHARS`` (a bounded collect)."""
-    rows = pages.where(F.length("html").between(1, MAX_SAMPLE_CHARS))
+    """Train on at most ``sample`` pages, of each at most the first ``MAX_SAMPLE_CHARS`` (a bounded collect).
+
+    The cut is for training only; extraction reads whole pages.
+    """
+    rows = pages.where(F.length("html") > 0).select(F.substring("html", 1, MAX_SAMPLE_CHARS).alias("html"))
     return train(hash_sample(rows, "html", sample, SEED))
 
 
