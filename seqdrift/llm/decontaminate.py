@@ -172,11 +172,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE, similar
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text contains a benchmark item.
 
-    Rows are judged by (doc_id, digest of the text), so null and repeated ids share no verdict.
+    Rows are judged by (doc_id, digest of the text), so null and repeated ids share no verdict; rows
+    without a text stay. All columns stay as they are, whatever their names; empty input or an empty
+    benchmark drops nothing.
     """
     row = row_key(F.col("doc_id"), F.col("text"))
-    bad = matches(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, row == F.col("_bad"), "left_anti")
+    bad = matches(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("found")).distinct()
+    # the columns of docs travel as one value, so that no name of theirs meets one of these
+    whole = docs.select(row.alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.join(bad, F.col("row_id") == F.col("found"), "left_anti").select("row.*")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

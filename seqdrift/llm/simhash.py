@@ -171,15 +171,17 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     blank = F.col("doc_id").isNull() & F.col("text").isNull()
     rows = docs.where(~blank)
     found = materialize(near_duplicates(rows.select(key.alias("doc_id"), "text"), shingle, max_bits), "simhash-found")
-    stay = materialize(found.where("id = component_id").groupBy(F.col("id").alias("_keep"))
-                       .agg(F.count(F.lit(1)).alias("_times")), "simhash-stay")
-    kept = rows.join(stay.select("_keep"), key == F.col("_keep"), "left_semi")
-    if not stay.where("_times > 1").isEmpty():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        whole = F.struct(*[F.col(c) for c in docs.columns])
-        kept = (kept.groupBy(key.alias("_key")).agg(F.min_by(whole, F.xxhash64(F.lit(0), *rest)).alias("_row"))
-                .select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
-    return kept.unionByName(docs.where(blank))
+    stay = materialize(found.where("id = component_id").groupBy(F.col("id").alias("staying"))
+                       .agg(F.count(F.lit(1)).alias("times")), "simhash-stay")
+    # the columns of docs travel as one value, so that no name of theirs meets one of these
+    whole = rows.select(key.alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = whole.join(stay, F.col("row_id") == F.col("staying"))
+    once = kept.where("times = 1").select("row")
+    if not stay.where("times > 1").isEmpty():
+        rest = [F.col("row")[c].cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+        again = kept.where("times > 1").groupBy("row_id").agg(F.min_by("row", F.xxhash64(F.lit(0), *rest)).alias("row"))
+        once = once.unionAll(again.select("row"))
+    return once.select("row.*").unionByName(docs.where(blank))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

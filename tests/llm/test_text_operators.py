@@ -554,3 +554,93 @@ def test_pipeline(spark):
     final = cp.run(spark, SF)
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepieces.MODEL)
     assert {r.doc_id: r.ids for r in final.collect()} == {i: sp.encode(r.text) for i, r in masked.items()}
+
+
+def test_chats_nested_calls_and_schemas(spark):
+    """Function form, unknown keys, type lists, enums, nested objects and arrays; nothing vanishes."""
+    import json
+    schema = {"type": "object", "required": ["a"], "properties": {
+        "a": {"type": ["string", "null"]}, "b": {"enum": [1, "1", None, {"y": 1, "x": 2}]},
+        "c": {"type": "object", "required": ["d"], "properties": {"d": {"type": "array", "items": {
+            "type": "object", "properties": {"e": {"type": "integer"}}, "additionalProperties": False}}}}}}
+    tools = {"tools": [{"type": "function", "function": {"name": "f", "parameters": schema}},
+                       {"name": "g", "parameters": {"additionalProperties": True, "properties": {}}}]}
+    cases = [({"a": "x"}, "ok"), ({"a": None}, "ok"), ({"a": 1}, "mistyped_argument"), ({"b": 1}, "missing_argument"),
+             ({"a": "x", "b": 1}, "ok"), ({"a": "x", "b": "1"}, "ok"), ({"a": "x", "b": None}, "ok"), ({"a": "x", "b": "2"}, "not_in_enum"),
+             ({"a": "x", "b": {"x": 2, "y": 1}}, "ok"), ({"a": "x", "z": 1}, "unexpected_argument"),
+             ({"a": "x", "c": {}}, "missing_argument"), ({"a": "x", "c": {"d": [], "more": 1}}, "ok"),
+             ({"a": "x", "c": {"d": [{"e": 1}, {"e": 2}]}}, "ok"), ({"a": "x", "c": {"d": [{"e": 1}, {"e": "2"}]}}, "mistyped_argument"),
+             ({"a": "x", "c": {"d": [{"q": 1}]}}, "unexpected_argument"), ({"a": "x", "c": {"d": 3}}, "mistyped_argument"),
+             ([1], "bad_json")]
+    rows = [(i, 0, "system", json.dumps(tools)) for i in range(len(cases))]
+    for i, (given, _) in enumerate(cases):
+        text = json.dumps(given) if i % 2 else given
+        rows.append((i, 1, "assistant", json.dumps({"tool_calls": [
+            {"id": "9", "type": "function", "index": 0, "function": {"name": "f", "arguments": text, "strict": True}}], "refusal": "no", "usage": {"b": 1, "a": [2]}})))
+        rows.append((i, 2, "tool", json.dumps({"tool_call_id": "9", "content": "r", "elapsed": 1.5})))
+    rows.append((99, 0, "system", json.dumps(tools)))
+    rows.append((99, 1, "assistant", json.dumps({"content": "c", "tool_calls": [{"id": "1", "name": "g", "arguments": {"free": 1}, "after": ["0"]}]})))
+    got = {(r.conv_id, r.position): r for r in chat.format_chats(
+        spark.createDataFrame(rows, "conv_id int, turn bigint, role string, text string")).collect()}
+    for i, (given, status) in enumerate(cases):
+        call, result = got[i, 1], got[i, 2]
+        assert (call.status, call.n_valid, call.n_linked) == (status, int(status == "ok"), 1), given
+        want = {"refusal": "no", "role": "assistant", "tool_calls": [{"arguments": given, "function": {"strict": True}, "id": "9",
+                "index": 0, "name": "f", "type": "function"}], "usage": {"a": [2], "b": 1}}
+        assert call.message == json.dumps(want, sort_keys=True, separators=(",", ":"))
+        assert result.message == '{"content":"r","elapsed":1.5,"role":"tool","tool_call_id":"9"}' and result.result_of == "9"
+    assert got[99, 1].status == "ok"
+    assert got[99, 1].message == '{"content":"c","role":"assistant","tool_calls":[{"after":["0"],"arguments":{"free":1},"id":"1","name":"g"}]}'
+
+
+def test_html_loses_no_text():
+    text = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert text('<article><p>One <svg class="i"/> two</p><p>three <svg-icon></svg-icon> four</p><select-box>five</select-box></article>') == [
+        "One two", "three four", "five"]
+    assert text("<p data-x=don't>Hello it's</p><p>more</p>") == ["Hello it's", "more"]
+    assert text('<p>a<svg><path d="M 1>2"/></svg>b</p><button>no</button>c<object>kept') == ["ab", "ckept"]
+    assert text('<p>x<script>if (a<b) "</p>"</script>y<!-- z <p>q</p> --> w<!-- open') == ["xy w"]
+    assert text("<p title=\"a > b\">t</p><p title='it\"s'>u</p>k<STYLE >zz") == ["t", "u", "k"]
+    # many unclosed tags are read in one pass
+    assert len(html_extract.blocks("<a " * 50_000)) == 1 and len(html_extract.blocks("<button>x" * 20_000)) == 1
+
+
+def test_samples_of_long_texts_only(spark):
+    """Pages and texts longer than what training reads of each still train, and are worked on whole."""
+    page = ("<html><body><nav><a>Home</a> <a>About</a></nav><article>" + "<p>The council met on Monday and agreed on the plan for the path.</p>" * 1200
+            + "</article><footer>All rights reserved</footer></body></html>")
+    pages = spark.createDataFrame([(i, "u", page.replace("Monday", f"day {i}")) for i in range(12)], "page_id bigint, url string, html string")
+    assert len(page) > html_extract.MAX_SAMPLE_CHARS
+    for r in html_extract.extract(pages, html_extract.fit(pages)).collect():
+        assert r.text.count("The council met on day") == 1200
+    docs = spark.createDataFrame([(i, "mail a.b%d@example.org or call +44 20 7946 0%03d now " % (i, i) * 800) for i in range(8)], "doc_id bigint, text string")
+    assert docs.selectExpr("min(length(text))").first()[0] > pii.MAX_SAMPLE_CHARS
+    weights = pii.fit(docs)
+    assert all(abs(w).sum() > 0 for w in weights.values())
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_with_any_columns(spark, odd_rows, tmp_path, empty):
+    """Stages over odd and empty tables with clashing and map columns: same rows as without them."""
+    import corpus_pipeline as cp
+    plain = docs_of(spark, odd_rows + [(900, "a.b@example.org " + "word other " * 20), (901, None), (901, None)])
+    plain = plain.limit(0) if empty else plain
+    names = ["_bad", "_keep", "id", "row", "row_id", "found", "staying", "times", "fp", "component_id", "words", "p", "key", "n"]
+    wide = plain.select("*", *[F.lit(7).alias(c) for c in names], F.create_map(F.lit("k"), F.lit(1)).alias("m"),
+                        F.array(F.lit("x")).alias("hashes"))
+    got = []
+    for kind, docs in (("plain", plain), ("wide", wide)):
+        where = tmp_path / kind
+        docs.write.parquet(str(where / "documents.parquet"))
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id bigint, quality int, toxic int")
+        bench = spark.createDataFrame([(1, odd_rows[4][1]), (2, None)], "item_id bigint, text string")
+        for name, t in (("labels", labels), ("benchmark", bench)):
+            (t.limit(0) if empty else t).write.parquet(str(where / f"{name}.parquet"))
+        step = docs
+        for _, stage in cp.STAGES[:-1]:
+            step = stage(spark, step, str(where))
+            assert step.columns == docs.columns and dict(step.dtypes) == dict(docs.dtypes)
+        if kind == "wide":
+            assert all(r["m"] == {"k": 1} and r["_bad"] == 7 for r in step.collect())
+        got.append(sorted((repr(tuple(r)) for r in cp.run(spark, str(where)).collect())))
+    assert got[0] == got[1] and bool(got[0]) != empty
