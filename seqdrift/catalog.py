@@ -596,6 +596,44 @@ def q_baskets_update_model(spark, d):
     return p.model
 
 
+@register("stream_history_state")
+def q_stream_history_state(spark, d):
+    """M5/G3 on the state store: one history per event, events arriving in hash order."""
+    from .streaming.histories import history_state_stream, state_store
+    from .streaming.staging import read_stream, run_to_parquet, stage_batches
+    folder, per = stage_batches(clicks(spark, d), n_batches=3, sentinel=True, shuffled="arrival")
+    with state_store(spark):
+        # the lateness of hash order is the whole log
+        out = run_to_parquet(history_state_stream(read_stream(spark, folder, per), watermark="400 days"), "stream-history-state")
+    return out.filter(F.col(SESSION) != "-1").select(SESSION, "row_num", EVENT_ID, "history")
+
+
+def _refits(spark, d):
+    """Streamed refits with the cutoff of the batch protocol (a start date, one scalar)."""
+    from .streaming.refits import RefitStream
+    return RefitStream(spark, _daily(spark, d).bounds().first()["cutoff"], window_days=3, every_days=3)
+
+
+@register("stream_refit_schedule")
+def q_stream_refit_schedule(spark, d):
+    """M7/L3: version list kept by the stream, events in time order: the batch protocol's versions."""
+    from .streaming.staging import run_foreach_batch
+    m = _refits(spark, d)
+    run_foreach_batch(_staged(spark, d, n_batches=4), "stream-refits", m)
+    return m.versions()
+
+
+@register("stream_refit_versions")
+def q_stream_refit_versions(spark, d):
+    """M7/L4: counts of every version, events in hash order (late for most versions), one batch repeated."""
+    m = _refits(spark, d)
+    ev = clicks(spark, d)
+    part = F.pmod(F.xxhash64(EVENT_ID, F.lit("arrival")), F.lit(3))
+    for b in (0, 1, 1, 2):
+        m(ev.filter(part == b), b)
+    return m.counts()
+
+
 @register("stream_replay")
 def q_stream_replay(spark, d):
     from .streaming.jobs import ReplayReservoir

@@ -646,6 +646,12 @@ SQL["stream_sequences"] = SQL["session_sequences"]
 SQL["stream_model_refresh"] = SQL["transition_model"]
 SQL["stream_model_refresh_unordered"] = SQL["transition_model"]
 SQL["stream_model_refresh_redelivered"] = SQL["transition_model"]
+SQL["stream_history_state"] = with_ctes(CLICKS, rows_on("clicks"), body="""
+SELECT r.user_session, r.row_num, r.event_id, array_to_string(list(p.product_id ORDER BY p.row_num), ',') AS history
+FROM rows_ r JOIN rows_ p ON p.user_session = r.user_session AND p.row_num BETWEEN r.row_num - 9 AND r.row_num
+GROUP BY ALL""")
+SQL["stream_refit_schedule"] = daily_sql("SELECT version, fit_date, fit_time, lo, hi FROM versions")
+SQL["stream_refit_versions"] = daily_sql("SELECT version, prev_item, next_item, cnt FROM wv")
 SQL["baskets_update_model"] = """
 WITH r AS (SELECT l_orderkey, l_partkey AS item,
              row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i

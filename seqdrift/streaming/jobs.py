@@ -133,6 +133,9 @@ class OpenSessions:
     same ``root`` goes on from the stored state.
     """
 
+    #: Columns of ``refresh`` that name folders of its output.
+    partition_by: tuple[str, ...] = ()
+
     def __init__(self, spark, expire_seconds: int | None = None, root: str | None = None):
         """expire_seconds: sessions whose last event is this much older than the newest event seen
         are closed (choose the session gap plus the lateness to allow). None keeps every session."""
@@ -151,7 +154,8 @@ class OpenSessions:
         touched = None
         if before is not None:
             touched = before.join(ev.select(SESSION).distinct(), SESSION, "left_semi").select(*cols)
-        self.refresh(ev, touched).write.mode("overwrite").parquet(f"{self.root}/delta/batch_id={batch_id}")
+        self.refresh(ev, touched).write.mode("overwrite").partitionBy(*self.partition_by) \
+            .parquet(f"{self.root}/delta/batch_id={batch_id}")
         if before is not None:
             ev = ev.unionByName(before.select(*cols))
         if self.expire_seconds is not None:

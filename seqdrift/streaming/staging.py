@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import materialize, scratch_path
 from ..functions.time import MICROS_PER_SECOND, epoch_micros
-from ..schema import EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TIME
+from ..schema import EVENT_COLUMNS, EVENT_ID, EVENT_SCHEMA, EVENT_TIME
 
 SENTINEL_TIME = "2100-01-01 00:00:00"
 
@@ -31,14 +31,18 @@ def batch_time(df: DataFrame, col: str = EVENT_TIME) -> DataFrame:
 
 
 def stage_batches(events: DataFrame, n_batches: int = 3, files_per_batch: int = 4, overlap_seconds: int = 0,
-                  sentinel: bool = False) -> tuple[str, int]:
-    """Write ``events`` as time-ordered batches; returns (folder, maxFilesPerTrigger)."""
+                  sentinel: bool = False, shuffled: str | None = None) -> tuple[str, int]:
+    """Write ``events`` as time-ordered batches; returns (folder, maxFilesPerTrigger).
+
+    shuffled: a seed; events then arrive in the order of a hash of their id instead.
+    """
     spark = events.sparkSession
     ev = events.select(*EVENT_COLUMNS)
     span = ev.agg(F.min(EVENT_TIME).alias("_lo"), F.max(EVENT_TIME).alias("_hi"))
     rel = (epoch_micros(EVENT_TIME) - epoch_micros("_lo")).cast("double") / \
         (epoch_micros("_hi") - epoch_micros("_lo") + F.lit(1)).cast("double")
-    tagged = ev.crossJoin(F.broadcast(span)).withColumn("_b", F.floor(rel * n_batches).cast("int"))
+    of = F.floor(rel * n_batches) if shuffled is None else F.pmod(F.xxhash64(EVENT_ID, F.lit(shuffled)), F.lit(n_batches))
+    tagged = ev.crossJoin(F.broadcast(span)).withColumn("_b", of.cast("int"))
     if overlap_seconds:
         # events in the last ``overlap_seconds`` of batch b are sent again with batch b+1
         edge = (epoch_micros("_hi") - epoch_micros("_lo") + F.lit(1)) * (F.col("_b") + 1) / n_batches + \
