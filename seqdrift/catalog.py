@@ -350,6 +350,25 @@ def q_train_stats(spark, d):
     return _phases(spark, d).train_stats()
 
 
+@register("train_stats_sketch")
+def q_train_stats_sketch(spark, d):
+    """L10/F3 by sketches (estimates; ``train_stats_sketch_error`` holds them against the exact counts)."""
+    return _phases(spark, d).train_stats_sketch()
+
+
+@register("train_stats_sketch_error")
+def q_train_stats_sketch_error(spark, d):
+    """Whether every phase's estimates lie within three standard errors (2.4 %) of the exact counts."""
+    p = _phases(spark, d)
+    exact = p.train_stats().withColumnsRenamed({"n_items": "items", "n_sessions": "sessions"}).drop("n_rows")
+
+    def near(estimate, count):
+        return F.abs(F.col(estimate) - F.col(count)) * 1000 <= F.col(count) * 24
+
+    return p.train_stats_sketch().join(exact, "phase").select(
+        "phase", "n_rows", near("n_items", "items").alias("items_near"), near("n_sessions", "sessions").alias("sessions_near"))
+
+
 @register("phase_topk_accuracy")
 def q_phase_topk_accuracy(spark, d):
     return _phases(spark, d).accuracy(variants=("window", "replay"))
@@ -638,11 +657,43 @@ def q_stream_refit_versions(spark, d):
 def q_stream_replay(spark, d):
     from .streaming.jobs import ReplayReservoir
     from .streaming.staging import run_foreach_batch
-    r = ReplayReservoir(spark, n=500, seed="replay")
+    r = ReplayReservoir(spark, n=500, seed="replay", key=(EVENT_ID,))
     run_foreach_batch(_staged(spark, d), "stream-replay", r)
+    return r.sample().select(EVENT_ID, SESSION)
+
+
+@register("stream_replay_baskets")
+def q_stream_replay_baskets(spark, d):
+    """M8 on orders, whose event ids are unique only per session: whole rows, drawn by (session, id)."""
+    from .streaming.jobs import ReplayReservoir
+    from .streaming.staging import read_stream, run_foreach_batch, stage_batches
+    folder, per = stage_batches(load_events(spark, d, "baskets"), n_batches=3, shuffled="arrival")
+    r = ReplayReservoir(spark, n=500, seed="replay")
+    run_foreach_batch(read_stream(spark, folder, per), "stream-replay-baskets", r)
     return r.sample()
 
 
+@register("stream_metrics")
+def q_stream_metrics(spark, d):
+    """A5: one metrics row per batch, though a batch is delivered twice and the job starts again."""
+    from .config import scratch_path
+    from .functions.hashing import hex_prefix
+    from .streaming.commits import MetricsStream
+    ev = clicks(spark, d).withColumn("_b", F.conv(hex_prefix(F.col(SESSION), "batch", 1), 16, 10).cast("int") % 3)
+
+    def measure(batch):
+        return batch.agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct(SESSION).alias("n_sessions"),
+                         F.countDistinct(ITEM).alias("n_items"), F.max(EVENT_TIME).alias("last_time"))
+
+    root = scratch_path(spark, "stream-metrics")
+    for b in (0, 1, 1):
+        MetricsStream(spark, measure, "run-1", root)(ev.where(F.col("_b") == b), b)
+    m = MetricsStream(spark, measure, "run-1", root)
+    for b in (1, 2):
+        m(ev.where(F.col("_b") == b), b)
+    return m.result()
+
+
 # ---------------------------------------------------------------- I2/I3, C2
 @register("history_padded")
 def q_history_padded(spark, d):

@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import materialize
 from ..functions.hashing import drawn, hash_key
-from ..functions.time import time_bucket
 from ..schema import EVENT_ID, EVENT_TIME, SESSION
-from .ordered import ordered_index
+from .ranges import range_index
 
 SPLIT_HEX_WIDTH = 4
 
@@ -76,14 +75,12 @@ def split_sessions_exact(events: DataFrame, share_pct: int = 80, seed: str = "")
     return sessions.join(train, SESSION, "left").select(SESSION, F.coalesce("is_train", F.lit(False)).alias("is_train"))
 
 
-def validation_tail(pairs: DataFrame, share_pct: int = 20, order=(EVENT_TIME, EVENT_ID),
-                    block_seconds: int = 3600) -> DataFrame:
+def validation_tail(pairs: DataFrame, share_pct: int = 20, order=(EVENT_TIME, EVENT_ID)) -> DataFrame:
     """Flag the last ``share_pct``% of pairs in (time, id) order as validation (C4).
 
     ``is_validation = pos >= n*(100-share) div 100`` — integer arithmetic, like an
-    ``int(n*0.8)`` split, with positions from time blocks (no single-task sort).
+    ``int(n*0.8)`` split, with positions from range blocks of the whole key (no single-task sort).
     """
-    d = ordered_index(pairs, [], list(order), [("_blk", time_bucket(order[0], block_seconds))],
-                      name="pair_pos", start=0, key_size="n_pairs")
+    d = range_index(pairs, list(order), pos="pair_pos", key_size="n_pairs", name="pair-positions")
     cut = (F.col("n_pairs") * F.lit(100 - share_pct)) / F.lit(100)
     return d.withColumn("is_validation", F.col("pair_pos") >= F.floor(cut))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.time import day_start, minus_days, time_bucket
 from ..schema import EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
 from .ordered import ordered_index
+from .ranges import range_index
 
 POSITION_BLOCK_SECONDS = 3600
 
@@ -43,7 +44,10 @@ def trailing_window(events: DataFrame, days: int) -> DataFrame:
 def event_positions(events: DataFrame, block_seconds: int = POSITION_BLOCK_SECONDS,
                     name: str = "pos", next_of=()) -> DataFrame:
     """0-based global position along (event_time, event_id) — the file order of a
-    time-sorted log — via hour-block offsets, never one task over all rows."""
+    time-sorted log — never one task over all rows: range blocks bounded by the whole key, so
+    date-only times or one long hour are split by id. With ``next_of`` blocks are spans of time."""
+    if not next_of:
+        return range_index(events, [EVENT_TIME, EVENT_ID], pos=name, name="event-positions")
     return ordered_index(events, [], [EVENT_TIME, EVENT_ID],
                          [("_blk", time_bucket(EVENT_TIME, block_seconds))],
                          name=name, start=0, next_of=next_of)

@@ -4,19 +4,16 @@ A vocabulary is a DataFrame ``(item, idx, freq)``: idx 0 is the most frequent id
 ties broken by the id's *text* ascending (so ints 9, 10, 100 order as
 '10' < '100' < '9'), as a string indexer orders labels.
 
-The global rank is computed without a single-task sort: rows are blocked by
-(−freq, first characters of the text) — a coarsening of the order — and
-``ordered_index`` adds block offsets to in-block row numbers. The long tail of
-items seen once is therefore split by text prefix instead of landing in one task.
+The global rank is computed without a single-task sort: ``range_index`` cuts the
+order (−freq, text) into blocks at bounds sampled from the items themselves, so the
+long tail of items seen once is split by text, whatever prefix the ids share.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .ordered import ordered_index
-
-PREFIX_LEN = 3  # text-prefix characters per rank block: ≤ 10³ blocks per frequency for numeric ids
+from .ranges import range_index
 
 
 def popularity(df: DataFrame, col: str) -> DataFrame:
@@ -25,13 +22,10 @@ def popularity(df: DataFrame, col: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("freq"))
 
 
-def fit_vocab(df: DataFrame, col: str, prefix_len: int = PREFIX_LEN) -> DataFrame:
+def fit_vocab(df: DataFrame, col: str) -> DataFrame:
     """(item, idx, freq): frequency descending, ties by the id's text ascending."""
     counts = popularity(df, col).withColumn("_txt", F.col("item").cast("string"))
-    v = ordered_index(
-        counts, [], [F.col("freq").desc(), F.col("_txt").asc()],
-        [("_nf", -F.col("freq")), ("_pfx", F.substring("_txt", 1, prefix_len))],
-        name="idx", start=0)
+    v = range_index(counts, [F.col("freq").desc(), F.col("_txt").asc()], pos="idx", name="vocab")
     return v.select("item", "idx", "freq")
 
 

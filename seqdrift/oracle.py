@@ -408,6 +408,10 @@ SELECT phase, count(*) AS n_rows, count(DISTINCT product_id) AS n_items, count(D
 FROM train_rows GROUP BY phase""")
 
 
+SQL["train_stats_sketch_error"] = with_ctes(CLICKS, PHASE, TRAIN_ROWS, body="""
+SELECT phase, count(*) AS n_rows, TRUE AS items_near, TRUE AS sessions_near FROM train_rows GROUP BY phase""")
+
+
 def phase_acc_sql(variants: tuple[str, ...], frozen: bool = False) -> str:
     vals = ", ".join(f"('{v}')" for v in variants)
     draw_filter = "AND pp.draw = 0" if frozen else ""
@@ -664,6 +668,15 @@ SELECT event_id, user_session FROM (
   FROM clicks)
 WHERE r <= 500""")
 
+SQL["stream_replay_baskets"] = with_ctes(BASKETS, body="""
+SELECT event_id, event_time, user_id, product_id, user_session FROM (
+  SELECT *, row_number() OVER (ORDER BY md5('replay' || user_session || '/' || CAST(event_id AS VARCHAR))) AS r FROM baskets)
+WHERE r <= 500""")
+SQL["stream_metrics"] = with_ctes(CLICKS, body="""
+SELECT count(*) AS n_events, count(DISTINCT user_session) AS n_sessions, count(DISTINCT product_id) AS n_items,
+       max(event_time) AS last_time, CAST(b AS BIGINT) AS batch_id, 'run-1' AS run
+FROM (SELECT *, (instr('0123456789abcdef', substr(md5('batch' || user_session), 1, 1)) - 1) % 3 AS b FROM clicks) GROUP BY b""")
+
 # ---------------------------------------------------------------- I2/I3
 SQL["history_padded"] = with_ctes(CLICKS, SPLIT, "vi AS (" + vocab_sql("ev", "product_id", "is_train") + ")", """
 enc AS (

@@ -219,29 +219,31 @@ def latest_version(spark, path: str, batch_id: int) -> DataFrame | None:
 
 # -- M8 ------------------------------------------------------------------------------
 class ReplayReservoir:
-    """M8: bottom-n events by md5(seed || event_id) over everything seen so far.
+    """M8: bottom-n events by md5(seed || key) over everything seen so far, kept as whole rows.
 
     Merge = bottom-n of (reservoir ∪ batch): associative and order-independent, so
     the final reservoir equals the batch sample of the whole log (C3). Each version
     is written to the shared folder; a batch starts from the newest version before its
     own id and rewrites its own, so delivering it again changes nothing. The capacity
-    ``n`` is the feature: events have an id of any sign, unique within their session.
+    ``n`` is the feature. ``key`` names the columns that tell events apart and that are drawn by, joined
+    by a slash: by default session and id, since ids need be unique only within their session; a row
+    delivered in two batches counts once. A model can be trained from ``sample()``.
     """
 
-    def __init__(self, spark, n: int, seed: str = "replay", root: str | None = None):
+    def __init__(self, spark, n: int, seed: str = "replay", root: str | None = None, key: tuple[str, ...] = (SESSION, EVENT_ID)):
         self.spark = spark
+        self.key = key
         self.n = n
         self.seed = seed
         self.root = root or scratch_path(spark, "reservoir")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        ev = batch.select(EVENT_ID, SESSION)
+        ev = batch.select(EVENT_ID, F.col(EVENT_TIME).cast("timestamp_ntz").alias(EVENT_TIME), USER, ITEM, SESSION)
         before = latest_version(self.spark, self.root, batch_id)
         if before is not None:
             ev = ev.unionByName(before)
-        # an event delivered in two batches has the same id and session
-        ev = ev.dropDuplicates([EVENT_ID, SESSION])
-        exact_sample(ev, self.n, seed=self.seed).write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
+        ev = ev.dropDuplicates(list(self.key)).withColumn("_key", F.concat_ws("/", *[F.col(c).cast("string") for c in self.key]))
+        exact_sample(ev, self.n, seed=self.seed, key="_key").drop("_key").write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
 
     def sample(self) -> DataFrame:
         return latest_version(self.spark, self.root, LAST_BATCH)
