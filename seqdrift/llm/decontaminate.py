@@ -121,18 +121,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE, similar
     if not sizes:
         sizes = [width]
 
-    d = docs.select("doc_id", words_of(F.lower(F.col("text"))).alias("words"))
+    # rows are told apart by id and text, so that null and repeated ids are no group of rows
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
+
+    def words(table: DataFrame) -> Column:
+        return words_of(F.lower(table["text"])).alias("words")
 
     def places(w: int) -> DataFrame:
-        """(doc_id, starts by n): where a window may lie, per document with a rare shingle."""
-        hashes = d.select("doc_id", shingle_array(F.col("words"), w).alias("hashes"))
-        each = hashes.select("doc_id", F.posexplode("hashes").alias("at", "shingle"))
+        """(row, starts by n): where a window may lie, per document with a rare shingle."""
+        hashes = rows.select("row", words(rows)).select("row", shingle_array(F.col("words"), w).alias("hashes"))
+        each = hashes.select("row", F.posexplode("hashes").alias("at", "shingle"))
         hit = each.join(sized(rare.where(F.col("width") == w).drop("width"), n_rare), "shingle")
-        return hit.groupBy("doc_id").agg(F.collect_set(F.struct("n", "at")).alias("seeds")).withColumn("width", F.lit(w))
+        return hit.groupBy("row").agg(F.collect_set(F.struct("n", "at")).alias("seeds")).withColumn("width", F.lit(w))
 
     seeds = materialize(reduce(DataFrame.unionAll, [places(w) for w in sizes]), "decon-places")
-    # the words of documents with a place, read again; ids may be null
-    todo = d.join(seeds.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    # only the words of documents with a place are split again
+    todo = rows.join(seeds, "row")
+    todo = todo.select(F.col("row.id").alias("doc_id"), words(todo), "width", "seeds")
     hashes = reduce(lambda rest, w: F.when(F.col("width") == w, shingle_array(F.col("words"), w)).otherwise(rest),
                     sizes[1:], shingle_array(F.col("words"), sizes[0]))
     todo = todo.select("doc_id", "width", "seeds", hashes.alias("hashes"))
