@@ -26,10 +26,8 @@ from .superkmers import gram_hashes, scatter
 BUCKETS = 1 << 16
 SHIFT = np.uint64(48)
 BYTE_GRAM = 3
-#: Counts of the prior beside a bucket: a share of the trusted n-grams of its table, and not fewer than
-#: ``PRIOR`` (up to 200,000 of them), since what a small trusted part lacks by chance is no share of it.
+#: Counts of the prior beside a bucket: this share of the trusted n-grams of its table, at every size.
 PRIOR_SHARE = 1e-4
-PRIOR = 20.0
 #: Rejection below this score. Clean documents score around 0.1, with few trusted ones down to -0.2;
 #: documents of symbols, bars, shouting or stuttering mostly score under -0.4.
 THRESHOLD = -0.25
@@ -86,6 +84,8 @@ class Slice:
         g = gram_hashes(self.word_units, REPEAT_GRAM)
         own = self.word_owner[:len(g)]
         place = np.flatnonzero(own == self.word_owner[REPEAT_GRAM - 1:])
+        if not len(place):
+            return np.zeros(len(self.texts), np.int64)
         key = scatter(g[place] ^ scatter(own[place].astype(np.uint64) + np.uint64(1)))
         order = np.argsort(key)
         ranked = key[order]
@@ -170,7 +170,7 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
     target, raw = counts
     total = counts.sum(axis=2, keepdims=True)
     expected = raw * (total[0] / np.maximum(total[1], 1))
-    prior = np.maximum(PRIOR, PRIOR_SHARE * total[0])
+    prior = PRIOR_SHARE * total[0]
     return np.where(total[0] > 0, np.log((target + prior) / (expected + prior)), 0.0)
 
 
