@@ -235,6 +235,18 @@ def test_decontamination(spark, odd, odd_rows):
     assert left == {i for i, _ in odd_rows} - {i for i, _ in got}
 
 
+def test_decontamination_of_null_ids(spark):
+    """Rows without an id, and rows that share one, are matched each by itself and reported under their id."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"z{rng.randrange(500)}" for _ in range(n))
+    items = [(1, prose(30)), (2, prose(25))]
+    rows = [(None, f"{prose(9)} {items[0][1]} {prose(4)}"), (None, prose(40)), (None, items[1][1]), (None, None), (7, prose(30)),
+            (7, f"{prose(3)} {items[1][1]}"), (7, f"{prose(3)} {items[1][1]}")] + [(None, prose(20)) for _ in range(20)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r.doc_id is None, r.item_id, round(r.similarity, 6)) for r in decontaminate.matches(docs_of(spark, rows), bench).collect())
+    assert got == [(False, 2, 1.0), (True, 1, 1.0), (True, 2, 1.0)]
+
+
 def test_filters_judge_rows_by_their_own_text(spark):
     """Null and repeated ids: a contaminated row takes no other with it; near copies go, other texts stay."""
     rng = random.Random(8)
@@ -278,6 +290,30 @@ def test_quality_rules_ratio(spark):
         assert r.score == pytest.approx(want)
 
 
+def test_quality_rules_scores_by_plain_counts(spark):
+    """Scores against n-grams counted as such: no hashing, no code of the operator."""
+    import math
+    rows = [(1, "the river path is open today"), (2, "the river is high"), (3, "win $$ win $$ now"), (4, "the path is open"),
+            (5, "the river is high"), (6, "zz"), (7, "")]
+    trusted = {1, 5}
+    d = docs_of(spark, rows)
+    grams = {t: (w + [f"{a} {b}" for a, b in zip(w, w[1:])], [t[i:i + 3] for i in range(len(t) - 2)]) for t in {t for _, t in rows} for w in [t.split()]}
+    good = {t for i, t in rows if i in trusted}
+    want = {}
+    for i, t in rows:
+        score = 0.0
+        for table in (0, 1):
+            raw = collections.Counter(g for x in grams for g in grams[x][table])
+            target = collections.Counter(g for x in good for g in grams[x][table])
+            n, prior = sum(target.values()), 1e-4 * sum(target.values())
+            own = [math.log((target[g] + prior) / (raw[g] * n / sum(raw.values()) + prior)) for g in grams[t][table]]
+            score += sum(own) / max(1, len(own))
+        want[i] = score
+    got = {r.doc_id: r for r in quality_rules.judge(d, d.where("doc_id in (1, 5)").select("doc_id")).collect()}
+    for i, _ in rows:
+        assert got[i].score == pytest.approx(want[i]) and got[i].kept == (want[i] >= -0.25 and not got[i].base_failed)
+
+
 def test_quality_rules_verdict(spark):
     """Clean documents stay, junk goes, with and without labels of their own."""
     docs, labels = (spark.read.parquet(f"{SF}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
@@ -407,8 +443,16 @@ def test_quality_classifier(spark):
                                 .otherwise(F.col("quality")))
     other = quality_classifier.fit(docs.withColumn("lang", F.lit("x")), flipped)
     assert other[0] == pytest.approx(model[0]) and [r for r, _ in other[1]] == [r for r, _ in model[1]]
-    odd = docs_of(spark, [(1, None), (2, ""), (None, "a b")])
+    odd = docs_of(spark, [(1, None), (2, ""), (None, "a b")]).withColumn("score", F.lit("x")).withColumn("label", F.lit(3))
     assert all(0 <= r.score <= 1 for r in quality_classifier.classify(odd, model).collect())
+    assert quality_classifier.classify(odd.limit(0), model).count() == 0
+    # the compiled rules against a plain evaluation of paths and weights
+    import math
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality_classifier.classify(docs, model).collect():
+        values = quality_classifier.statistics(texts[r.doc_id].encode())
+        z = model[0] + sum(w for rule, w in model[1] if all((values[at] <= v) == below for at, below, v in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z))) and r.predicted == (r.score >= 0.5)
     assert quality_classifier.fit(docs, labels.limit(0)) == (0.0, [])
 
 
