@@ -136,7 +136,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE, similar
 
     seeds = materialize(reduce(DataFrame.unionAll, [places(w) for w in sizes]), "decon-places")
     # only the words of documents with a place are split again
-    todo = rows.join(seeds, "row")
+    todo = rows.join(sized(seeds, seeds.count()), "row")
     todo = todo.select(F.col("row.id").alias("doc_id"), words(todo), "width", "seeds")
     hashes = reduce(lambda rest, w: F.when(F.col("width") == w, shingle_array(F.col("words"), w)).otherwise(rest),
                     sizes[1:], shingle_array(F.col("words"), sizes[0]))
@@ -183,9 +183,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     row = row_key(F.col("doc_id"), F.col("text"))
     bad = matches(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("found")).distinct()
+    bad = materialize(bad, "decon-bad")
     # the columns of docs travel as one value, so that no name of theirs meets one of these
     whole = docs.select(row.alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return whole.join(bad, F.col("row_id") == F.col("found"), "left_anti").select("row.*")
+    return whole.join(sized(bad, bad.count()), F.col("row_id") == F.col("found"), "left_anti").select("row.*")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
