@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .ordered import ordered_index
 from .ranges import range_index
 
 
@@ -22,9 +23,17 @@ def popularity(df: DataFrame, col: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("freq"))
 
 
-def fit_vocab(df: DataFrame, col: str) -> DataFrame:
-    """(item, idx, freq): frequency descending, ties by the id's text ascending."""
+def fit_vocab(df: DataFrame, col: str, prefix_len: int | None = None) -> DataFrame:
+    """(item, idx, freq): frequency descending, ties by the id's text ascending.
+
+    prefix_len: rank in blocks of (frequency, first characters of the text) instead, which writes
+    no table; only for ids that are known to spread over such prefixes.
+    """
     counts = popularity(df, col).withColumn("_txt", F.col("item").cast("string"))
+    if prefix_len is not None:
+        blocks = [("_nf", -F.col("freq")), ("_pfx", F.substring("_txt", 1, prefix_len))]
+        v = ordered_index(counts, [], [F.col("freq").desc(), F.col("_txt").asc()], blocks, name="idx", start=0)
+        return v.select("item", "idx", "freq")
     v = range_index(counts, [F.col("freq").desc(), F.col("_txt").asc()], pos="idx", name="vocab")
     return v.select("item", "idx", "freq")
 
