@@ -657,7 +657,7 @@ def q_stream_refit_versions(spark, d):
 def q_stream_replay(spark, d):
     from .streaming.jobs import ReplayReservoir
     from .streaming.staging import run_foreach_batch
-    r = ReplayReservoir(spark, n=500, seed="replay", key=(EVENT_ID,))
+    r = ReplayReservoir(spark, n=500, seed="replay")
     run_foreach_batch(_staged(spark, d), "stream-replay", r)
     return r.sample().select(EVENT_ID, SESSION)
 
@@ -668,7 +668,7 @@ def q_stream_replay_baskets(spark, d):
     from .streaming.jobs import ReplayReservoir
     from .streaming.staging import read_stream, run_foreach_batch, stage_batches
     folder, per = stage_batches(load_events(spark, d, "baskets"), n_batches=3, shuffled="arrival")
-    r = ReplayReservoir(spark, n=500, seed="replay")
+    r = ReplayReservoir(spark, n=500, seed="replay", key=(SESSION, EVENT_ID))
     run_foreach_batch(read_stream(spark, folder, per), "stream-replay-baskets", r)
     return r.sample()
 

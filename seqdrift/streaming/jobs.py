@@ -225,12 +225,13 @@ class ReplayReservoir:
     the final reservoir equals the batch sample of the whole log (C3). Each version
     is written to the shared folder; a batch starts from the newest version before its
     own id and rewrites its own, so delivering it again changes nothing. The capacity
-    ``n`` is the feature. ``key`` names the columns that tell events apart and that are drawn by, joined
-    by a slash: by default session and id, since ids need be unique only within their session; a row
-    delivered in two batches counts once. A model can be trained from ``sample()``.
+    ``n`` is the feature. Events are told apart by session and id; one delivered in two batches
+    counts once. ``key`` names the columns that are drawn by, joined by a slash: the id alone if ids are
+    unique, else (session, id), since equal keys would leave ties open. A model can be trained from
+    ``sample()``.
     """
 
-    def __init__(self, spark, n: int, seed: str = "replay", root: str | None = None, key: tuple[str, ...] = (SESSION, EVENT_ID)):
+    def __init__(self, spark, n: int, seed: str = "replay", root: str | None = None, key: tuple[str, ...] = (EVENT_ID,)):
         self.spark = spark
         self.key = key
         self.n = n
@@ -242,7 +243,7 @@ class ReplayReservoir:
         before = latest_version(self.spark, self.root, batch_id)
         if before is not None:
             ev = ev.unionByName(before)
-        ev = ev.dropDuplicates(list(self.key)).withColumn("_key", F.concat_ws("/", *[F.col(c).cast("string") for c in self.key]))
+        ev = ev.dropDuplicates([EVENT_ID, SESSION]).withColumn("_key", F.concat_ws("/", *[F.col(c).cast("string") for c in self.key]))
         exact_sample(ev, self.n, seed=self.seed, key="_key").drop("_key").write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
 
     def sample(self) -> DataFrame:

@@ -205,7 +205,7 @@ def test_reservoir_keeps_rows_whatever_the_batches(spark):
     ev = baskets(spark, SF001)
     got = []
     for n in (2, 5):
-        r = ReplayReservoir(spark, n=120, seed="x")
+        r = ReplayReservoir(spark, n=120, seed="x", key=("user_session", "event_id"))
         part = F.pmod(F.xxhash64("user_session", "event_id", F.lit(n)), F.lit(n))
         for b in range(n):
             r(ev.where(part == b), b)
