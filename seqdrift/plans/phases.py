@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import materialize
 from ..functions.hashing import HEX_WIDTH, threshold_column
@@ -200,14 +200,23 @@ class PhaseProtocol:
     def row_draws(self) -> DataFrame:
         """(event_id, draw): draw q keeps exactly ``buffer`` rows — the bottom ones by
         md5(seed, q, event_id) among rows before its bound; ``draw`` = first draw keeping
-        the row. Ranks come from hash-prefix blocks per draw (no single-task sort)."""
+        the row. Rows are counted per draw and hash prefix (at most 65,536 counts a draw);
+        later blocks go at the scan and only rows of a draw's boundary block are ranked."""
         ev = self.base.select(EVENT_ID, "pos")
         d = ev.join(F.broadcast(self.draws.select("q", "bound")), F.col("pos") < F.col("bound"))
         key = F.concat(F.lit(REPLAY_SEED), F.col("q").cast("string"), F.lit("|"), F.col(EVENT_ID).cast("string"))
-        d = d.withColumn("_h", F.md5(key))
-        r = ordered_index(d, ["q"], ["_h"], [("_hb", F.substring("_h", 1, 3))], name="_hrank", start=0)
-        r = r.crossJoin(F.broadcast(self.sz.select("buffer"))).filter(F.col("_hrank") < F.col("buffer"))
-        return materialize(r.groupBy(EVENT_ID).agg(F.min("q").alias("draw")), "phase-row-draws")
+        d = d.select(EVENT_ID, "q", F.md5(key).alias("_h")).withColumn("_hb", F.substring("_h", 1, 4))
+        before = Window.partitionBy("q").orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = d.groupBy("q", "_hb").agg(F.count(F.lit(1)).alias("_c"))
+        blocks = blocks.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        # one row per draw: its last block that starts under the buffer, and the rows wanted of that block
+        edge = blocks.crossJoin(F.broadcast(self.sz.select("buffer"))).filter(F.col("_before") < F.col("buffer")) \
+            .groupBy("q").agg(F.max("_hb").alias("_edge"), F.min(F.col("buffer") - F.col("_before")).alias("_need"))
+        d = d.join(F.broadcast(materialize(edge, "phase-draw-edges")), "q").filter(F.col("_hb") <= F.col("_edge"))
+        place = F.row_number().over(Window.partitionBy("q", "_hb").orderBy("_h"))
+        last = d.filter(F.col("_hb") == F.col("_edge")).withColumn("_r", place).filter(F.col("_r") <= F.col("_need"))
+        kept = d.filter(F.col("_hb") < F.col("_edge")).select(EVENT_ID, "q").unionByName(last.select(EVENT_ID, "q"))
+        return materialize(kept.groupBy(EVENT_ID).agg(F.min("q").alias("draw")), "phase-row-draws")
 
     def row_replay_counts(self) -> DataFrame:
         """(phase, prev_item, next_item, cnt): pairs rebuilt by ``lead`` over each phase's
