@@ -461,6 +461,29 @@ def q_item_embeddings(spark, d):
     return item_embeddings(ev).select("item", F.size("vector").alias("dim"), "vector")
 
 
+@register("item_cooccurrence")
+def q_item_cooccurrence(spark, d):
+    """K1: how often two items lie within five events of each other in a training session."""
+    from .operators.factors import cooccurrence
+    return cooccurrence(C.split_sessions(clicks(spark, d)).filter(F.col("is_train")))
+
+
+@register("item_ppmi")
+def q_item_ppmi(spark, d):
+    """K1: the positive mutual information that the factors are made of."""
+    from .operators.factors import cooccurrence, ppmi
+    ev = C.split_sessions(clicks(spark, d)).filter(F.col("is_train"))
+    return ppmi(cooccurrence(ev)).select("item", "context", "n", F.round("weight", 6).alias("weight"))
+
+
+@register("item_factors")
+def q_item_factors(spark, d):
+    """K1: item vectors by factorising the table, the catalogue never on the driver."""
+    from .operators.factors import cooccurrence, factorise, ppmi
+    ev = C.split_sessions(clicks(spark, d)).filter(F.col("is_train"))
+    return factorise(ppmi(cooccurrence(ev)))[0].select("item", F.size("vector").alias("dim"), "vector")
+
+
 @register("mlp_next_item")
 def q_mlp_next_item(spark, d):
     from .plans.learned import MlpProtocol

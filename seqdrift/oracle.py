@@ -736,3 +736,22 @@ FROM ranked, {KS} GROUP BY phase, k""")
 
 SQL["phase_topk_accuracy_rows"] = phase_rows_sql()
 SQL["phase_topk_accuracy_rows_frozen"] = phase_rows_sql("AND q = 0")
+
+# ---------------------------------------------------------------- K1: co-occurrence
+COOCCURRENCE = """
+cooc AS (
+  SELECT a.product_id AS item, b.product_id AS context, CAST(count(*) AS BIGINT) AS n
+  FROM rows_ a JOIN rows_ b ON a.user_session = b.user_session
+   AND b.row_num BETWEEN a.row_num - 5 AND a.row_num + 5 AND a.row_num <> b.row_num
+  WHERE a.is_train GROUP BY 1, 2
+)"""
+
+SQL["item_cooccurrence"] = with_ctes(CLICKS, SPLIT, rows_on("ev"), COOCCURRENCE, body="SELECT item, context, n FROM cooc")
+
+SQL["item_ppmi"] = with_ctes(CLICKS, SPLIT, rows_on("ev"), COOCCURRENCE, """
+per AS (SELECT item, CAST(sum(n) AS DOUBLE) AS s FROM cooc GROUP BY 1),
+w AS (
+  SELECT c.item, c.context, c.n,
+         ln(CAST(c.n AS DOUBLE) * (SELECT CAST(sum(n) AS DOUBLE) FROM cooc) / (p.s * q.s)) AS weight
+  FROM cooc c JOIN per p ON p.item = c.item JOIN per q ON q.item = c.context
+)""", body="SELECT item, context, n, round(weight, 6) AS weight FROM w WHERE weight > 0")
