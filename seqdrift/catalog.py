@@ -696,6 +696,42 @@ def q_stream_replay_baskets(spark, d):
     return r.sample()
 
 
+def _arrivals(spark, d):
+    """Clicks in thirds of the time span; an eighth arrives a batch later, a sixteenth is sent again with the next."""
+    from .config import materialize
+    from .functions.hashing import hex_prefix
+    from .functions.time import epoch_micros
+    ev = clicks(spark, d).withColumn("_t", epoch_micros(EVENT_TIME))
+    span = ev.agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    held = hex_prefix(F.col(EVENT_ID), "held", 1).isin("0", "1").cast("int")
+    again = F.when(hex_prefix(F.col(EVENT_ID), "again", 1) == "0", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    ev = ev.crossJoin(F.broadcast(span)).withColumn("_third", F.expr("(_t - _lo) * 3 div (_hi - _lo + 1)") + held)
+    ev = ev.withColumn("_copy", F.explode(again)).withColumn("_b", F.col("_third") + F.col("_copy"))
+    return materialize(ev.select(EVENT_ID, EVENT_TIME, USER, ITEM, SESSION, "_b"), "arrivals")
+
+
+def _late_account(spark, d):
+    from .config import scratch_path
+    from .streaming.late import LateAccount
+    ev = _arrivals(spark, d)
+    job = LateAccount(spark, scratch_path(spark, "late-account"))
+    for b in (0, 1, 1, 2, 3, 4):
+        job(ev.where(F.col("_b") == b).drop("_b"), b)
+    return job
+
+
+@register("stream_late_account")
+def q_stream_late_account(spark, d):
+    """M2: rows sent, kept, late and repeated per batch, one batch delivered twice."""
+    return _late_account(spark, d).account()
+
+
+@register("stream_late_rows")
+def q_stream_late_rows(spark, d):
+    """M2: the side table of rows behind the watermark."""
+    return _late_account(spark, d).late().select(EVENT_ID, EVENT_TIME, SESSION, F.col("batch_id").cast("bigint"))
+
+
 @register("stream_metrics")
 def q_stream_metrics(spark, d):
     """A5: one metrics row per batch, though a batch is delivered twice and the job starts again."""

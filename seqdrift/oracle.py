@@ -755,3 +755,29 @@ w AS (
          ln(CAST(c.n AS DOUBLE) * (SELECT CAST(sum(n) AS DOUBLE) FROM cooc) / (p.s * q.s)) AS weight
   FROM cooc c JOIN per p ON p.item = c.item JOIN per q ON q.item = c.context
 )""", body="SELECT item, context, n, round(weight, 6) AS weight FROM w WHERE weight > 0")
+
+# ---------------------------------------------------------------- M2: account of late rows
+ARRIVALS = """
+span AS (SELECT min(epoch_us(event_time)) AS lo, max(epoch_us(event_time)) AS hi FROM clicks),
+sent AS (
+  SELECT event_id, event_time, user_session, c.c AS copy,
+         (epoch_us(event_time) - lo) * 3 // (hi - lo + 1) + c.c
+           + CASE WHEN substr(md5('held' || CAST(event_id AS VARCHAR)), 1, 1) IN ('0', '1') THEN 1 ELSE 0 END AS b
+  FROM clicks, span, (VALUES (0), (1)) c(c)
+  WHERE c.c = 0 OR substr(md5('again' || CAST(event_id AS VARCHAR)), 1, 1) = '0'
+),
+marks AS (
+  SELECT x.b, (SELECT max(event_time) FROM sent y WHERE y.b < x.b) - INTERVAL 1 DAY AS mark
+  FROM (SELECT DISTINCT b FROM sent) x
+),
+judged AS (
+  SELECT s.*, coalesce(s.event_time <= m.mark, false) AS late FROM sent s JOIN marks m ON m.b = s.b
+)"""
+
+SQL["stream_late_account"] = with_ctes(CLICKS, ARRIVALS, body="""
+SELECT CAST(b AS BIGINT) AS batch_id, count(*) AS sent, count(*) FILTER (NOT late AND copy = 0) AS kept,
+       count(*) FILTER (late) AS late, count(*) FILTER (NOT late AND copy = 1) AS repeated
+FROM judged GROUP BY 1""")
+
+SQL["stream_late_rows"] = with_ctes(CLICKS, ARRIVALS, body="""
+SELECT event_id, event_time, user_session, CAST(b AS BIGINT) AS batch_id FROM judged WHERE late""")
