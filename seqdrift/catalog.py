@@ -319,6 +319,17 @@ def q_recommend_history_filled(spark, d):
                                exclude=vocab.filter(F.col("idx") < 2).select("item"))
 
 
+@register("recommend_history_bounded")
+def q_recommend_history_bounded(spark, d):
+    """J3 by heads, blocks and look-ups: the rows of ``recommend_history`` without reading every list whole."""
+    from .operators.bounded import follower_blocks, recommend_history_bounded
+    ev, model, vocab = _train_model(spark, d)
+    rows = S.session_rows(ev.filter(~F.col("is_train")), with_size=True)
+    h = S.history_windows(rows, 10, carry=("session_len",))
+    h = h.filter(F.col("row_num") == F.col("session_len"))
+    return recommend_history_bounded(h, follower_blocks(model, 10), length=10, k=10, tie_vocab=vocab).answers
+
+
 # ---------------------------------------------------------------- L: sliding window + replay
 def _phases(spark, d, buffer="growing"):
     from .plans.phases import PhaseProtocol

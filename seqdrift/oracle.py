@@ -323,6 +323,8 @@ SELECT user_session, rank, item, score FROM (
   FROM scores s LEFT JOIN vocab v ON v.item = s.item)
 WHERE rank <= 10"""
 
+SQL["recommend_history_bounded"] = SQL["recommend_history"]
+
 SQL["recommend_history_filled"] = "WITH " + ",".join(TRAIN_PAIRS) + """,
 last_rows AS (
   SELECT user_session, product_id AS prev_item, 10 - (session_len - row_num) AS w
