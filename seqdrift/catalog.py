@@ -495,6 +495,49 @@ def q_item_factors(spark, d):
     return factorise(ppmi(cooccurrence(ev)))[0].select("item", F.size("vector").alias("dim"), "vector")
 
 
+PROJECTION = 32
+
+
+def _projected(spark, d):
+    """Held-out log and the vectors of the training items."""
+    from .config import materialize
+    from .operators.factors import cooccurrence
+    from .operators.inner_product import projected_vectors
+    ev = C.split_sessions(clicks(spark, d))
+    counts = cooccurrence(ev.filter(F.col("is_train")))
+    return ev.filter(~F.col("is_train")), materialize(projected_vectors(counts, PROJECTION), "projected-vectors")
+
+
+@register("item_projection")
+def q_item_projection(spark, d):
+    """K1: integer item vectors by random indexing of the co-occurrence counts."""
+    _, vectors = _projected(spark, d)
+    return vectors.select("item", F.posexplode("vector").alias("j", "v")) \
+        .select("item", F.col("j").cast("bigint").alias("j"), F.col("v").cast("bigint").alias("v"))
+
+
+@register("inner_product_topk")
+def q_inner_product_topk(spark, d):
+    """K2: the ten items of the whole catalogue nearest to the last ten of each held-out session, exact."""
+    from .operators.inner_product import history_vectors, top_items
+    test, vectors = _projected(spark, d)
+    h = S.history_windows(S.session_rows(test, with_size=True), 10, carry=("session_len",))
+    h = h.filter(F.col("row_num") == F.col("session_len"))
+    return top_items(history_vectors(h, vectors, [SESSION], PROJECTION), vectors, 10, key=SESSION)
+
+
+@register("inner_product_accuracy")
+def q_inner_product_accuracy(spark, d):
+    """K3: Top-K accuracy by the target's rank among all items, without a list or an output as wide as they are."""
+    from .operators.inner_product import history_vectors, target_ranks
+    test, vectors = _projected(spark, d)
+    nxt, key = f"next_{ITEM}", [SESSION, "row_num"]
+    h = S.history_windows(S.session_rows(test, next_of=[ITEM]), 10, carry=(nxt,)).filter(F.col(nxt).isNotNull())
+    q = h.select(*key, F.col(nxt).alias("target")).join(history_vectors(h, vectors, key, PROJECTION), key, "left")
+    q = q.groupBy("vector", "target").agg(F.count(F.lit(1)).alias("n"))
+    return J.topk_accuracy(target_ranks(q, vectors))
+
+
 @register("mlp_next_item")
 def q_mlp_next_item(spark, d):
     from .plans.learned import MlpProtocol

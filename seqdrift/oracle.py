@@ -758,6 +758,48 @@ w AS (
   FROM cooc c JOIN per p ON p.item = c.item JOIN per q ON q.item = c.context
 )""", body="SELECT item, context, n, round(weight, 6) AS weight FROM w WHERE weight > 0")
 
+PROJECTION = """
+proj AS (
+  SELECT item, j, CAST(sum(CASE WHEN ((strpos('0123456789abcdef', substr(md5(CAST(context AS VARCHAR)), j // 4 + 1, 1)) - 1)
+                                       >> (3 - j % 4)) & 1 = 1 THEN n ELSE -n END) AS BIGINT) AS v
+  FROM cooc, (SELECT CAST(range AS INTEGER) AS j FROM range(32)) GROUP BY 1, 2
+)"""
+
+SQL["item_projection"] = with_ctes(CLICKS, SPLIT, rows_on("ev"), COOCCURRENCE, PROJECTION,
+                                   body="SELECT item, CAST(j AS BIGINT) AS j, v FROM proj")
+
+SQL["inner_product_topk"] = with_ctes(CLICKS, SPLIT, rows_on("ev"), COOCCURRENCE, PROJECTION, """
+hv AS (
+  SELECT r.user_session, p.j, sum(p.v) AS v FROM rows_ r JOIN proj p ON p.item = r.product_id
+  WHERE NOT r.is_train AND r.row_num > r.session_len - 10 GROUP BY 1, 2
+),
+s AS (SELECT h.user_session, p.item, CAST(sum(h.v * p.v) AS DOUBLE) AS score FROM hv h JOIN proj p USING (j) GROUP BY 1, 2)
+""", body="""
+SELECT * FROM (
+  SELECT user_session, CAST(row_number() OVER (PARTITION BY user_session ORDER BY score DESC, item) AS BIGINT) AS rank, item, score
+  FROM s)
+WHERE rank <= 10""")
+
+SQL["inner_product_accuracy"] = with_ctes(CLICKS, SPLIT, rows_on("ev"), COOCCURRENCE, PROJECTION, """
+q AS (
+  SELECT r.user_session, r.row_num, n.product_id AS target
+  FROM rows_ r JOIN rows_ n ON n.user_session = r.user_session AND n.row_num = r.row_num + 1 WHERE NOT r.is_train
+),
+hv AS (
+  SELECT q.user_session, q.row_num, p.j, sum(p.v) AS v
+  FROM q JOIN rows_ a ON a.user_session = q.user_session AND a.row_num BETWEEN q.row_num - 9 AND q.row_num
+  JOIN proj p ON p.item = a.product_id GROUP BY 1, 2, 3
+),
+s AS (SELECT h.user_session, h.row_num, p.item, sum(h.v * p.v) AS score FROM hv h JOIN proj p USING (j) GROUP BY 1, 2, 3),
+own AS (SELECT q.*, s.score FROM q LEFT JOIN s ON s.user_session = q.user_session AND s.row_num = q.row_num AND s.item = q.target),
+ranked AS (
+  SELECT o.user_session, o.row_num, CASE WHEN any_value(o.score) IS NOT NULL THEN 1 + count(s.item) END AS rank
+  FROM own o LEFT JOIN s ON s.user_session = o.user_session AND s.row_num = o.row_num AND s.score > o.score GROUP BY 1, 2
+)""", body=f"""
+SELECT CAST(k AS BIGINT) AS k, count(r.row_num) AS n, count(*) FILTER (r.rank <= k) AS hits,
+       CAST(count(*) FILTER (r.rank <= k) AS DOUBLE) / nullif(count(r.row_num), 0) AS accuracy
+FROM {KS} LEFT JOIN ranked r ON TRUE GROUP BY 1""")
+
 # ---------------------------------------------------------------- M2: account of late rows
 ARRIVALS = """
 span AS (SELECT min(epoch_us(event_time)) AS lo, max(epoch_us(event_time)) AS hi FROM clicks),
