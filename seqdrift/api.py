@@ -107,10 +107,12 @@ class ContinualNextItemPredictor(NextItemPredictor):
         self._fit(df)
 
     def update_model(self, df: DataFrame, buffer_data: DataFrame | None = None) -> None:
-        window = trailing_window(df, self.window_size_days)
-        if buffer_data is not None:
-            window = window.unionByName(_not_in(buffer_data.select(*window.columns), window))
-        self._fit(window)
+        """Refit on the trailing window of ``df``; with a replay buffer on ``df`` whole, the slice that the
+        caller chose, and the buffer rows that are not in it."""
+        if buffer_data is None:
+            self._fit(trailing_window(df, self.window_size_days))
+        else:
+            self._fit(df.unionByName(_not_in(buffer_data.select(*df.columns), df)))
 
     def update_buffer(self, buffer_size: int, buffer_data: DataFrame, train_data: DataFrame,
                       seed: str = "replay") -> DataFrame:

@@ -692,6 +692,19 @@ def q_baskets_update_model(spark, d):
     return p.model
 
 
+@register("baskets_replay_model")
+def q_baskets_replay_model(spark, d):
+    """Facade refit on the last year of orders, whole, with 20,000 rows drawn from all older ones."""
+    from .api import ContinualNextItemPredictor
+    ev = load_events(spark, d, "baskets")
+    cut = ev.agg((F.max(EVENT_TIME) - F.expr("INTERVAL 365 DAYS")).alias("_cut"))  # one row
+    aged = ev.crossJoin(F.broadcast(cut)).withColumn("_old", F.col(EVENT_TIME) < F.col("_cut")).drop("_cut")
+    old, recent = (aged.filter(c).drop("_old") for c in (F.col("_old"), ~F.col("_old")))
+    p = ContinualNextItemPredictor(window_size_days=30)
+    p.update_model(recent, p.update_buffer(20_000, ev.limit(0), old))
+    return p.model
+
+
 @register("stream_history_state")
 def q_stream_history_state(spark, d):
     """M5/G3 on the state store: one history per event, events arriving in hash order."""
@@ -827,6 +840,12 @@ def q_sample_rows(spark, d):
     return C.sample_rows(clicks(spark, d), 0.05, seed=42).select(EVENT_ID, SESSION)
 
 
+@register("sample_rows_seeded")
+def q_sample_rows_seeded(spark, d):
+    """Bernoulli 5% row sample by hash of session and id."""
+    return C.seeded_rows(clicks(spark, d), 0.05, "rows", F.concat_ws("/", SESSION, EVENT_ID)).select(EVENT_ID, SESSION)
+
+
 @register("phase_topk_accuracy_rows")
 def q_phase_topk_accuracy_rows(spark, d):
     """The reference's replay: exact-size row draws, pairs rebuilt after the union."""

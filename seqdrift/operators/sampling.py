@@ -6,7 +6,7 @@ No global shuffle and no unseeded randomness: membership is a function of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import materialize
 from ..functions.hashing import drawn, hash_key
@@ -47,6 +47,11 @@ def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     return df.sample(withReplacement=False, fraction=min(1.0, max(0.0, fraction)), seed=seed)
 
 
+def seeded_rows(df: DataFrame, fraction: float, seed: str = "", key: Column | str = EVENT_ID) -> DataFrame:
+    """Bernoulli row sample (C2) that any engine and partitioning draws alike: by a hash of the key, no shuffle."""
+    return df.filter(drawn(F.col(key) if isinstance(key, str) else key, fraction, seed))
+
+
 def exact_sample(df: DataFrame, n, seed: str = "", key: str = EVENT_ID, block_hex: int = 4) -> DataFrame:
     """Exactly ``min(n, rows)`` rows: the bottom-n by ``md5(seed || key)``.
 

@@ -664,6 +664,20 @@ WITH r AS (SELECT l_orderkey, l_partkey AS item,
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT a.item AS prev_item, b.item AS next_item, count(*) AS cnt
 FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND b.i = a.i + 1 GROUP BY ALL"""
+SQL["baskets_replay_model"] = with_ctes(BASKETS, """
+aged AS (SELECT *, event_time < (SELECT max(event_time) FROM baskets) - INTERVAL 365 DAY AS old FROM baskets),
+kept AS (
+  SELECT * FROM aged WHERE NOT old
+  UNION ALL
+  (SELECT * FROM aged WHERE old ORDER BY md5('replay' || user_session || chr(31) || CAST(event_id AS VARCHAR)) LIMIT 20000)
+),
+nexts AS (
+  SELECT product_id AS prev_item, lead(product_id) OVER (PARTITION BY user_session ORDER BY event_time, event_id) AS next_item
+  FROM kept
+)""", body="SELECT prev_item, next_item, count(*) AS cnt FROM nexts WHERE next_item IS NOT NULL GROUP BY ALL")
+SQL["sample_rows_seeded"] = with_ctes(CLICKS, body="""
+SELECT event_id, user_session FROM clicks
+WHERE substr(md5('rows' || user_session || '/' || CAST(event_id AS VARCHAR)), 1, 6) < '0ccccc'""")
 SQL["stream_replay"] = with_ctes(CLICKS, body="""
 SELECT event_id, user_session FROM (
   SELECT event_id, user_session, row_number() OVER (ORDER BY md5('replay' || CAST(event_id AS VARCHAR))) AS r

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..config import table_path
 from ..schema import EVENT_COLUMNS, EVENT_ID, EVENT_SCHEMA, EVENT_TIME, ITEM, SESSION, USER
@@ -38,13 +39,17 @@ def normalize_events(df: DataFrame) -> DataFrame:
     return out.select(*EVENT_COLUMNS)
 
 
-def read_events_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+def read_events_csv(spark: SparkSession, path: str, infer: bool = False, schema: StructType | None = None) -> DataFrame:
     """Header CSV click log, columns matched by header name (extra columns are pruned).
 
     Without inference every column is read as text and cast once in
-    ``normalize_events``; ``infer=True`` mirrors type inference (one extra scan).
+    ``normalize_events``; ``infer=True`` mirrors type inference (one extra scan). With ``schema`` (e.g.
+    ``RAW_CSV_SCHEMA``) the file is not looked at before it is scanned; a header of other names or
+    another order is then an error, not a shifted column.
     """
     r = spark.read.option("header", True)
+    if schema is not None:
+        return normalize_events(r.schema(schema).option("enforceSchema", False).csv(path))
     raw = r.option("inferSchema", True).csv(path) if infer else r.csv(path)
     return normalize_events(raw)
 

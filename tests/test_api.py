@@ -79,3 +79,17 @@ def test_whole_history_scores(spark, log):
     assert got["u"] == got["e"] == got["n"] == [(20, 0), (10, 0)]
     less = p.predict_next_items(hist, k=2, exclude_items=ex, whole_history=True).orderBy("rank").collect()
     assert [r.item for r in less if r.user_session == "a"] == [30, 10]
+
+
+def test_refit_with_a_buffer_takes_the_whole_slice(spark, log):
+    """Without a buffer the trailing window cuts; with one the given slice is used whole, and its rows count once."""
+    old = log.withColumn("event_time", F.col("event_time") - F.expr("INTERVAL 90 DAYS")) \
+        .withColumn("user_session", F.concat(F.lit("old-"), "user_session"))
+    both = log.unionByName(old)
+    c = ContinualNextItemPredictor(window_size_days=30)
+    c.update_model(both)
+    assert c.model.agg(F.sum("cnt")).first()[0] == 6
+    c.update_model(both, log)
+    assert c.model.agg(F.sum("cnt")).first()[0] == 12
+    c.update_model(log, old)
+    assert c.model.agg(F.sum("cnt")).first()[0] == 12

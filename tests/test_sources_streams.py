@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import LOG, SF001
@@ -166,3 +167,17 @@ def test_session_refresh_takes_late_and_repeated_batches(spark, log):
     assert got == {("s1", 1): [10], ("s1", 2): [10, 20], ("s1", 3): [20, 30], ("s1", 4): [30, 20],
                    ("s2", 1): [20], ("s2", 2): [20, 30], ("s2", 3): [30, 10],
                    ("s3", 1): [9], ("s3", 2): [9, 100], ("s4", 1): [20]}
+
+
+def test_csv_with_a_stated_schema(spark, tmp_path):
+    """The stated schema gives the rows of the plain reader; a header in another order is an error."""
+    from seqdrift.schema import RAW_CSV_SCHEMA
+    from seqdrift.sources.files import read_events_csv
+    names = [f.name for f in RAW_CSV_SCHEMA]
+    values = {"event_time": "2019-10-01 00:00:00 UTC", "product_id": "7", "user_id": "8", "user_session": "abc", "event_id": "9"}
+    for name, order in (("same", names), ("other", names[::-1])):
+        (tmp_path / f"{name}.csv").write_text(",".join(order) + "\n" + ",".join(values[c] for c in order) + "\n")
+    same = str(tmp_path / "same.csv")
+    assert read_events_csv(spark, same, schema=RAW_CSV_SCHEMA).collect() == read_events_csv(spark, same).collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        read_events_csv(spark, str(tmp_path / "other.csv"), schema=RAW_CSV_SCHEMA).collect()
