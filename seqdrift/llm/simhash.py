@@ -133,7 +133,8 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         raise ValueError("the code covers thresholds of 0 to 2 bits")
     home = replicate(fps, True).withColumnRenamed("fp", "a")
     near = replicate(fps, False).withColumnRenamed("fp", "b")
-    met = home.join(near, "anchor").where(
+    # the planner takes a replicated side for as small as the file it comes from and would broadcast it
+    met = home.join(near.hint("merge"), "anchor").where(
         (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -688,3 +688,10 @@ def test_pipeline_with_any_columns(spark, odd_rows, tmp_path, empty):
             assert all(r["m"] == {"k": 1} and r["_bad"] == 7 for r in step.collect())
         got.append(sorted((repr(tuple(r)) for r in cp.run(spark, str(where)).collect())))
     assert got[0] == got[1] and bool(got[0]) != empty
+
+
+def test_replicated_fingerprints_are_not_broadcast(spark):
+    """The replicas of a small file are many times its rows; no side of that join may be sent to the driver."""
+    fps = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
