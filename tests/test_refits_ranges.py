@@ -229,3 +229,46 @@ def test_sketches_of_many_ids(spark):
         assert got[k]["n_rows"] == e["n_rows"]
         for c in ("n_items", "n_sessions"):
             assert abs(got[k][c] - e[c]) <= 0.024 * e[c]
+
+
+class _Store:
+    """One key's list and value state and timers in memory; counts the calls."""
+
+    def __init__(self):
+        self.list, self.value, self.timers, self.calls = [], None, set(), 0
+
+    def getListState(self, name, schema):
+        return type("L", (), {"get": lambda s: iter(list(self.list)), "appendValue": lambda s, v: self._do(self.list.append, v),
+                              "put": lambda s, v: self._do(self.list.__setitem__, slice(None), v), "clear": lambda s: self._do(self.list.clear)})()
+
+    def getValueState(self, name, schema):
+        return type("V", (), {"get": lambda s: self.value, "update": lambda s, v: self._do(setattr, self, "value", v),
+                              "clear": lambda s: self._do(setattr, self, "value", None)})()
+
+    def registerTimer(self, at):
+        self._do(self.timers.add, at)
+
+    def _do(self, f, *args):
+        self.calls += 1
+        f(*args)
+
+
+def test_history_state_calls_do_not_grow_with_events():
+    """A session of 10,000 events in three batches: a few packed entries and timers; rows in order, in two releases."""
+    from types import SimpleNamespace
+
+    from seqdrift.streaming.histories import PIECE, HistoryProcessor
+    store, p = _Store(), HistoryProcessor(length=3, gap_ms=1000)
+    p.init(store)
+    rows = [{"micros": i * 1000, "event_id": 7 * i, "product_id": i % 10} for i in range(10_000)]
+    for b in range(3):
+        list(p.handleInputRows(("s",), iter(rows[b::3] + rows[:2]), None))
+    assert store.calls <= 6 + 3 * len(rows) / PIECE and len(store.timers) <= 3
+    got = []
+    for now in (4999, 5000, 100_000):
+        while due := sorted(t for t in store.timers if t <= now):
+            got += p.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None)
+            store.timers.remove(due[0])
+        assert len(got) == min(now + 1, len(rows))
+    assert [(r.row_num, r.event_id) for r in got] == [(i + 1, 7 * i) for i in range(len(rows))]
+    assert got[-1].history == "7,8,9" and not store.list and store.value is None and store.calls < 40
