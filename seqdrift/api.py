@@ -108,11 +108,17 @@ class ContinualNextItemPredictor(NextItemPredictor):
 
     def update_model(self, df: DataFrame, buffer_data: DataFrame | None = None) -> None:
         """Refit on the trailing window of ``df``; with a replay buffer on ``df`` whole, the slice that the
-        caller chose, and the buffer rows that are not in it."""
+        caller chose, and the buffer rows that are not in it.
+
+        The slice and the training rows are written once: fitting reads them several times, and the buffer's
+        rows are looked for among the slice's.
+        """
         if buffer_data is None:
-            self._fit(trailing_window(df, self.window_size_days))
+            rows = trailing_window(df, self.window_size_days)
         else:
-            self._fit(df.unionByName(_not_in(buffer_data.select(*df.columns), df)))
+            df = materialize(df, "facade-slice")
+            rows = df.unionByName(_not_in(buffer_data.select(*df.columns), df))
+        self._fit(materialize(rows, "facade-train"))
 
     def update_buffer(self, buffer_size: int, buffer_data: DataFrame, train_data: DataFrame,
                       seed: str = "replay") -> DataFrame:

@@ -272,3 +272,26 @@ def test_history_state_calls_do_not_grow_with_events():
         assert len(got) == min(now + 1, len(rows))
     assert [(r.row_num, r.event_id) for r in got] == [(i + 1, 7 * i) for i in range(len(rows))]
     assert got[-1].history == "7,8,9" and not store.list and store.value is None and store.calls < 40
+
+
+def _counted(df):
+    """``df`` and the number of its rows that were computed so far, repeats included."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_update_model_computes_its_slice_once(spark):
+    from seqdrift.api import ContinualNextItemPredictor
+    from seqdrift.sources.adapters import baskets
+    log = baskets(spark, SF001)
+    n = log.count()
+    ev, seen = _counted(log)
+    p = ContinualNextItemPredictor(window_size_days=100_000)
+    p.update_model(ev, log.limit(50))
+    assert seen.value == n and p.model.count() > 0
