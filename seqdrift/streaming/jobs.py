@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import scratch_path
+from ..config import discard, materialize, scratch_path
 from ..operators.sampling import exact_sample
 from ..operators.sessions import session_pairs
 from ..operators.transitions import transition_model
@@ -153,9 +153,12 @@ class OpenSessions:
         before = latest_version(self.spark, f"{self.root}/open", batch_id)
         touched = None
         if before is not None:
-            touched = before.join(ev.select(SESSION).distinct(), SESSION, "left_semi").select(*cols)
+            # ``refresh`` reads these rows several times; the search for them runs once
+            touched = materialize(before.join(ev.select(SESSION).distinct(), SESSION, "left_semi").select(*cols), "touched")
         self.refresh(ev, touched).write.mode("overwrite").partitionBy(*self.partition_by) \
             .parquet(f"{self.root}/delta/batch_id={batch_id}")
+        if touched is not None:
+            discard(touched)
         if before is not None:
             ev = ev.unionByName(before.select(*cols))
         if self.expire_seconds is not None:

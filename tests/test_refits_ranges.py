@@ -295,3 +295,13 @@ def test_update_model_computes_its_slice_once(spark):
     p = ContinualNextItemPredictor(window_size_days=100_000)
     p.update_model(ev, log.limit(50))
     assert seen.value == n and p.model.count() > 0
+
+
+@pytest.mark.parametrize("name", ["stream_model_refresh_redelivered", "stream_refit_versions"])
+def test_dealt_log_is_computed_once(spark, monkeypatch, name):
+    from seqdrift import catalog
+    ev, seen = _counted(catalog.clicks(spark, SF001))
+    monkeypatch.setattr(catalog, "clicks", lambda s, d: ev)
+    assert catalog.QUERIES[name](spark, SF001).count() > 0
+    once = seen.value
+    assert ev.count() + once == seen.value and once <= 2 * (seen.value - once)  # the cutoff of the refits reads it once more
