@@ -23,6 +23,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..config import materialize
 from ..functions.time import whole_days_between
 from ..operators.sessions import session_pairs
 from ..plans.daily import DailyProtocol, day_key
@@ -105,12 +106,14 @@ class RefitStream(OpenSessions):
             if v["key"] is None:
                 v["key"] = f"{batch_id}-{v['version']}"
                 fresh.append(v["key"])
-                parts.append(self._fit(v, now[at - 1] if at else None, log, parts, old, done))
+                key, rows = self._fit(v, now[at - 1] if at else None, log, parts, old, done)
+                # written, so that the next version adds to these counts instead of all that led to them
+                parts.append((key, materialize(summed(rows), "version-counts")))
             else:
-                parts.append((v["key"], inside(mine, v["lo"], v["hi"])))
+                parts.append((v["key"], summed(inside(mine, v["lo"], v["hi"]))))
         out = None
         for key, rows in parts:
-            rows = rows.groupBy("prev_item", "next_item").agg(F.sum("cnt").alias("cnt")).where("cnt != 0").select(F.lit(key).alias("key"), "*")
+            rows = rows.select(F.lit(key).alias("key"), "*")
             out = rows if out is None else out.unionByName(rows)
         none = self.spark.createDataFrame([], "key string, prev_item bigint, next_item bigint, cnt bigint")
         (none if out is None else out).hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/counts/batch_id={batch_id}")
@@ -169,6 +172,10 @@ class RefitStream(OpenSessions):
         return self.counts().join(F.broadcast(newest), "version").drop("version")
 
 
+def summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("prev_item", "next_item").agg(F.sum("cnt").alias("cnt")).where("cnt != 0")
+
+
 def inside(changes: DataFrame, lo: dt.datetime | None, hi: dt.datetime, after: dt.datetime | None = None,
            until: dt.datetime | None = None) -> DataFrame:
     """(prev_item, next_item, cnt) of pairs with lo <= prev and next <= hi; the days prune folders.
