@@ -79,7 +79,8 @@ def history_stream(src: DataFrame, length: int = 10, gap_seconds: int = 86_400,
     State per session = event count + last ``length`` items: bounded whatever the
     session size. It expires once the watermark passes the last event + gap.
     """
-    s = stream_time(src).withWatermark(EVENT_TIME, watermark)
+    s = stream_time(src).withWatermark(EVENT_TIME, watermark) \
+        .select(SESSION, EVENT_TIME, F.unix_micros(EVENT_TIME).alias("micros"), EVENT_ID, ITEM)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -90,22 +91,22 @@ def history_stream(src: DataFrame, length: int = 10, gap_seconds: int = 86_400,
             items = [int(x) for x in items_txt.split(",")] if items_txt else []
         else:
             seen, items, last_ms = 0, [], None
-        frames = [p for p in pdfs]
-        pdf = pd.concat(frames).sort_values([EVENT_TIME, EVENT_ID]) if frames else None
+        # a group is a few rows mostly: plain lists cost less than a frame's operations
+        rows = [r for p in pdfs for r in zip(p["micros"].tolist(), p[EVENT_ID].tolist(), p[ITEM].tolist())]
+        rows.sort()
         rows_num, rows_hist = [], []
-        if pdf is not None:
-            for item in pdf[ITEM].tolist():
-                seen += 1
-                items = (items + [int(item)])[-length:]
-                rows_num.append(seen)
-                rows_hist.append(",".join(str(x) for x in items))
-            t = int(pd.Timestamp(pdf[EVENT_TIME].max()).timestamp() * 1000)  # naive = UTC session zone
+        for _, _, item in rows:
+            seen += 1
+            items = (items + [int(item)])[-length:]
+            rows_num.append(seen)
+            rows_hist.append(",".join(map(str, items)))
+        if rows:
+            t = rows[-1][0] // 1000
             last_ms = t if last_ms is None else max(last_ms, t)
-        state.update((seen, ",".join(str(x) for x in items), last_ms))
+        state.update((seen, ",".join(map(str, items)), last_ms))
         state.setTimeoutTimestamp(last_ms + gap_seconds * 1000)
         if rows_num:
-            yield pd.DataFrame({"user_session": [key[0]] * len(rows_num), "row_num": rows_num,
-                                "history": rows_hist})
+            yield pd.DataFrame({"user_session": key[0], "row_num": rows_num, "history": rows_hist})
 
     return s.groupBy(SESSION).applyInPandasWithState(
         step, outputStructType=HISTORY_SCHEMA, stateStructType=HISTORY_STATE, outputMode="append",
