@@ -55,3 +55,10 @@ def test_pairs_shuffle_lines_and_orders_once(spark):
     plan = queries()["basket_pairs"](spark, SF001)._jdf.queryExecution().sparkPlan().toString()
     executed = queries()["basket_pairs"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning") == 2 and "Aggregate" not in plan
+
+
+def test_the_split_log_is_joined_once(spark):
+    from seqdrift.catalog import QUERIES
+    for name in ("encode_unknown", "decode_items"):
+        plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and "split-log" in plan
