@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import discard, materialize, scratch_path
-from ..operators.sampling import exact_sample
+from ..operators.sampling import distinct_head, exact_sample
 from ..operators.sessions import session_pairs
 from ..operators.transitions import transition_model
 from ..schema import EVENT_ID, EVENT_TIME, ITEM, SESSION, USER
@@ -247,7 +247,9 @@ class ReplayReservoir:
         before = latest_version(self.spark, self.root, batch_id)
         if before is not None:
             ev = ev.unionByName(before)
-        ev = ev.dropDuplicates([EVENT_ID, SESSION]).withColumn("_key", F.concat_ws("/", *[F.col(c).cast("string") for c in self.key]))
+        ev = ev.withColumn("_key", F.concat_ws("/", *[F.col(c).cast("string") for c in self.key]))
+        # repeated rows share their hash, so only what can be drawn is compared
+        ev = distinct_head(ev, self.n, [EVENT_ID, SESSION], seed=self.seed, key="_key")
         exact_sample(ev, self.n, seed=self.seed, key="_key").drop("_key").write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
 
     def sample(self) -> DataFrame:

@@ -42,7 +42,9 @@ def stage_batches(events: DataFrame, n_batches: int = 3, files_per_batch: int =
     rel = (epoch_micros(EVENT_TIME) - epoch_micros("_lo")).cast("double") / \
         (epoch_micros("_hi") - epoch_micros("_lo") + F.lit(1)).cast("double")
     of = F.floor(rel * n_batches) if shuffled is None else F.pmod(F.xxhash64(EVENT_ID, F.lit(shuffled)), F.lit(n_batches))
-    tagged = ev.crossJoin(F.broadcast(span)).withColumn("_b", of.cast("int"))
+    if shuffled is None or overlap_seconds:  # only times need the span
+        ev = ev.crossJoin(F.broadcast(span))
+    tagged = ev.withColumn("_b", of.cast("int"))
     if overlap_seconds:
         # events in the last ``overlap_seconds`` of batch b are sent again with batch b+1
         edge = (epoch_micros("_hi") - epoch_micros("_lo") + F.lit(1)) * (F.col("_b") + 1) / n_batches + \
