@@ -34,7 +34,11 @@ def cooccurrence(events: DataFrame, window: int = 5) -> DataFrame:
     An item beside itself counts in both directions as well. Pairs are counted in one direction first
     (partial aggregates), and only those counts are mirrored.
     """
-    rows = session_rows(events)  # a null item keeps its row number and counts for no pair
+    return cooccurrence_of_rows(session_rows(events), window)
+
+
+def cooccurrence_of_rows(rows: DataFrame, window: int = 5) -> DataFrame:
+    """``cooccurrence`` of rows that carry ``row_num``; a null item keeps its number and counts for no pair."""
     h = history_windows(rows, window + 1, carry=())
     older = F.slice("history", 1, F.size("history") - 1)
     pairs = h.filter(F.size("history") > 1).select(F.element_at("history", -1).alias("item"), F.explode(older).alias("context"))

@@ -49,7 +49,7 @@ class SplitProtocol:
     def events(self) -> DataFrame:
         cols = [EVENT_ID, EVENT_TIME, USER, ITEM, SESSION, "is_train"]
         if self.ordered:
-            cols += ["row_num", f"next_{ITEM}"]
+            cols += ["row_num", f"next_{ITEM}", *(c for c in self.raw.columns if c == "session_len")]
         ev = split_sessions(self.raw, self.frac, self.seed).select(*cols)
         return materialize(ev, "split-events")
 
