@@ -145,18 +145,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
 
     ``component_id`` is the smallest id reachable; null ids count as none (a component of null ids
     only has a null component). Empty texts link like any other (fingerprint 0). Repeated rows give
-    repeated results. Empty input gives an empty result.
+    repeated results. Empty input gives an empty result. Tables of a row per fingerprint are never broadcast:
+    with their struct keys they take several times their file's size in the driver's memory.
     """
     fp = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
     least = fp.groupBy("fp").agg(F.min("id").alias("first_id"))
     distinct = materialize(least, "simhash-distinct")
     root = smallest_reachable(links(distinct, max_bits), name="simhash-links")
     named = materialize(
-        distinct.join(root, distinct["fp"] == root["node"], "left")
+        distinct.join(root.hint("merge"), distinct["fp"] == root["node"], "left")
         .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = named.join(smallest, "root").select("fp", "component_id")
-    return fp.join(component, "fp").select("id", "fp", "component_id")
+    component = named.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return fp.join(component.hint("merge"), "fp").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -176,7 +177,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
                        .agg(F.count(F.lit(1)).alias("times")), "simhash-stay")
     # the columns of docs travel as one value, so that no name of theirs meets one of these
     whole = rows.select(key.alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = whole.join(stay, F.col("row_id") == F.col("staying"))
+    kept = whole.join(stay.hint("merge"), F.col("row_id") == F.col("staying"))
     once = kept.where("times = 1").select("row")
     if not stay.where("times > 1").isEmpty():
         rest = [F.col("row")[c].cast("string") for c in docs.columns if c not in ("doc_id", "text")]

@@ -695,3 +695,9 @@ def test_replicated_fingerprints_are_not_broadcast(spark):
     fps = spark.range(500).select(F.xxhash64("id").alias("fp"))
     plan = simhash.links(fps)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_tables_of_a_row_per_fingerprint_are_not_broadcast(spark, odd):
+    for result in (simhash.near_duplicates(odd), simhash.keep_one(odd)):
+        plan = result._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
