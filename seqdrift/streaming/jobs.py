@@ -9,9 +9,10 @@ a session's last event, a bottom-n reservoir) — never a whole group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import discard, materialize, scratch_path
@@ -69,46 +70,57 @@ def session_stream(src: DataFrame, gap: str = "1 day", watermark: str = WATERMAR
 
 # -- M5 ------------------------------------------------------------------------------
 HISTORY_SCHEMA = "user_session string, row_num bigint, history string"
-HISTORY_STATE = "seen bigint, items string, last_ms bigint"
+HISTORY_STATE = "sessions array<string>, seen array<bigint>, last_ms array<bigint>, items array<string>"
+
+#: Groups that the sessions are dealt to by hash. Part of the state's layout: it stays as it is as long as a checkpoint is used.
+BUCKETS = 2048
+
+
+def session_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(SESSION), F.lit(buckets)).cast("int")
 
 
 def history_stream(src: DataFrame, length: int = 10, gap_seconds: int = 86_400,
-                   watermark: str = WATERMARK) -> DataFrame:
+                   watermark: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
     """M5: per session, the last ``length`` items after each event (text, oldest first).
 
     State per session = event count + last ``length`` items: bounded whatever the
     session size. It expires once the watermark passes the last event + gap.
+
+    A group in Python costs Spark milliseconds, whatever its rows, so the sessions share ``buckets`` groups by hash:
+    a batch has at most as many, however many sessions it touches. It reads and writes the tails of all open
+    sessions in the buckets it touches; choose ``buckets`` for some hundred open sessions in each.
     """
-    s = stream_time(src).withWatermark(EVENT_TIME, watermark) \
-        .select(SESSION, EVENT_TIME, F.unix_micros(EVENT_TIME).alias("micros"), EVENT_ID, ITEM)
+    # nulls would come as floats, which have no order; as elsewhere they are first
+    first = F.lit(-1 << 63)
+    s = stream_time(src).withWatermark(EVENT_TIME, watermark).select(
+        session_bucket(buckets).alias("bucket"), SESSION, EVENT_TIME,
+        F.coalesce(F.unix_micros(EVENT_TIME), first).alias("micros"), F.coalesce(EVENT_ID, first).alias(EVENT_ID), ITEM)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            seen, items_txt, last_ms = state.get
-            items = [int(x) for x in items_txt.split(",")] if items_txt else []
+        tails = {session: (seen, last_ms, items.split(",")) for session, seen, last_ms, items in zip(*state.get)} \
+            if state.exists else {}
+        rows = [] if state.hasTimedOut else [
+            r for p in pdfs for r in zip(p["micros"].tolist(), p[EVENT_ID].tolist(), p[ITEM].tolist(), p[SESSION].tolist())]
+        rows.sort(key=itemgetter(0, 1, 2))
+        out = []
+        for micros, _, item, session in rows:
+            seen, last_ms, items = tails.get(session) or (0, 0, [])
+            items = (items + [str(int(item))])[-length:]
+            tails[session] = seen + 1, max(last_ms, micros // 1000), items
+            out.append((session, seen + 1, ",".join(items)))
+        oldest = state.getCurrentWatermarkMs() - gap_seconds * 1000
+        tails = {session: tail for session, tail in tails.items() if tail[1] >= oldest}
+        if tails:
+            seen, last_ms, items = zip(*tails.values())
+            state.update((list(tails), list(seen), list(last_ms), [",".join(i) for i in items]))
+            state.setTimeoutTimestamp(min(last_ms) + gap_seconds * 1000)
         else:
-            seen, items, last_ms = 0, [], None
-        # a group is a few rows mostly: plain lists cost less than a frame's operations
-        rows = [r for p in pdfs for r in zip(p["micros"].tolist(), p[EVENT_ID].tolist(), p[ITEM].tolist())]
-        rows.sort()
-        rows_num, rows_hist = [], []
-        for _, _, item in rows:
-            seen += 1
-            items = (items + [int(item)])[-length:]
-            rows_num.append(seen)
-            rows_hist.append(",".join(map(str, items)))
-        if rows:
-            t = rows[-1][0] // 1000
-            last_ms = t if last_ms is None else max(last_ms, t)
-        state.update((seen, ",".join(map(str, items)), last_ms))
-        state.setTimeoutTimestamp(last_ms + gap_seconds * 1000)
-        if rows_num:
-            yield pd.DataFrame({"user_session": key[0], "row_num": rows_num, "history": rows_hist})
-
-    return s.groupBy(SESSION).applyInPandasWithState(
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["user_session", "row_num", "history"])
+
+    return s.groupBy("bucket").applyInPandasWithState(
         step, outputStructType=HISTORY_SCHEMA, stateStructType=HISTORY_STATE, outputMode="append",
         timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
